@@ -295,7 +295,9 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     import math
 
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    limit = round(share * SLICES * SLICE_BITS)
+    bits = SLICES * SLICE_BITS
+    # one standard error of the estimate on top, for recall at the threshold itself
+    limit = round(share * bits + math.sqrt(share * (1 - share) * bits))
     sketched = cut_lineage(docs.where(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) != "").select("doc_id", sketch(F.col("text"), width).alias("sketch")))
     nodes = cut_lineage(sketched.groupBy("sketch").agg(F.min("doc_id").alias("node")))
     digits = SLICE_BITS // 4
