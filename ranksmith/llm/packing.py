@@ -26,7 +26,7 @@ from .common import table
 #: Documents dealt to one shard; one part-filled sequence in about a quarter as many.
 SHARD_DOCS = 16384
 #: Entries of a worker's word cache before it is emptied.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 END_ID = 1
 
 
@@ -52,11 +52,10 @@ class WordEncoder:
     SIMPLE = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
     PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
-    def __init__(self, tokenizer, path: str):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        tokenizer.encode_special_tokens = True
-        self.whole = tokenizer
+        self.path, self._whole = path, None
         self.merges = Tokenizer.from_file(path)
         self.merges.encode_special_tokens = True
         self.merges.normalizer = None
@@ -64,6 +63,16 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
+    @property
+    def whole(self):
+        """The unchanged tokenizer, loaded at the first word that needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+            self._whole.encode_special_tokens = True
+        return self._whole
+
     def _learn(self, fresh: list[str]) -> None:
         if len(self.cache) + len(fresh) > CACHE_WORDS:
             self.cache = {}
@@ -103,10 +112,11 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for each worker process, kept between tasks."""
-    from tokenizers import Tokenizer
+    import os
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(Tokenizer.from_file(path), path)
+        _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
