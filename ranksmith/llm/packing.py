@@ -25,8 +25,8 @@ from .common import table
 
 #: Documents dealt to one shard; one part-filled sequence in about a quarter as many.
 SHARD_DOCS = 16384
-#: Entries of a worker's word cache before it is emptied.
-CACHE_WORDS = 300_000
+#: Entries of a worker's two cache generations together.
+CACHE_WORDS = 400_000
 END_ID = 1
 
 
@@ -61,6 +61,7 @@ class WordEncoder:
         self.merges.normalizer = None
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
     @property
@@ -73,9 +74,17 @@ class WordEncoder:
             self._whole.encode_special_tokens = True
         return self._whole
 
-    def _learn(self, fresh: list[str]) -> None:
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache = {}
+    def _learn(self, used: set[str]) -> None:
+        """Every pre-token of ``used`` is in the cache afterwards; a full cache ages, and what is used again moves up."""
+        fresh = used.difference(self.cache)
+        if not fresh:
+            return
+        if len(self.cache) + len(fresh) > CACHE_WORDS // 2:
+            self.older, self.cache = self.cache, {}
+            fresh = used
+        known = fresh.intersection(self.older)
+        self.cache.update({w: self.older[w] for w in known})
+        fresh = list(fresh.difference(known))
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
             for w, e in zip(part, self.merges.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -95,13 +104,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit bytes, little-endian."""
         cut = [self.PRE.findall(t.lower()) if self.SIMPLE.fullmatch(t) else None for t in texts]
-        used = set().union(*(c for c in cut if c))
-        fresh = used.difference(self.cache)
-        if fresh:
-            kept = len(self.cache)
-            self._learn(list(fresh))
-            if len(self.cache) < kept + len(fresh):  # it was emptied on the way
-                self._learn(list(used.difference(self.cache)))
+        self._learn(set().union(*(c for c in cut if c)))
         get = self.cache.__getitem__
         return [self._words(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
