@@ -5,7 +5,7 @@ neighbour; the substrings between leftmost S suffixes are sorted and named, the
 names is sorted recursively, and the whole array is induced from it in two linear scans.
 The scans run bucket by bucket on arrays; recursion levels with many names run value by value.
 
-Across documents, content-defined anchors decide what has to be compared: of the 20-byte
+Across documents, content-defined anchors decide what has to be compared: of the 28-byte
 strings in each 100-byte window the one with the least hash is its anchor, so equal windows
 have equal anchors.  Windows of consecutive starts with one anchor form a segment.  Segments
 with equal bytes need no comparison beyond their hashes; differing segments around one anchor
@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table
+from .common import stored, table
 
 LENGTH = 100
-ANCHOR = 20
+ANCHOR = 28
 #: Bytes of documents hashed at a time, and of segments in one shard.
 CHUNK, SHARD_BYTES = 2 << 20, 1 << 20
 #: Differing segments of one anchor value that a shard takes; beyond, windows meet by their hashes.
@@ -337,8 +337,8 @@ def _segments(docs: DataFrame, length: int, anchor: int, full: bool) -> DataFram
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, anchor_segments: int = ANCHOR_SEGMENTS) -> DataFrame:
     """(doc, start, end) byte spans, possibly overlapping, that windows of ``length`` bytes cover which also start earlier."""
     often = _segments(docs, length, anchor, False).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
-    segments = cut_lineage(_segments(docs, length, anchor, True).join(often, "h", "left_semi"))
-    kinds = cut_lineage(segments.groupBy("h", "s").agg(F.min(F.struct("doc", "lo")).alias("rep"), F.max("n").alias("n"), F.count("*").alias("c")))
+    segments = stored(_segments(docs, length, anchor, True).join(often, "h", "left_semi"))
+    kinds = stored(segments.groupBy("h", "s").agg(F.min(F.struct("doc", "lo")).alias("rep"), F.max("n").alias("n"), F.count("*").alias("c")))
 
     # equal segments: all but the first occurrence go as a whole
     several = kinds.where("c > 1").select("h", "s", "rep")
@@ -347,7 +347,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     # differing segments around one anchor value: one of each is compared
     crowd = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    rivals = cut_lineage(kinds.join(crowd, "h").select("h", "k", F.col("rep.doc").alias("doc"), F.col("rep.lo").alias("lo"), "n"))
+    rivals = stored(kinds.join(crowd, "h").select("h", "k", F.col("rep.doc").alias("doc"), F.col("rep.lo").alias("lo"), "n"))
     total = rivals.agg(F.coalesce(F.sum(F.col("n") + length), F.lit(0))).first()[0]
     if not total:
         return equal
