@@ -84,36 +84,41 @@ def subset_sum(budget: int, lengths: list[int], counts: list[int]) -> list[int]:
 
 
 def plan_source(target: float, lengths, counts, copies: int = MAX_COPIES, window: int = WINDOW):
-    """(whole passes, extra documents of each length) for one source; the words taken add up to the target as nearly as the lengths allow."""
+    """Copies to take of the documents of each length, 0 to ``copies`` times their count, that add up to the target.
+
+    All but the last ``window`` words are shared evenly; those are fitted exactly, if the lengths
+    allow it, first with as few copies of a document as the target needs and then with all.
+    """
     import numpy as np
 
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     size = int((lengths * counts).sum())
-    extra = np.zeros(len(lengths), np.int64)
+    best = np.zeros(len(lengths), np.int64)
     want = min(int(round(target)), copies * size)
-    if size == 0:
-        return 0, extra
-    whole = min(want // size, copies)
-    rest = want - whole * size
-    if rest <= 0:
-        return int(whole), extra
-    share = max(0, rest - window) / size
-    extra = np.floor(counts * share).astype(np.int64)
-    rest -= int((extra * lengths).sum())
-    for k in np.argsort(-lengths, kind="stable"):
-        if rest <= window:
+    if size == 0 or want <= 0:
+        return best
+    share = max(0, want - window) / size
+    left = want + 1
+    order = [int(k) for k in np.argsort(-lengths, kind="stable") if lengths[k] > 0]
+    for most in sorted({min(copies, -(-want // size)), copies}):
+        took = np.floor(counts * share).astype(np.int64)
+        rest = want - int((took * lengths).sum())
+        for k in order:
+            if rest <= window:
+                break
+            n = int(min(counts[k] * most - took[k], (rest - window // 2) // lengths[k]))
+            if n > 0:
+                took[k] += n
+                rest -= n * int(lengths[k])
+        open_ = [k for k in order if counts[k] * most > took[k] and lengths[k] <= rest]
+        for k, n in zip(open_, subset_sum(rest, [int(lengths[k]) for k in open_], [int(counts[k] * most - took[k]) for k in open_]), strict=True):
+            took[k] += n
+        miss = want - int((took * lengths).sum())
+        if miss < left:
+            best, left = took, miss
+        if not miss:
             break
-        n = int(min(counts[k] - extra[k], (rest - window // 2) // lengths[k] if lengths[k] else 0))
-        if n > 0:
-            extra[k] += n
-            rest -= n * int(lengths[k])
-    free = counts - extra
-    order = np.argsort(-lengths, kind="stable")
-    order = [int(k) for k in order if free[k] > 0 and 0 < lengths[k] <= rest]
-    picked = subset_sum(rest, [int(lengths[k]) for k in order], [int(free[k]) for k in order])
-    for k, n in zip(order, picked, strict=True):
-        extra[k] += n
-    return int(whole), extra
+    return best
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = MAX_COPIES, seed: int = 42) -> DataFrame:
@@ -131,8 +136,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = MAX_C
 
     def plan(key, pdf):
         pdf = pdf.sort_values("size", kind="stable")
-        whole, extra = plan_source(float(pdf["target"].iloc[0]), pdf["size"], pdf["n"], copies)
-        return pdf.assign(whole=whole, extra=extra)[["source", "size", "n", "source_size", "target", "whole", "extra"]]
+        took = plan_source(float(pdf["target"].iloc[0]), pdf["size"], pdf["n"], copies)
+        return pdf.assign(whole=took // pdf["n"], extra=took % pdf["n"])[["source", "size", "n", "source_size", "target", "whole", "extra"]]
 
     plans = cut_lineage(joined.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, whole long, extra long"))
 
@@ -153,7 +158,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = MAX_C
     rules = plans.join(edge, plans.source.eqNullSafe(edge.source) & (plans["size"] == edge["size"]), "left").select(plans.source.alias("p_source"), plans["size"].alias("p_size"), "n", "source_size", "target", "whole", "extra", "edge", "room")
     ruled = sized.withColumn("at", at).join(rules, sized.source.eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
     in_edge = F.col("edge").isNotNull() & (F.col("at") == F.col("edge"))
-    sure = F.when(F.col("extra") == F.col("n"), 1).when(F.col("extra") == 0, 0).when(F.col("at") < F.col("edge"), 1).otherwise(0)
+    sure = F.when(F.col("extra") == 0, 0).when(F.col("at") < F.col("edge"), 1).otherwise(0)
     base = ruled.where(~in_edge).withColumn("more", sure)
     rank = F.row_number().over(W.partitionBy("source", "size").orderBy("draw", "doc_id"))
     close = ruled.where(in_edge).withColumn("more", (rank <= F.col("room")).cast("int"))
