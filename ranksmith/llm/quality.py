@@ -1,8 +1,9 @@
 """Quality classifier by compression: one zstandard dictionary per class, calibrated on the size difference.
 
 A text that resembles good prose is shortened more by the dictionary built from
-good text; one that resembles junk by the other.  The difference of the two
-compressed sizes over their sum is the only input of a logistic calibration.
+good text; one that resembles junk by the other.  The difference of the two compressed sizes
+over their sum, and the shorter size's share of the text, which is small for text that only
+repeats itself, are the inputs of a logistic calibration.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ DICT_BYTES, CHUNK_BYTES, LEVEL = 64 * 1024, 2048, 3
 class QualityModel:
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, float]
     intercept: float
 
 
@@ -52,16 +53,19 @@ def _compressor(raw: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
 
 
-def size_difference(text: bytes, good, bad) -> float:
-    """(bytes with the bad dictionary - bytes with the good one) / their sum, over all chunks of the whole text."""
+def size_features(text: bytes, good, bad) -> tuple[float, float]:
+    """Over all chunks of the whole text: 100 * (bytes with the bad dictionary - bytes with the good one) / their sum,
+    and the logarithm of the good one's bytes for each byte of text."""
+    import math
+
     if not text:
-        return 0.0
+        return 0.0, 0.0
     g = b = 0
     for i in range(0, len(text), CHUNK_BYTES):
         part = text[i : i + CHUNK_BYTES]
         g += len(good.compress(part))
         b += len(bad.compress(part))
-    return (b - g) / (b + g)
+    return 100 * (b - g) / (b + g), math.log((g + 1) / (len(text) + 1))
 
 
 def train(sample: list[tuple[int, str]], totals: dict[int, int]) -> QualityModel:
@@ -75,17 +79,17 @@ def train(sample: list[tuple[int, str]], totals: dict[int, int]) -> QualityModel
     prior = float(np.log((n1 + 0.5) / (n0 + 0.5)))
     by = {y: [t.encode() for z, t in sample if z == y and t] for y in (0, 1)}
     if min(len(by[0]), len(by[1])) < 3:
-        return QualityModel(b"", b"", 0.0, prior if n0 + n1 else 0.0)
+        return QualityModel(b"", b"", (0.0, 0.0), prior if n0 + n1 else 0.0)
     fit = {y: [t for i, t in enumerate(v) if i % 3] for y, v in by.items()}
     held = {y: v[::3] for y, v in by.items()}
     good, bad = build_dictionary(fit[1]), build_dictionary(fit[0])
     cg, cb = _compressor(good), _compressor(bad)
-    x = np.array([[size_difference(t, cg, cb)] for y in (0, 1) for t in held[y]])
+    x = np.array([size_features(t, cg, cb) for y in (0, 1) for t in held[y]])
     y = np.array([float(k) for k in (0, 1) for _ in held[k]])
     weight = np.where(y == 1, n1 / max(1, len(held[1])), n0 / max(1, len(held[0])))
     weight = weight * len(y) / weight.sum()
-    slope, intercept = logistic(x * 100, y, weight)
-    return QualityModel(good, bad, float(max(slope, 0.0)), float(intercept))
+    first, second, intercept = logistic(x, y, weight)
+    return QualityModel(good, bad, (float(max(first, 0.0)), float(second)), float(intercept))
 
 
 def quality_score(text: Column, model: QualityModel) -> Column:
@@ -94,12 +98,11 @@ def quality_score(text: Column, model: QualityModel) -> Column:
     @F.pandas_udf(T.DoubleType())
     def score(s):
         import numpy as np
-
-        good, bad = _compressor(model.good), _compressor(model.bad)
-        x = np.array([size_difference(t.encode("utf-8", "surrogatepass"), good, bad) if t else 0.0 for t in s], dtype=float)
         import pandas as pd
 
-        return pd.Series(1 / (1 + np.exp(-np.clip(model.slope * 100 * x + model.intercept, -30, 30))))
+        good, bad = _compressor(model.good), _compressor(model.bad)
+        x = np.array([size_features((t or "").encode("utf-8", "surrogatepass"), good, bad) for t in s], dtype=float).reshape(-1, 2)
+        return pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(model.slopes) + model.intercept, -30, 30))))
 
     return score(text)
 
