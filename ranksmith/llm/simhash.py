@@ -124,7 +124,7 @@ def trie_forest(values, starts, ends, bits: int, budget: int, near=None, leaf: i
     def compare(a0, a1, b0, b1):
         na, nb = a1 - a0, b1 - b0
         size = na * nb
-        for i in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // 1_000_000)) + 1):
+        for i in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // 200_000)) + 1):
             which = np.repeat(i, size[i])
             k = np.arange(len(which)) - np.repeat(np.cumsum(size[i]) - size[i], size[i])
             a, b = a0[which] + k // nb[which], b0[which] + k % nb[which]

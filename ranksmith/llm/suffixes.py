@@ -23,7 +23,7 @@ from .common import stored, table
 LENGTH = 100
 ANCHOR = 28
 #: Bytes of documents hashed at a time, and of segments in one shard.
-CHUNK, SHARD_BYTES = 2 << 20, 1 << 20
+CHUNK, SHARD_BYTES = 1 << 19, 1 << 19
 #: Differing segments of one anchor value that a shard takes; beyond, windows meet by their hashes.
 ANCHOR_SEGMENTS = 20_000
 
