@@ -6,13 +6,12 @@ DataFrame, which is written as Parquet and read again as the next one's ``docs``
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranksmith.llm.common import table
+from ranksmith.llm.common import shared_folder, small_batches, table
 from ranksmith.llm.mixing import mix
 from ranksmith.llm.packing import pack, tokenizer_path
 from ranksmith.llm.quality import score_quality
@@ -28,6 +27,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near copies; documents without words stay."""
+    small_batches(spark)
     gone = near_copy_groups(docs.select("doc_id", "text")).where(F.col("doc_id") != F.col("group_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -40,6 +40,7 @@ def _text_of(kept):
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 100 bytes or more that also occur earlier."""
+    small_batches(spark)
     out = remove_repeats(docs, prefix="cut")
     text = F.when(F.col("cut.n_removed") > 0, _text_of(F.col("cut.kept"))).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -47,6 +48,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, 0 to 3 times."""
+    small_batches(spark)
     taken = mix(docs.select("doc_id", "source", "text")).where("taken > 0")
     times = taken.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
     copies = docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
@@ -55,6 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in sequences."""
+    small_batches(spark)
     return pack(docs.select("doc_id", "text"), tokenizer_path())
 
 
@@ -71,10 +74,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    folder = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
