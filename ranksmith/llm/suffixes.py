@@ -336,7 +336,8 @@ def _segments(docs: DataFrame, length: int, anchor: int, full: bool) -> DataFram
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, anchor_segments: int = ANCHOR_SEGMENTS) -> DataFrame:
     """(doc, start, end) byte spans, possibly overlapping, that windows of ``length`` bytes cover which also start earlier."""
-    often = _segments(docs, length, anchor, False).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
+    # stored, so that the join deals out both its sides and can split an anchor with very many segments
+    often = stored(_segments(docs, length, anchor, False).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"))
     segments = stored(_segments(docs, length, anchor, True).join(often, "h", "left_semi"))
     kinds = stored(segments.groupBy("h", "s").agg(F.min(F.struct("doc", "lo")).alias("rep"), F.max("n").alias("n"), F.count("*").alias("c")))
 
