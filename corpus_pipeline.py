@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ranksmith.llm.common import shared_folder, small_batches, table
 from ranksmith.llm.mixing import mix
@@ -32,17 +33,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-@F.pandas_udf("string")
-def _text_of(kept):
+def text_of(kept: Column) -> Column:
     """Remaining bytes as text; a character cut in half at a seam goes."""
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+    @F.pandas_udf(T.StringType())
+    def decode(parts):
+        return parts.map(lambda b: b.decode("utf-8", "ignore"))
+
+    return decode(kept)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 100 bytes or more that also occur earlier."""
     small_batches(spark)
     out = remove_repeats(docs, prefix="cut")
-    text = F.when(F.col("cut.n_removed") > 0, _text_of(F.col("cut.kept"))).otherwise(F.col("text"))
+    text = F.when(F.col("cut.n_removed") > 0, text_of(F.col("cut.kept"))).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
