@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table
+from .common import cut_lineage, stored, table
 
 K, SCALE = 5, 256
 #: Queries of one batch and data rows of one tree.
 QUERY_ROWS, TREE_ROWS = 8192, 8192
 LEAF = 48
+#: Batches whose results are merged and stored together, so that plans stay short.
+STORE_BATCHES = 16
 
 
 class CoverTree:
@@ -150,7 +152,7 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector: str = "e
     queries = cut_lineage(queries.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))))
     data = ready.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
     sc = vectors.sparkSession.sparkContext
-    found = None
+    best, found = None, None
     for b in range(batches if n else 0):
         # a batch holds about query_rows vectors whatever the table's size: that bounds what is sent
         rows = queries.where(F.col("batch") == b).select("id", "v").toArrow()
@@ -199,8 +201,18 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector: str = "e
 
         one = data.mapInArrow(search, "query_id long, vec_id long, score long")
         found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+        if b % STORE_BATCHES == STORE_BATCHES - 1:
+            part = stored(_best(found, k))
+            best, found = part if best is None else best.unionByName(part), None
+    if found is not None:
+        best = _best(found, k) if best is None else best.unionByName(_best(found, k))
+    if best is None:
+        best = _best(vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long"), k)
+    return best
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """Each query's k best of all tasks' results; a query lies in one batch."""
     from pyspark.sql import Window as W
 
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
