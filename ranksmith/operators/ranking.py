@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ranksmith.session import checkpointed
+
 #: Order of the recommendation levels; an unknown one counts as the last.
 LEVELS = {"SHORTLIST": 0, "REVIEW": 1, "CONSIDER": 2, "REJECT": 3}
 
@@ -16,22 +18,52 @@ def level_order(level: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup, level), F.lit(LEVELS["REJECT"]))
 
 
-def rank_candidates(scores: DataFrame, project: str = "project_id") -> DataFrame:
-    """Adds rank_position and percentile for each project.
-
-    Order: not knocked out first, level, final, skills and experience scores and confidence falling,
-    creation time and id rising.  Percentile is (N - rank + 1) / N in percent.
-    """
-    keys = [
+def rank_keys() -> list[Column]:
+    """Not knocked out first, level, final, skills and experience scores and confidence falling, creation time and id rising."""
+    return [
         F.col("is_knocked_out").asc_nulls_last(),
         level_order(F.col("recommendation")).asc(),
         *[F.col(c).desc_nulls_last() for c in ("final_score", "skills_score", "experience_score", "confidence")],
         F.col("created_at").asc_nulls_last(),
         F.col("document_id").cast("string").asc_nulls_last(),
     ]
-    ranked = scores.withColumn("rank_position", F.row_number().over(W.partitionBy(project).orderBy(*keys)))
-    n = F.count("*").over(W.partitionBy(project))
-    return ranked.withColumn("percentile", F.round((n - F.col("rank_position") + 1) / n * 100, 2))
+
+
+def _percentile(rank: Column, n: Column) -> Column:
+    """(N - rank + 1) / N in percent."""
+    return F.round((n - rank + 1) / n * 100, 2)
+
+
+def rank_candidates(scores: DataFrame, project: str = "project_id") -> DataFrame:
+    """Adds rank_position and percentile for each project, one window for each; see ``rank_spread`` for huge projects."""
+    ranked = scores.withColumn("rank_position", F.row_number().over(W.partitionBy(project).orderBy(*rank_keys())))
+    return ranked.withColumn("percentile", _percentile(F.col("rank_position"), F.count("*").over(W.partitionBy(project))))
+
+
+def leaderboard(scores: DataFrame, n: int, project: str = "project_id") -> DataFrame:
+    """The first n of each project.  The rank filter sits right on its window, so every task keeps n rows of a
+    project before the shuffle; project sizes come from a grouped count."""
+    top = scores.withColumn("rank_position", F.row_number().over(W.partitionBy(project).orderBy(*rank_keys()))).where(F.col("rank_position") <= n)
+    sizes = scores.groupBy(project).agg(F.count("*").alias("_n"))
+    return top.join(sizes, project).withColumn("percentile", _percentile(F.col("rank_position"), F.col("_n"))).drop("_n")
+
+
+def rank_spread(scores: DataFrame, project: str = "project_id", parts: int | None = None) -> DataFrame:
+    """The columns of ``rank_candidates`` where one project may hold a large share of all rows.
+
+    Rows are dealt by ranges of project and rank order, ranked inside each range, and moved by the number of the
+    project's rows in the ranges before; only one count for each project and range meets in a window.
+    """
+    keys = [F.col(project).asc_nulls_last(), *rank_keys()]
+    dealt = scores.repartitionByRange(parts, *keys) if parts else scores.repartitionByRange(*keys)
+    dealt = checkpointed(dealt.withColumn("_part", F.spark_partition_id()))
+    local = dealt.withColumn("_rank", F.row_number().over(W.partitionBy(project, "_part").orderBy(*rank_keys())))
+    counts = dealt.groupBy(project, "_part").agg(F.count("*").alias("_c"))
+    w = W.partitionBy(project)
+    offsets = counts.select(F.col(project).alias("_project"), F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(w.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    joined = local.join(offsets, F.col(project).eqNullSafe(F.col("_project")) & (F.col("_part") == F.col("_p")))
+    rank = (F.col("_rank") + F.col("_before")).cast("int")
+    return joined.withColumn("rank_position", rank).withColumn("percentile", _percentile(F.col("rank_position"), F.col("_n"))).drop("_part", "_p", "_rank", "_before", "_n", "_project")
 
 
 def rank_delta(current: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,8 +18,12 @@ def ranked(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataF
 
 @query(f"WITH {ranked_sql()} SELECT project_id, document_id, name, final_score, recommendation, CAST(rank_position AS INTEGER) AS rank_position, round((n_project - rank_position + 1) / n_project * 100, 2) AS percentile FROM ranked WHERE rank_position <= 10")
 def leaderboard_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = ranked(spark, sf_dir).where("rank_position <= 10")
-    return top.select("project_id", "document_id", "name", "final_score", "recommendation", "rank_position", "percentile")
+    return R.leaderboard(candidate_scores(spark, sf_dir), 10).select("project_id", "document_id", "name", "final_score", "recommendation", "rank_position", "percentile")
+
+
+@query(f"WITH {ranked_sql()} SELECT document_id, project_id, CAST(rank_position AS INTEGER) AS rank_position, round((n_project - rank_position + 1) / n_project * 100, 2) AS percentile FROM ranked")
+def spread_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rank_spread(candidate_scores(spark, sf_dir), parts=16).select("document_id", "project_id", "rank_position", "percentile")
 
 
 @query(f"WITH {ranked_sql()} SELECT document_id, project_id, CAST(rank_position AS INTEGER) AS rank_position, round((n_project - rank_position + 1) / n_project * 100, 2) AS percentile FROM ranked")
