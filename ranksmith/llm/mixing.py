@@ -156,12 +156,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = MAX_C
         .select("source", "size", F.col("at").alias("edge"), (F.col("extra") - F.col("below")).alias("room"))
     )
     rules = plans.join(edge, plans.source.eqNullSafe(edge.source) & (plans["size"] == edge["size"]), "left").select(plans.source.alias("p_source"), plans["size"].alias("p_size"), "n", "source_size", "target", "whole", "extra", "edge", "room")
-    ruled = sized.withColumn("at", at).join(rules, sized.source.eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
-    in_edge = F.col("edge").isNotNull() & (F.col("at") == F.col("edge"))
+    placed = sized.withColumn("at", at)
+    same = placed.source.eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))
+    in_edge = F.coalesce(F.col("at") == F.col("edge"), F.lit(False))
     sure = F.when(F.col("extra") == 0, 0).when(F.col("at") < F.col("edge"), 1).otherwise(0)
-    base = ruled.where(~in_edge).withColumn("more", sure)
+    base = placed.join(rules, same).where(~in_edge).withColumn("more", sure)
+    # the rows at the limit are dealt out by range too, so a very common length does not meet in one task
     rank = F.row_number().over(W.partitionBy("source", "size").orderBy("draw", "doc_id"))
-    close = ruled.where(in_edge).withColumn("more", (rank <= F.col("room")).cast("int"))
+    close = placed.join(rules.where(F.col("edge").isNotNull()), same & (F.col("at") == F.col("edge"))).withColumn("more", (rank <= F.col("room")).cast("int"))
     taken = (F.col("whole") + F.col("more")) * F.col("size")
     return base.unionByName(close).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
