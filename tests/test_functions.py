@@ -141,3 +141,29 @@ def test_normalisers(spark):
     assert one(spark, N.degree(F.col("t")), t="B.Tech in computer science") == "Bachelor of Technology in Computer Science"
     assert one(spark, N.company(F.col("t")), t="Acme Pvt. Ltd.") == "Acme Private Limited"
     assert one(spark, N.company(F.col("t")), t="12") is None
+
+
+def test_spread_ranks_equal_window_ranks(spark):
+    rows = [("hot" if i % 3 else "cold", f"d{i:03d}", float(i % 7)) for i in range(300)] + [(None, "x", None)]
+    df = spark.createDataFrame(rows, "project_id string, document_id string, final_score double").selectExpr("*", "false is_knocked_out", "'REVIEW' recommendation", "final_score skills_score", "final_score experience_score", "final_score confidence", "cast(null as timestamp) created_at")
+    take = lambda d: sorted((r.document_id, r.rank_position, r.percentile) for r in d.collect())
+    assert take(R.rank_spread(df, parts=7)) == take(R.rank_candidates(df))
+    top = {r.document_id for r in R.leaderboard(df, 5).collect()}
+    assert top == {r.document_id for r in R.rank_candidates(df).where("rank_position <= 5 AND project_id IS NOT NULL").collect()}
+
+
+def test_two_columns_and_references(spark):
+    from ranksmith.operators import requirements as Q
+
+    assert one(spark, Q.one_column(F.col("t")), t="a   x\nb   y\nc\nd\ne") == "a\nb\nc\nd\ne\nx\ny"
+    assert one(spark, Q.one_column(F.col("t")), t="a   x\nb") == "a   x\nb"
+    assert one(spark, Q.evidence_reference(F.col("t")), t="Experience #01") == "experience:1"
+    assert one(spark, Q.evidence_reference(F.col("t")), t="???") is None
+    assert one(spark, Q.department_code(F.col("t")), t="nowhere") is None
+
+
+def test_language_defaults(spark):
+    from ranksmith.operators import insights as I
+
+    assert one(spark, I.language_vote(F.col("t")), t="zu kurz") == "en"
+    assert one(spark, I.language_vote(F.col("t")), t="Das ist der Text und die Frage von den Leuten") == "de"
