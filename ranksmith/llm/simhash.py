@@ -121,6 +121,14 @@ def trie_forest(values, starts, ends, bits: int, budget: int, near=None, leaf: i
 
     forest = Forest(len(values))
 
+    def link(a, b):
+        ok = np.bitwise_count(values[a] ^ values[b]) <= budget
+        a, b = a[ok], b[ok]
+        if near is not None and len(a):
+            ok = near(a, b)
+            a, b = a[ok], b[ok]
+        forest.join(a, b)
+
     def compare(a0, a1, b0, b1):
         na, nb = a1 - a0, b1 - b0
         size = na * nb
@@ -129,17 +137,27 @@ def trie_forest(values, starts, ends, bits: int, budget: int, near=None, leaf: i
             k = np.arange(len(which)) - np.repeat(np.cumsum(size[i]) - size[i], size[i])
             a, b = a0[which] + k // nb[which], b0[which] + k % nb[which]
             ok = (a < b) & (forest.label[a] != forest.label[b])
-            a, b = a[ok], b[ok]
-            ok = np.bitwise_count(values[a] ^ values[b]) <= budget
-            a, b = a[ok], b[ok]
-            if near is not None and len(a):
-                ok = near(a, b)
-                a, b = a[ok], b[ok]
-            forest.join(a, b)
-
-    stack = [(np.asarray(starts), np.asarray(ends), np.asarray(starts), np.asarray(ends), np.zeros(len(starts), np.int64), bits - 1)]
+            link(a[ok], b[ok])
+
+    def block_ends():
+        """For each row the end of the run of rows, in order, that already have its label."""
+        change = np.concatenate((np.flatnonzero(np.diff(forest.label)) + 1, [len(values)]))
+        return change[np.searchsorted(change, np.arange(len(values)), side="right")]
+
+    starts, ends = np.asarray(starts), np.asarray(ends)
+    if not len(starts):
+        return forest
+    # rows beside each other, and each row and its run's first: most links of a dense group, in linear time
+    inside = np.concatenate([np.arange(s + 1, e) for s, e in zip(starts, ends, strict=True)])
+    link(inside - 1, inside)
+    link(np.repeat(starts, ends - starts - 1), inside)
+    stack = [(starts, ends, starts, ends, np.zeros(len(starts), np.int64), bits - 1)]
     while stack:
         a0, a1, b0, b1, err, d = stack.pop()
+        # pairs of nodes whose rows are all joined already have nothing to add
+        until = block_ends()
+        apart = (forest.label[a0] != forest.label[b0]) | (until[a0] < a1) | (until[b0] < b1)
+        a0, a1, b0, b1, err = (x[apart] for x in (a0, a1, b0, b1, err))
         small = ((a1 - a0) * (b1 - b0) <= leaf) | (d < 0)
         if small.any():
             compare(a0[small], a1[small], b0[small], b1[small])
