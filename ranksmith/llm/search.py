@@ -17,8 +17,9 @@ from .common import cut_lineage, stored, table
 
 K, SCALE = 5, 256
 #: Queries of one batch and data rows of one tree.
-QUERY_ROWS, TREE_ROWS = 8192, 8192
-LEAF = 48
+QUERY_ROWS, TREE_ROWS = 8192, 16384
+#: Rows of a leaf of the query trees and of the data trees.
+QUERY_LEAF, LEAF = 64, 512
 #: Batches whose results are merged and stored together, so that plans stay short.
 STORE_BATCHES = 16
 
@@ -107,6 +108,12 @@ def dual_tree_topk(queries: CoverTree, query_ids, data: CoverTree, data_ids, bes
     def base(q: int, d: int) -> None:
         mine, other = under[q], data.rows[d]
         scores = queries.points[mine] @ data.points[other].T
+        hit = scores >= best_score[mine, k - 1][:, None]
+        better = np.flatnonzero(hit.any(axis=1))
+        if not len(better):
+            return
+        some = np.flatnonzero(hit[better].any(axis=0))
+        mine, other, scores = mine[better], other[some], scores[np.ix_(better, some)]
         scores[query_ids[mine][:, None] == data_ids[other][None, :]] = -np.inf
         all_scores = np.concatenate((best_score[mine], scores), axis=1)
         all_ids = np.concatenate((best_id[mine], np.broadcast_to(data_ids[other], scores.shape)), axis=1)
@@ -169,7 +176,7 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector: str = "e
             state = {}
             for dim, at in dims.items():
                 pts = np.array([vecs[i] for i in at], dtype=np.float64).reshape(len(at), dim)
-                state[dim] = (CoverTree(pts), ids[at], np.full((len(at), k), -np.inf), np.full((len(at), k), np.iinfo(np.int64).max))
+                state[dim] = (CoverTree(pts, QUERY_LEAF), ids[at], np.full((len(at), k), -np.inf), np.full((len(at), k), np.iinfo(np.int64).max))
 
             def tree(parts):
                 lists = pa.chunked_array([p.column(1) for p in parts]).combine_chunks()
