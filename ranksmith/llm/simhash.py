@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, table
+from .common import cut_lineage, stored, table
 
 SEED = 42
 #: Rows dealt to one task, and the most with one part before its remaining bits split them.
 BUCKET_ROWS, GROUP_ROWS = 40_000, 20_000
-#: Near copies: 32-bit slices compared within 3 bits, twelve of them; similarity is then read from all 384 bits.
+#: Near copies: 32-bit slices compared within 3 bits, twelve of them; all 384 bits then tell which pairs to verify.
 SLICES, SLICE_BITS, SLICE_BUDGET = 12, 32, 3
 
 
@@ -63,35 +63,98 @@ def fingerprint(text, width: int = 3):
 
 
 def sketch(text, width: int = 5, words: int = SLICES * SLICE_BITS // 64):
-    """``words`` independent 64-bit fingerprints of the set of shingles, as bytes."""
+    """``words`` independent 64-bit fingerprints of the set of shingles, as bytes, a digest that only equal sets share, and the set's size."""
 
-    @F.pandas_udf(T.BinaryType())
+    @F.pandas_udf("sketch binary, same binary, size long")
     def run(texts):
+        import hashlib
+
         import numpy as np
         import pandas as pd
 
         odd = np.uint64(0x9E3779B97F4A7C15)  # a multiplier that mixes well: 2^64 over the golden ratio
-        out = []
+        out, same, size = [], [], []
         for t in texts:
             h, prints = np.unique(shingle_hashes(t, width)), []
+            size.append(len(h))
+            same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
             for _ in range(words):
                 prints.append(majority_bits(h))
                 h = (h ^ (h >> np.uint64(31))) * odd
                 h = (h ^ (h >> np.uint64(29))) * odd
                 h ^= h >> np.uint64(32)
             out.append(np.array(prints, np.uint64).tobytes())
-        return pd.Series(out)
+        return pd.DataFrame({"sketch": out, "same": same, "size": size})
 
     return run(text)
 
 
+def shingle_set(text, width: int = 5):
+    """The sorted hashes of the set of shingles, eight bytes each, the distinct values of two bytes of them, and their digest as in ``sketch``."""
+
+    @F.pandas_udf("shingles binary, short binary, same binary")
+    def run(texts):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+        short = [np.unique(h.astype(np.uint16)).tobytes() for h in sets]
+        sets = [h.tobytes() for h in sets]
+        return pd.DataFrame({"shingles": sets, "short": short, "same": [hashlib.blake2b(h, digest_size=16).digest() for h in sets]})
+
+    return run(text)
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Share of common members of two sets of sorted hashes."""
+    import numpy as np
+
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets (node, shingles, short) have a Jaccard similarity of ``similarity`` or more.
+
+    Two bytes of each hash bound the number of common members from above, so whole sets travel with few pairs only.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def possible(a, m, b, n):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        for x, p, y, q in zip(a, m, b, n):
+            x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+            most = len(np.intersect1d(x, y, assume_unique=True)) + min(p - len(x), q - len(y))
+            out.append(most >= similarity * (p + q - most))
+        return pd.Series(out, dtype=bool)
+
+    @F.pandas_udf(T.BooleanType())
+    def alike(a, b):
+        import pandas as pd
+
+        return pd.Series([jaccard(x, y) >= similarity for x, y in zip(a, b)], dtype=bool)
+
+    size = (F.octet_length("shingles") / 8).cast("long")
+    brief = [sets.select(F.col("node").alias(x), F.col("short").alias(f"s{x}"), size.alias(f"n{x}")) for x in "uv"]
+    whole = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv"]
+    maybe = stored(pairs.select("u", "v").join(brief[0], "u").join(brief[1], "v").where(possible("su", "nu", "sv", "nv")).select("u", "v"))
+    return maybe.join(whole[0], "u").join(whole[1], "v").where(alike("su", "sv")).select("u", "v")
+
+
 class Forest:
-    """Least-index labels of the pairs joined so far."""
+    """Least-index labels of the pairs joined so far, and the pairs that joined two labels."""
 
     def __init__(self, n: int):
         import numpy as np
 
         self.label = np.arange(n)
+        self.joined: list = []
 
     def join(self, a, b) -> None:
         import numpy as np
@@ -103,7 +166,11 @@ class Forest:
             if not apart.any():
                 return
             a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+            high, low = np.maximum(la, lb), np.minimum(la, lb)
+            np.minimum.at(label, high, low)
+            won = np.flatnonzero(label[high] == low)
+            won = won[np.unique(high[won], return_index=True)[1]]
+            self.joined.append((a[won], b[won]))
             while True:
                 up = label[label]
                 if (up == label).all():
@@ -111,18 +178,21 @@ class Forest:
                 label[:] = up
 
 
-def trie_forest(values, starts, ends, bits: int, budget: int, near=None, leaf: int = 64, batch: int = 1 << 16) -> Forest:
+def trie_forest(values, starts, ends, bits: int, budget: int, near=None, leaf: int = 64, batch: int = 1 << 16, label=None) -> Forest:
     """Joins all pairs of ``values`` inside each [start, end) run that differ in at most ``budget`` of the low ``bits`` bits.
 
     ``values`` is sorted inside a run.  Pairs of trie nodes are kept as index ranges with the bits in which
     they differ so far; small ones are compared value by value.  ``near(a, b)`` may reject pairs.
+    Rows of one ``label`` (the least index of its rows) count as joined from the start.
     """
     import numpy as np
 
     forest = Forest(len(values))
+    if label is not None:
+        forest.label = label.copy()
 
     def link(a, b):
-        ok = np.bitwise_count(values[a] ^ values[b]) <= budget
+        ok = (np.bitwise_count(values[a] ^ values[b]) <= budget) & (forest.label[a] != forest.label[b])
         a, b = a[ok], b[ok]
         if near is not None and len(a):
             ok = near(a, b)
@@ -214,11 +284,12 @@ def _deal(rows: DataFrame, bits: int, budget: int) -> DataFrame:
     return out.withColumn("part", F.call_function("shiftrightunsigned", F.col("value"), F.lit(bits) - F.col("prefix")))
 
 
-def hamming_forest(items: DataFrame, bits: int = 64, budget: int = 2, sketch_limit: int | None = None, group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (u, v) of a spanning forest of the links between rows (node long, tag long, value long[, sketch binary]) of one tag.
+def hamming_forest(items: DataFrame, bits: int = 64, budget: int = 2, sketch_limit: int | None = None, group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS, every: bool = False, share: float = 0) -> DataFrame:
+    """Edges (u, v) of a spanning forest of the links between rows (node long, tag long, value long[, sketch binary, size long, label long]) of one tag.
 
     Rows link if their values differ in at most ``budget`` of ``bits`` bits and, with a ``sketch_limit``, if their
-    sketches differ in no more bits than that.  ``node`` is unique within a tag.
+    sketches differ in no more bits than that and the lesser size is at least ``share`` of the greater.  ``node`` is unique within a tag.  Every edge is such a link.  Rows of
+    one ``label`` count as linked already; with ``every``, all links between different labels come, not a forest of them.
     """
     rows = _deal(items.withColumn("prefix", F.lit(0)), bits, budget)
     ready, level = [], 0
@@ -248,21 +319,31 @@ def hamming_forest(items: DataFrame, bits: int = 64, budget: int = 2, sketch_lim
         node = pdf["node"].to_numpy()
         tag, prefix = pdf["tag"].to_numpy(), pdf["prefix"].to_numpy()
         part = pdf["part"].to_numpy()
-        near = None
+        near, label, found = None, None, []
+        if "label" in pdf:
+            label = pd.DataFrame({"label": pdf["label"].to_numpy(), "at": np.arange(len(pdf))}).groupby("label")["at"].transform("min").to_numpy()
         if sketch_limit is not None:
             s = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
 
+            size = pdf["size"].to_numpy() if share else None
+
             def near(a, b):
-                return np.bitwise_count(s[a] ^ s[b]).sum(axis=1, dtype=np.int64) <= sketch_limit
+                ok = np.bitwise_count(s[a] ^ s[b]).sum(axis=1, dtype=np.int64) <= sketch_limit
+                if share:  # sets of too unequal size cannot be similar
+                    ok &= np.minimum(size[a], size[b]) >= share * np.maximum(size[a], size[b])
+                if every:
+                    found.append((a[ok], b[ok]))
+                    return np.zeros(len(a), bool)
+                return ok
 
         cut = np.flatnonzero((np.diff(tag) != 0) | (np.diff(prefix) != 0) | (np.diff(part) != 0)) + 1
         starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(pdf)]))
         # the signed order of values equals the unsigned one inside a run but where the sign bit itself varies
         many = ends - starts > 1
-        forest = trie_forest(value, starts[many], ends[many], bits - int(prefix.min()), budget, near)
-        root = forest.label
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"u": np.maximum(node[moved], node[root[moved]]), "v": np.minimum(node[moved], node[root[moved]])})
+        forest = trie_forest(value, starts[many], ends[many], bits - int(prefix.min()), budget, near, label=label)
+        found += forest.joined
+        a, b = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in (0, 1))
+        return pd.DataFrame({"u": np.maximum(node[a], node[b]), "v": np.minimum(node[a], node[b])}).drop_duplicates()
 
     return dealt.groupBy("bucket").applyInPandas(link, "u long, v long").where("u <> v")
 
@@ -303,29 +384,62 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2) -> Data
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Rounds in which each label tries one proposed pair, before all that are left are tried together.
+PICKS = 3
+
+
 def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and group_id (least doc_id of the group) by SimHash sketches of word shingles.
+    """doc_id and group_id (least doc_id of the group): single linkage of sets of word shingles with a Jaccard similarity of ``similarity`` or more.
 
-    The share of differing bits of two sketches estimates the angle between their shingle sets; pairs are
-    found through slices of the sketch that agree within a few bits, and link if the whole sketch
-    gives at least ``similarity`` (Jaccard).  Texts without words are one group each.
+    SimHash sketches only propose pairs: the share of differing bits estimates the angle between two sets, and
+    pairs are found through slices of the sketch that agree within a few bits.  Each proposed pair counts only if
+    the sets themselves are similar enough.  A forest of the pairs that look similar is tried first; then all
+    pairs within three standard errors whose groups are still apart.  Texts without words take no part.
     """
     import math
 
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = SLICES * SLICE_BITS
-    # one standard error of the estimate on top, for recall at the threshold itself
-    limit = round(share * bits + math.sqrt(share * (1 - share) * bits))
-    sketched = cut_lineage(docs.where(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) != "").select("doc_id", sketch(F.col("text"), width).alias("sketch")))
-    nodes = cut_lineage(sketched.groupBy("sketch").agg(F.min("doc_id").alias("node")))
+    likely, loose = round(share * bits), math.ceil(share * bits + 3 * math.sqrt(share * (1 - share) * bits))
+    worded = docs.where(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) != "")
+    sketched = cut_lineage(worded.select("doc_id", sketch(F.col("text"), width).alias("s")).select("doc_id", "s.sketch", "s.size", F.xxhash64("s.same").alias("node")))
+    nodes = cut_lineage(sketched.groupBy("node").agg(F.min("sketch").alias("sketch"), F.min("size").alias("size")))
     digits = SLICE_BITS // 4
     text = F.hex("sketch")
-    slices = nodes.select("node", "sketch", F.posexplode(F.array(*[F.conv(F.substring(text, 1 + i * digits, digits), 16, 10).cast("long") for i in range(SLICES)])).alias("tag", "value"))
-    edges = hamming_forest(slices.withColumn("tag", F.col("tag").cast("long")), SLICE_BITS, SLICE_BUDGET, limit)
-    roots = components(edges)
-    grouped = nodes.join(roots, "node", "left").select("sketch", F.coalesce("root", "node").alias("group_id"))
-    known = sketched.join(grouped, "sketch").select("doc_id", "group_id")
-    return known
+
+    def slices(of: DataFrame) -> DataFrame:
+        cut = F.array(*[F.conv(F.substring(text, 1 + i * digits, digits), 16, 10).cast("long") for i in range(SLICES)])
+        return of.select("*", F.posexplode(cut).alias("tag", "value")).withColumn("tag", F.col("tag").cast("long"))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(node, shingles, short) of the nodes in ``pairs``; the digest tells the texts of a repeated id apart."""
+        used = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        first = sketched.join(used, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
+        texts = worded.join(first, worded["doc_id"].eqNullSafe(first["id"]), "left_semi").select(shingle_set(F.col("text"), width).alias("s"))
+        return stored(texts.select(F.xxhash64("s.same").alias("node"), "s.shingles", "s.short").join(used, "node", "left_semi").dropDuplicates(["node"]))
+
+    def joined(pairs: DataFrame, labels: DataFrame, picks: int) -> DataFrame:
+        """Labels after all ``pairs`` whose sets are similar enough: ``picks`` rounds try one pair of each label, then all are tried that are still apart."""
+        sets = sets_of(pairs)
+        for k in range(picks + 1):
+            lu, lv = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
+            pairs = stored(pairs.select("u", "v").join(lu, "u").join(lv, "v").where("lu <> lv"))
+            tried = pairs
+            if k < picks:
+                tried = pairs.groupBy(F.greatest("lu", "lv").alias("l")).agg(F.min(F.struct(F.xxhash64(F.lit(k), "u", "v"), "u", "v")).alias("p")).select("p.u", "p.v")
+            links = similar_pairs(tried, sets, similarity).join(lu, "u").join(lv, "v").select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v"))
+            roots = components(links).withColumnRenamed("node", "label")
+            labels = cut_lineage(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+        return labels
+
+    labels = nodes.select("node", F.col("node").alias("label"))
+    forest = stored(hamming_forest(slices(nodes), SLICE_BITS, SLICE_BUDGET, likely, share=similarity).distinct())
+    labels = joined(forest, labels, PICKS)
+    left = cut_lineage(nodes.join(labels, "node"))
+    apart = stored(hamming_forest(slices(left), SLICE_BITS, SLICE_BUDGET, loose, every=True, share=similarity).distinct())
+    labels = joined(apart, labels, 1)
+    known = cut_lineage(sketched.join(labels, "node").select("doc_id", "label"))
+    return known.join(known.groupBy("label").agg(F.min("doc_id").alias("group_id")), "label").select("doc_id", "group_id")
 
 
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,6 +125,31 @@ def test_near_copies_meet(spark):
     assert all(groups[2 * g] == 2 * g for g in range(30))
 
 
+def test_near_copies_are_verified(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    sets, rows = {}, []
+    for g in range(200):
+        words = [word() for _ in range(400)]
+        other = list(words)
+        # one run of new words: n + 4 of 396 shingles change, for a similarity of 0.70 to 0.85
+        n = rng.randrange(28, 70)
+        other[100 : 100 + n] = [word() for _ in range(n)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    for d, text in rows:
+        words = text.split()
+        sets[d] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    groups = {r.doc_id: r.group_id for r in simhash.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near, met = 0, 0
+    for g in range(200):
+        a, b = sets[2 * g], sets[2 * g + 1]
+        similar = len(a & b) >= 0.8 * len(a | b)
+        near, met = near + similar, met + (similar and groups[2 * g + 1] == 2 * g)
+        assert similar or groups[2 * g + 1] == 2 * g + 1
+    print("similarity of 0.8 to 0.85:", met, "of", near)
+    assert near > 50 and met >= 0.95 * near
+
+
 def test_subset_sum_is_optimal():
     rng = random.Random(5)
     for _ in range(200):
