@@ -117,6 +117,14 @@ def dual_tree_topk(queries: CoverTree, query_ids, data: CoverTree, data_ids, bes
         scores[query_ids[mine][:, None] == data_ids[other][None, :]] = -np.inf
         all_scores = np.concatenate((best_score[mine], scores), axis=1)
         all_ids = np.concatenate((best_id[mine], np.broadcast_to(data_ids[other], scores.shape)), axis=1)
+        new = data_ids[other]
+        if len(np.unique(new)) < len(new) or np.isin(new, best_id[mine]).any():
+            # of entries with one id only the best keeps its score, so repeats never fill several places
+            by = np.lexsort((-all_scores, all_ids), axis=1)
+            ids = np.take_along_axis(all_ids, by, 1)
+            again = np.zeros(ids.shape, bool)
+            np.put_along_axis(again, by[:, 1:], ids[:, 1:] == ids[:, :-1], 1)
+            all_scores[again] = -np.inf
         by = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
         best_score[mine] = np.take_along_axis(all_scores, by, 1)
         best_id[mine] = np.take_along_axis(all_ids, by, 1)
@@ -223,7 +231,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     from pyspark.sql import Window as W
 
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,13 @@ def test_search(spark):
     assert search.top_k(v.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_repeats_crowd_out_nothing(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.0])] * 6 + [(i, [1.0 / i, 0.0]) for i in range(2, 10)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = [r.vec_id for r in search.top_k(v, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [1, 2, 3, 4, 5]
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, key string, at int"
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, None, None, None), (5, 1, "user", "b"), (5, 1, "user", "a"), (None, 0, "user", "x")]
