@@ -29,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a local one only where none is set."""
+    """The checkpoint folder that the session names.  Where none is set a local master gets one of its own; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -54,11 +57,48 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows_per_class: int, text_bytes: int) -> tuple[list[tuple[int, str]], dict[int, int]]:
-    """At most ``rows_per_class`` labelled texts of each class, chosen by a hash of the id, plus the class totals.
+def new_name(df: DataFrame, name: str) -> str:
+    """``name``, if no column of ``df`` has it; an operator never replaces a column of its input."""
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the input already has a column {name}: ask for another name")
+    return name
 
-    The only rows that reach the driver: 2 * rows_per_class texts, each cut to
-    ``text_bytes`` characters.  The id list is therefore also small enough to broadcast.
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores as make it new to ``df``: for columns that leave again."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows without an id come last.
+NO_ID = (1 << 63) - 1
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns that order its documents, and their names: the id, null last, and a tie-break.
+
+    The tie-break is 0 where an id has one text only.  Rows without an id, and rows of an id that several texts share, are told
+    apart by a 64-bit hash of the text, so only rows that are equal in both are one document.
+    """
+    doc, tie = free_name(docs, "doc"), free_name(docs, "tie")
+    digest, known = F.xxhash64(F.col("text").cast("binary")), F.col("doc_id").isNotNull()
+    out = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    ids = docs.where(known).groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b")
+    shared = stored(ids.select(F.col("doc_id").cast("long").alias(tie)))
+    if shared.limit(1).count():
+        clash = free_name(docs, "clash")
+        out = out.join(shared.withColumnRenamed(tie, clash), F.col(doc) == F.col(clash), "left")
+        return out.withColumn(tie, F.when(known & F.col(clash).isNull(), 0).otherwise(digest)).drop(clash), doc, tie
+    return out.withColumn(tie, F.when(known, F.lit(0).cast("long")).otherwise(digest)), doc, tie
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows_per_class: int) -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """At most ``rows_per_class`` labelled whole texts of each class, chosen by a hash of the id, plus the class totals.
+
+    The only rows that reach the driver: 2 * rows_per_class texts, of a repeated id the least one.  The id list is
+    therefore also small enough to broadcast.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     totals = {int(r.y): int(r.n) for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -67,13 +107,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     for y in (0, 1):
         one = known.where(F.col("y") == y).orderBy(*order).limit(rows_per_class)
         picked = one if picked is None else picked.unionByName(one)
-    rows = (
-        docs.where(F.col("text").isNotNull())
-        .select("doc_id", "text")
-        .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "y", F.substring("text", 1, text_bytes).alias("text"))
-        .collect()
-    )
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     return [(r.y, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))], totals
 
 

@@ -1,9 +1,8 @@
-"""Quality classifier by compression: one zstandard dictionary per class, calibrated on the size difference.
+"""Quality classifier by compression: one zstandard dictionary per class, calibrated on normalised size differences.
 
-A text that resembles good prose is shortened more by the dictionary built from
-good text; one that resembles junk by the other.  The difference of the two compressed sizes
-over their sum, and the shorter size's share of the text, which is small for text that only
-repeats itself, are the inputs of a logistic calibration.
+A text that resembles good prose is shortened more by the dictionary built from good text, one
+that resembles junk by the other.  For each dictionary, the text's size less its compressed size,
+over the text's size, is an input of a logistic calibration; their difference tells the classes apart.
 """
 
 from __future__ import annotations
@@ -14,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, labelled_sample, logistic, table
+from .common import fold, labelled_sample, logistic, new_name, table
 
-#: Bound of the training sample: rows for each class and characters of each row.
-TRAIN_ROWS, TRAIN_CHARS = 1500, 8192
-DICT_BYTES, CHUNK_BYTES, LEVEL = 64 * 1024, 2048, 3
+#: Bound of the training sample: rows for each class; their texts are read whole.
+TRAIN_ROWS = 1500
+#: Texts are compressed in chunks that a dictionary still matters for.
+DICT_BYTES, CHUNK_BYTES, LEVEL = 64 * 1024, 1024, 3
 
 
 @dataclass(frozen=True)
@@ -53,11 +53,8 @@ def _compressor(raw: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
 
 
-def size_features(text: bytes, good, bad) -> tuple[float, float]:
-    """Over all chunks of the whole text: 100 * (bytes with the bad dictionary - bytes with the good one) / their sum,
-    and the logarithm of the good one's bytes for each byte of text."""
-    import math
-
+def size_differences(text: bytes, good, bad) -> tuple[float, float]:
+    """100 * (bytes of the text - bytes compressed) / bytes of the text, with the good and the bad dictionary, over all chunks of the whole text; 0 for an empty one."""
     if not text:
         return 0.0, 0.0
     g = b = 0
@@ -65,7 +62,23 @@ def size_features(text: bytes, good, bad) -> tuple[float, float]:
         part = text[i : i + CHUNK_BYTES]
         g += len(good.compress(part))
         b += len(bad.compress(part))
-    return 100 * (b - g) / (b + g), math.log((g + 1) / (len(text) + 1))
+    n = len(text)
+    return 100 * (n - g) / n, 100 * (n - b) / n
+
+
+def calibrate(x, y, weight) -> tuple[tuple[float, float], float]:
+    """Slopes and intercept: what the good dictionary saves may only raise a score and what the bad one saves only lower it.
+
+    An input whose slope comes out with the other sign leaves, and the rest is fitted again.
+    """
+    used = [0, 1]
+    while True:
+        fitted = logistic(x[:, used], y, weight)
+        wrong = [j for j, slope in zip(used, fitted[:-1], strict=True) if slope * (1, -1)[j] < 0]
+        if not wrong:
+            slopes = dict(zip(used, map(float, fitted[:-1]), strict=True))
+            return (slopes.get(0, 0.0), slopes.get(1, 0.0)), float(fitted[-1])
+        used = [j for j in used if j not in wrong]
 
 
 def train(sample: list[tuple[int, str]], totals: dict[int, int]) -> QualityModel:
@@ -84,12 +97,11 @@ def train(sample: list[tuple[int, str]], totals: dict[int, int]) -> QualityModel
     held = {y: v[::3] for y, v in by.items()}
     good, bad = build_dictionary(fit[1]), build_dictionary(fit[0])
     cg, cb = _compressor(good), _compressor(bad)
-    x = np.array([size_features(t, cg, cb) for y in (0, 1) for t in held[y]])
+    x = np.array([size_differences(t, cg, cb) for y in (0, 1) for t in held[y]])
     y = np.array([float(k) for k in (0, 1) for _ in held[k]])
     weight = np.where(y == 1, n1 / max(1, len(held[1])), n0 / max(1, len(held[0])))
-    weight = weight * len(y) / weight.sum()
-    first, second, intercept = logistic(x, y, weight)
-    return QualityModel(good, bad, (float(max(first, 0.0)), float(second)), float(intercept))
+    slopes, intercept = calibrate(x, y, weight * len(y) / weight.sum())
+    return QualityModel(good, bad, slopes, intercept)
 
 
 def quality_score(text: Column, model: QualityModel) -> Column:
@@ -101,23 +113,32 @@ def quality_score(text: Column, model: QualityModel) -> Column:
         import pandas as pd
 
         good, bad = _compressor(model.good), _compressor(model.bad)
-        x = np.array([size_features((t or "").encode("utf-8", "surrogatepass"), good, bad) for t in s], dtype=float).reshape(-1, 2)
+        x = np.array([size_differences((t or "").encode("utf-8", "surrogatepass"), good, bad) for t in s], dtype=float).reshape(-1, 2)
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(model.slopes) + model.intercept, -30, 30))))
 
     return score(text)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, rows_per_class: int = TRAIN_ROWS, text_chars: int = TRAIN_CHARS) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, rows_per_class: int = TRAIN_ROWS) -> QualityModel:
     allowed = fold(F.col("doc_id"), 3) != 1 if allowed is None else allowed
-    return train(*labelled_sample(docs, labels, "quality", allowed, rows_per_class, text_chars))
+    return train(*labelled_sample(docs, labels, "quality", allowed, rows_per_class))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """All rows and columns of ``docs`` plus ``quality_score``; duplicates and null ids are scored like any other row."""
-    return docs.withColumn("quality_score", quality_score(F.col("text"), fit_quality(docs, labels, **bounds)))
+def score_quality(docs: DataFrame, labels: DataFrame, out: str = "quality_score", **bounds) -> DataFrame:
+    """All rows and columns of ``docs`` plus the score in column ``out``, which must be new.
+
+    Duplicates and null ids are scored like any other row, null and empty texts as no difference; whole texts of any
+    length are read; an empty table gives an empty result; without labels every score is 0.5.
+    """
+    return docs.withColumn(new_name(docs, out), quality_score(F.col("text"), fit_quality(docs, labels, **bounds)))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document.
+
+    Null and empty texts get the score of no difference, null ids are not held out, repeated rows and ties get equal
+    scores, very long texts are read whole, an empty table gives no rows, and other columns are ignored.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, table(spark, sf_dir, "labels"))
     return scored.select(
