@@ -1,15 +1,14 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
-
-Words are mapped to classes (insult, threat, target, negation, report, other) by
-acceptors; three small weighted transducers read the class string of a clause and
-their composition gives its score: an insult or threat counts more when a target is
-near, is damped inside a negation's reach, and is damped when the clause reports
-someone else's words.  Only clauses that hold an insult or a threat are read.
-
-Insults are learned from labelled rows as word beginnings, with log-odds weights, so
-that inflected and compounded forms of any language match; target, negation, report
-and threat words are short lists.  A logistic calibration turns clause scores into a
-probability.
+"""Toxicity by a weighted finite-state pattern grammar over clauses.
+
+Acceptors map words to classes: insult, threat, intent, target, negation, report, other.  Five
+transducers are composed, each relabelling what the one before it wrote: insults become hits;
+threat words become hits where an intent opened them; a hit near a target is aimed; a
+hit inside a negation's reach is denied; a hit after a verb of speaking is reported.  Each label of
+the composed grammar has its own weight, fitted on the labelled texts' clauses around a prior in
+which denied hits count nothing and reported ones little.
+
+Insults are learned from labelled rows as words and word beginnings, with log-odds weights, so
+that inflected and compounded forms of any language match; the other classes are short lists.
 """
 
 from __future__ import annotations
@@ -23,63 +22,89 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, labelled_sample, logistic, table
+from .common import fold, labelled_sample, logistic, new_name, table
 
-#: Bound of the training sample: rows for each class and characters of each row.
-TRAIN_ROWS, TRAIN_CHARS = 2500, 8192
-STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
+#: Bound of the training sample: rows for each class; their texts are read whole.
+TRAIN_ROWS = 2500
+STEM_LENGTHS = (4, 5, 6, 7, 8)
 
 TARGETS = frozenset("you your yours yourself u he she him her they them du dich dir ihr euch sie tu te toi vous ils elle tú ti usted ustedes él ella".split())
-NEGATIONS = frozenset("not never no nor isn't aren't wasn't don't nicht kein keine nie pas jamais ni nunca tampoco".split())
-REPORTS = frozenset("said says wrote claimed quoted reported alleged called sagte schrieb behauptete dit écrit déclara dijo escribió afirmó".split())
-THREATS = frozenset("kill murder destroy hurt beat töten umbringen tuer frapper matar golpear".split())
+NEGATIONS = frozenset("not never no nor without isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais ni nunca tampoco".split())
+REPORTS = frozenset("said says say wrote writes claimed claims quoted reported alleged called sagte schrieb behauptete nannte dit écrit déclara dijo escribió afirmó".split())
+THREATS = frozenset("kill murder destroy hurt beat stab shoot töten umbringen tuer frapper matar golpear".split())
+INTENTS = frozenset("will shall gonna going i'll we'll must want werde werden will vais allons vamos voy".split())
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = range(7)
+#: Hits are symbols from here on: HIT plus the bits of their labels.
+HIT = 7
+IS_THREAT, AIMED, DENIED, REPORTED = 1, 2, 4, 8
+LABELS = 16
+SYMBOLS = HIT + LABELS
+#: What the transducers of a hit multiply its weight by before any label has been seen.
+PRIOR = {AIMED: 2.0, DENIED: 0.0, REPORTED: 0.2}
+#: Weight of a threat word, on the scale of the insults' log-odds, and how far labels may move the prior.
+THREAT_WEIGHT, LOOSENESS = 7.0, 0.02
 
 
 class Transducer:
-    """A deterministic weighted transducer over word classes: arcs[state][class] = (next state, factor on the word's weight)."""
+    """Deterministic: arcs[state][symbol read] = (next state, symbol written)."""
 
-    def __init__(self, arcs: list[list[tuple[int, float]]]):
+    def __init__(self, arcs: list[list[tuple[int, int]]]):
         self.arcs = arcs
 
-    def compose(self, other: "Transducer") -> "Transducer":
-        """Both read the same class string side by side; the factors of their arcs multiply."""
-        n = len(other.arcs)
-        arcs = []
+    def compose(self, after: "Transducer") -> "Transducer":
+        """Reads like this one; what it writes is read by ``after``, which writes the result."""
+        n, arcs = len(after.arcs), []
         for mine in self.arcs:
-            for theirs in other.arcs:
-                arcs.append([(a * n + b, x * y) for (a, x), (b, y) in zip(mine, theirs, strict=True)])
+            for theirs in after.arcs:
+                arcs.append([(a * n + theirs[w][0], theirs[w][1]) for a, w in mine])
         return Transducer(arcs)
 
-    def score(self, classes: list[int], weights: list[float]) -> float:
-        state, total = 0, 0.0
-        for c, w in zip(classes, weights, strict=True):
-            state, factor = self.arcs[state][c]
-            total += w * factor
-        return total
+    def read(self, symbols: list[int]) -> list[int]:
+        state, out = 0, []
+        for s in symbols:
+            state, w = self.arcs[state][s]
+            out.append(w)
+        return out
+
+
+def insults() -> Transducer:
+    return Transducer([[(0, HIT if s == INSULT else s) for s in range(SYMBOLS)]])
+
+
+def within(trigger: int, reach: int, write) -> Transducer:
+    """Writes ``write(symbol)`` for ``reach`` words after ``trigger``, and every other symbol as it is."""
+    return Transducer([[(reach if s == trigger else max(0, left - 1), write(s) if left else s) for s in range(SYMBOLS)] for left in range(reach + 1)])
+
+
+def threats(reach: int = 4) -> Transducer:
+    """A threat word becomes a hit only where an intent was stated shortly before."""
+    return within(INTENT, reach, lambda s: HIT + IS_THREAT if s == THREAT else s)
+
+
+def marked(trigger: int, reach: int, bit: int) -> Transducer:
+    return within(trigger, reach, lambda s: HIT + (s - HIT | bit) if s >= HIT else s)
 
 
-def countdown(trigger: int, reach: int, near: float, far: float) -> Transducer:
-    """``near`` is the factor for ``reach`` words after a word of the class ``trigger``, ``far`` elsewhere."""
-    arcs = []
-    for left in range(reach + 1):
-        nxt = max(0, left - 1)
-        arcs.append([(reach if c == trigger else nxt, near if left else far) for c in range(6)])
-    return Transducer(arcs)
+def grammar() -> tuple[Transducer, Transducer]:
+    """The composed transducer, read from left to right, and the target's, which also reads back from right to left."""
+    target = marked(TARGET, 4, AIMED)
+    return insults().compose(threats()).compose(target).compose(marked(NEGATION, 3, DENIED)).compose(marked(REPORT, 8, REPORTED)), target
 
 
-def grammar() -> Transducer:
-    return countdown(TARGET, 4, 1.5, 1.0).compose(countdown(NEGATION, 2, 0.3, 1.0)).compose(countdown(REPORT, 6, 0.5, 1.0))
+def prior(label: int) -> float:
+    out = 1.0
+    for bit, factor in PRIOR.items():
+        out *= factor if label & bit else 1.0
+    return out
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     stems: dict[str, float]
-    slope: float
+    weights: tuple[float, ...]
     intercept: float
-    threat_weight: float = 2.0
 
 
 def without_copies(sample: list[tuple[int, str]]) -> list[tuple[int, str]]:
@@ -110,7 +135,7 @@ def learn_stems(sample: list[tuple[int, str]], least_ratio: float = 20.0) -> dic
         df[y].update({w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k} | {w + " " for w in words})
     if not n[0] or not n[1]:
         return {}
-    least = max(3, n[1] // 100)
+    least = max(3, n[1] // 60)
     odds = {}
     for s, a in df[1].items():
         b = df[0][s]
@@ -131,9 +156,9 @@ def learn_stems(sample: list[tuple[int, str]], least_ratio: float = 20.0) -> dic
 
 
 class ClauseScorer:
-    def __init__(self, stems: dict[str, float], threat_weight: float):
-        self.stems, self.threat_weight = stems, threat_weight
-        self.fst = grammar()
+    def __init__(self, stems: dict[str, float]):
+        self.stems = stems
+        self.forward, self.backward = grammar()
         starts = [re.escape(s.strip()) + (r"(?![^\W_])" if s.endswith(" ") else "") for s in sorted(stems, key=lambda s: (-len(s), s))]
         starts += [re.escape(t) + r"(?![^\W_])" for t in sorted(THREATS)]
         self.hit = re.compile(r"(?<![^\W_])(?:" + "|".join(starts) + ")")
@@ -145,88 +170,114 @@ class ClauseScorer:
                 best = max(best, self.stems.get(word[:k], 0.0))
         if best:
             return INSULT, best
-        if word in THREATS:
-            return THREAT, 0.0
-        for words, c in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+        for words, c, w in ((THREATS, THREAT, THREAT_WEIGHT), (INTENTS, INTENT, 0.0), (TARGETS, TARGET, 0.0), (NEGATIONS, NEGATION, 0.0), (REPORTS, REPORT, 0.0)):
             if word in words:
-                return c, 0.0
+                return c, w
         return OTHER, 0.0
 
-    def clauses(self, text: str) -> list[float]:
-        """Scores of the clauses that hold an insult, or a threat with a target."""
-        low, out, done = text.lower(), [], -1
+    def clauses(self, text: str) -> list[list[tuple[int, float]]]:
+        """The hits, as (label, weight), of each clause that has any; only clauses around an insult or a threat word are read."""
+        low, out, done = text.lower(), [], 0
         for m in self.hit.finditer(low):
             if m.start() < done:
                 continue
-            start = 0
+            start = done
             for stop in ".!?;:\n":
-                start = max(start, low.rfind(stop, done if done > 0 else 0, m.start()) + 1)
-            start = max(start, done)
+                start = max(start, low.rfind(stop, start, m.start()) + 1)
             end = CLAUSE.search(low, m.start())
             done = end.end() if end else len(low)
             tagged = [self._class(w) for w in WORDS.findall(low, start, done)]
-            aimed = any(c == TARGET for c, _ in tagged)
-            classes = [c for c, _ in tagged]
-            score = self.fst.score(classes, [self.threat_weight * aimed if c == THREAT else w for c, w in tagged])
-            if score > 0:
-                out.append(score)
+            written = self.forward.read([c for c, _ in tagged])
+            written = self.backward.read(written[::-1])[::-1]
+            hits = [(s - HIT, w) for s, (_, w) in zip(written, tagged, strict=True) if s >= HIT]
+            if hits:
+                out.append(hits)
         return out
 
-    def feature(self, text: str) -> float:
-        import math
+    def features(self, text: str) -> list[float]:
+        """Summed weights of the hits of each label over the clauses of the whole text."""
+        x = [0.0] * LABELS
+        for clause in self.clauses(text) if text else ():
+            for label, w in clause:
+                x[label] += w
+        return x
 
-        return math.log1p(sum(self.clauses(text))) if text else 0.0
+
+def fit_weights(x, y, weight) -> tuple[tuple[float, ...], float]:
+    """A weight for each label and the intercept: a common scale of the prior, from which labels depart as the data ask.
+
+    Departures are held back by the ridge, so a label that the labelled texts hardly show keeps its prior.
+    """
+    import numpy as np
+
+    p = np.array([prior(k) for k in range(LABELS)])
+    fitted = logistic(np.column_stack([x @ p, LOOSENESS * x]), y, weight)
+    scale = max(float(fitted[0]), 0.0)
+    weights = np.maximum(scale * p + LOOSENESS * fitted[1:-1], 0.0)
+    return tuple(map(float, weights)), float(fitted[-1])
 
 
 def train(sample: list[tuple[int, str]], totals: dict[int, int]) -> ToxicityModel:
-    """Stems from the sample, then a calibration on out-of-fold features; with one class, its share is every score."""
+    """Stems from the sample, then label weights on out-of-fold features; with one class, its share is every score."""
     import numpy as np
 
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     sample = without_copies(sample)
     ys = [y for y, _ in sample]
     if min(ys.count(0), ys.count(1)) < 3:
-        return ToxicityModel({}, 0.0, float(np.log((n1 + 0.5) / (n0 + 0.5))) if n0 + n1 else 0.0)
-    stems = learn_stems(sample)
+        return ToxicityModel({}, (0.0,) * LABELS, float(np.log((n1 + 0.5) / (n0 + 0.5))) if n0 + n1 else 0.0)
     xs, y = [], []
     for part in range(2):
-        scorer = ClauseScorer(learn_stems([r for i, r in enumerate(sample) if i % 2 != part]), 2.0)
+        scorer = ClauseScorer(learn_stems([r for i, r in enumerate(sample) if i % 2 != part]))
         for i, (label, text) in enumerate(sample):
             if i % 2 == part:
-                xs.append([scorer.feature(text)])
+                xs.append(scorer.features(text))
                 y.append(float(label))
     y = np.array(y)
     weight = np.where(y == 1, n1 / ys.count(1), n0 / ys.count(0))
-    slope, intercept = logistic(np.array(xs), y, weight * len(y) / weight.sum())
-    return ToxicityModel(stems, float(max(slope, 0.0)), float(intercept))
+    weights, intercept = fit_weights(np.array(xs), y, weight * len(y) / weight.sum())
+    return ToxicityModel(learn_stems(sample), weights, intercept)
+
+
+def log_odds(scorer: ClauseScorer, model: ToxicityModel, text: str | None) -> float:
+    return model.intercept + sum(w * x for w, x in zip(model.weights, scorer.features(text or ""), strict=True))
 
 
 def toxicity_score(text: Column, model: ToxicityModel) -> Column:
-    """Score from 0 to 1; null and empty texts have no clause and get the calibrated base value."""
+    """Score from 0 to 1; null and empty texts have no clause and get the fitted base value."""
 
     @F.pandas_udf(T.DoubleType())
     def score(s):
         import numpy as np
         import pandas as pd
 
-        scorer = ClauseScorer(model.stems, model.threat_weight)
-        x = np.array([scorer.feature(t) if t else 0.0 for t in s], dtype=float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(model.slope * x + model.intercept, -30, 30))))
+        scorer = ClauseScorer(model.stems)
+        x = np.array([log_odds(scorer, model, t) for t in s], dtype=float)
+        return pd.Series(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
     return score(text)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, rows_per_class: int = TRAIN_ROWS, text_chars: int = TRAIN_CHARS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, rows_per_class: int = TRAIN_ROWS) -> ToxicityModel:
     allowed = fold(F.col("doc_id"), 5) != 0 if allowed is None else allowed
-    return train(*labelled_sample(docs, labels, "toxic", allowed, rows_per_class, text_chars))
+    return train(*labelled_sample(docs, labels, "toxic", allowed, rows_per_class))
+
 
+def score_toxicity(docs: DataFrame, labels: DataFrame, out: str = "toxicity_score", **bounds) -> DataFrame:
+    """All rows and columns of ``docs`` plus the score in column ``out``, which must be new.
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """All rows and columns of ``docs`` plus ``toxicity_score``."""
-    return docs.withColumn("toxicity_score", toxicity_score(F.col("text"), fit_toxicity(docs, labels, **bounds)))
+    Null and empty texts get the base score, repeated rows and null ids are scored like others, whole texts of any
+    length are read, and an empty table gives an empty result.
+    """
+    return docs.withColumn(new_name(docs, out), toxicity_score(F.col("text"), fit_toxicity(docs, labels, **bounds)))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document.
+
+    Null and empty texts get the base score, null ids are not held out, repeated rows and ties get equal scores, very
+    long texts are read whole, an empty table gives no rows, and other columns are ignored.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.select(
