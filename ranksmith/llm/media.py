@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,38 @@ class Segment:
     length: int
 
 
+class Blob(bytes):
+    """A blob that finds the places of a marker once, however many hits ask for them."""
+
+    def places(self, marker: bytes) -> list[int]:
+        known = self.__dict__.setdefault("known", {})
+        if marker not in known:
+            known[marker], at = [], self.find(marker)
+            while at >= 0:
+                known[marker].append(at)
+                at = self.find(marker, at + 1)
+        return known[marker]
+
+    def next(self, marker: bytes, start: int) -> int:
+        """First place of ``marker`` at or after ``start``, or -1."""
+        found = self.places(marker)
+        k = bisect_left(found, start)
+        return found[k] if k < len(found) else -1
+
+    def archives(self) -> dict[int, int]:
+        """Start and end of the ZIP archives that the end records declare; of several with one start the first."""
+        known = self.__dict__.setdefault("known", {})
+        if "archives" not in known:
+            known["archives"] = out = {}
+            for end in self.places(b"PK\x05\x06"):
+                if end + 22 <= len(self):
+                    size, offset, note = struct.unpack_from("<IIH", self, end + 12)
+                    start = end - size - offset
+                    if start >= 0 and self[end - size : end - size + 4] == b"PK\x01\x02" and end + 22 + note <= len(self):
+                        out.setdefault(start, end + 22 + note)
+        return known["archives"]
+
+
 def _riff(b: bytes, i: int) -> tuple[str, int] | None:
     """RIFF: the form names WAVE, WEBP or AVI; chunks must tile the declared length."""
     if i + 12 > len(b):
@@ -72,7 +105,7 @@ def _png(b: bytes, i: int) -> tuple[str, int] | None:
     while at + 12 <= len(b):
         n, name = struct.unpack_from(">I4s", b, at)
         end = at + 12 + n
-        if end > len(b) or first != (name == b"IHDR") or zlib.crc32(b[at + 4 : at + 8 + n]) != struct.unpack_from(">I", b, at + 8 + n)[0]:
+        if end > len(b) or first and n != 13 or not name.isalpha() or first != (name == b"IHDR") or zlib.crc32(b[at + 4 : at + 8 + n]) != struct.unpack_from(">I", b, at + 8 + n)[0]:
             return None
         if name == b"IEND":
             return "image/png", end - i
@@ -89,7 +122,7 @@ def _jpeg(b: bytes, i: int) -> tuple[str, int] | None:
             return None
         at += 2 + n
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", at)
+            end = b.next(b"\xff\xd9", at)
             return ("image/jpeg", end + 2 - i) if end >= 0 else None
     return None
 
@@ -129,30 +162,37 @@ def _bmp(b: bytes, i: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if offset + (width * bits + 31) // 32 * 4 * abs(height) <= size else None
 
 
-def _gzip(b: bytes, i: int) -> tuple[str, int] | None:
-    d = zlib.decompressobj(31)
+def _gzip(b: Blob, i: int) -> tuple[str, int] | None:
+    """GZIP: no reserved flag, and a stream that ends with the right checksum; what it unpacks to is dropped piece by piece."""
+    if i + 18 > len(b) or b[i + 3] & 0xE0:
+        return None
+    # a stored name or comment ends with a zero byte, here within 4 KB
+    if b[i + 3] & 0x18 and b.find(b"\0", i + 10, i + 10 + (1 << 12)) < 0:
+        return None
+    d, at, rest, step = zlib.decompressobj(31), i, b"", 1 << 12
     try:
-        d.decompress(b[i:])
+        while not d.eof:
+            if not rest:
+                rest, at, step = b[at : at + step], at + step, min(2 * step, 1 << 16)
+                if not rest:
+                    return None
+            d.decompress(rest, step)
+            rest = d.unconsumed_tail
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - i - len(d.unused_data)) if d.eof else None
+    return "application/gzip", min(at, len(b)) - len(d.unused_data) - i
 
 
-def _zip(b: bytes, i: int) -> tuple[str, int] | None:
+def _zip(b: Blob, i: int) -> tuple[str, int] | None:
     """ZIP: an end record whose directory offset leads back to this first entry."""
-    end = b.find(b"PK\x05\x06", i)
-    while end >= 0:
-        if end + 22 <= len(b):
-            size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-            if i + offset + size == end and b[i + offset : i + offset + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
-                return "application/zip", end + 22 + note - i
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    end = b.archives().get(i)
+    return ("application/zip", end - i) if end else None
 
 
-def _pdf(b: bytes, i: int) -> tuple[str, int] | None:
-    end = b.rfind(b"%%EOF", i)
-    return ("application/pdf", end + 5 - i) if end >= 0 and b.find(b"startxref", i, end) >= 0 else None
+def _pdf(b: Blob, i: int) -> tuple[str, int] | None:
+    """PDF: a cross-reference pointer and, after it, the last end mark of the blob."""
+    ends, at = b.places(b"%%EOF"), b.next(b"startxref", i)
+    return ("application/pdf", ends[-1] + 5 - i) if ends and 0 <= at < ends[-1] else None
 
 
 def _ogg(b: bytes, i: int) -> tuple[str, int] | None:
@@ -216,7 +256,7 @@ def automaton():
 
 def sniff(blob: bytes, auto) -> list[Segment]:
     """Validated segments in order of start, the outer ones first; segments inside another are kept as embedded media."""
-    found = []
+    found, blob = [], Blob(blob)
     for last, magic in auto.iter(blob.decode("latin-1")):
         start = last - len(magic) + 1
         if hit := VALIDATORS[magic](blob, start):
@@ -259,7 +299,7 @@ def sniffed(blob: Column, declared: Column) -> Column:
 
         auto, out = automaton(), []
         for b, t in zip(blobs, types, strict=True):
-            found = sniff(bytes(b), auto) if b else []
+            found = sniff(b, auto) if b else []
             mime = found[0].mime if found and found[0].start == 0 else t or UNKNOWN
             out.append((mime, mime == t, [(s.mime, s.start, s.length) for s in found]))
         return pd.DataFrame(out, columns=["mime", "was_declared", "segments"])
@@ -331,6 +371,11 @@ def media_digest(blob: Column, declared: Column) -> Column:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes as a WAVE blob that was declared text/plain: sniffed, corrected, read back and described.
+
+    Null texts count as empty, and an empty text is one unit of padding; texts of any length are stored whole; repeated
+    rows and ties get equal values, null ids keep their rows; an empty table gives no rows; other columns are ignored.
+    """
     docs = table(spark, sf_dir, "documents")
     stored = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), encode_text(F.col("text")).alias("content"))
-    return stored.select("doc_id", "n_bytes", media_digest(F.col("content"), F.lit(UNKNOWN)).alias("d")).select("doc_id", "n_bytes", "d.*")
+    return stored.select("doc_id", "n_bytes", media_digest(F.col("content"), F.lit("text/plain")).alias("d")).select("doc_id", "n_bytes", "d.*")
