@@ -1,12 +1,14 @@
 """Layout-aware text of HTML pages.
 
-A tolerant tokenizer feeds a tree builder that supplies omitted tags; hidden elements are
-left out; the visible text is emitted with block spacing, list markers and table cells
-padded to the width of their columns.
+A tolerant tokenizer feeds a tree builder that supplies omitted tags and moves stray content
+of tables before them; the visible text is emitted with block spacing, list markers and table
+cells padded to the width of their columns.  ``display: none`` and ``hidden`` remove an element with
+all below it; ``visibility`` is inherited and may be set back.  Pictures and drawings have no text.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from html.parser import HTMLParser
 
@@ -14,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import new_name, table
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link datalist iframe object svg math audio video canvas".split())
+UNSEEN = frozenset("head script style template noscript title meta link datalist iframe object svg audio video canvas".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("article blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre section table ul menu footer header nav".split())
 CLOSES_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot caption legend optgroup option summary".split())
@@ -38,7 +40,16 @@ IMPLIED_END = {
     "body": ({"head"}, {"html"}),
 }
 SCOPE = frozenset("table td th caption html body template".split())
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template head".split())
+IN_TABLE = frozenset("table thead tbody tfoot tr".split())
+TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
+KEPT_IN_TABLE = TABLE_PARTS | {"script", "style", "template"}
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+#: The greatest spans of a cell in the HTML standard.
+COLSPAN, ROWSPAN = 1000, 65534
+#: Blanks fill a column up to this width and a line up to this place; what is longer stands two blanks further on.
+COLUMN_WIDTH, LINE_WIDTH = 80, 400
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -54,20 +65,40 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        #: Places of each tag among the open elements, so that no tag is searched for in all of them.
+        self.at: dict[str, list[int]] = {}
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these tags; 0, the root's, for none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def _cut(self, place: int) -> None:
+        """Closes the open elements from ``place`` on."""
+        for node in self.open[place:]:
+            self.at[node.tag].pop()
+        del self.open[place:]
 
     def _end(self, tags, stop) -> None:
         """Closes the innermost open element among ``tags`` unless a ``stop`` element lies inside it."""
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in tags:
-                del self.open[i:]
-                return
-            if tag in stop:
-                return
+        found = self._last(tags)
+        if found and found > self._last(stop - tags):
+            self._cut(found)
+
+    def _parent(self, tag: str | None) -> tuple[Node, int]:
+        """Where a new node goes: under the innermost open element or, for what a table cannot hold there, before that table."""
+        here = self.open[-1]
+        if here.tag in IN_TABLE and tag not in KEPT_IN_TABLE:
+            place = self._last({"table"})
+            if place:
+                above = self.open[place - 1]
+                return above, next(i for i in range(len(above.kids) - 1, -1, -1) if above.kids[i] is self.open[place])
+        return here, len(here.kids)
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
+            self._cut(len(self.open) - 1)
         if tag in CLOSES_P:
             self._end({"p"}, SCOPE)
         if tag in IMPLIED_END:
@@ -76,21 +107,27 @@ class TreeBuilder(HTMLParser):
             while before != len(self.open):
                 before = len(self.open)
                 self._end(ends, stop)
+        if tag in TABLE_PARTS and self.at.get("table"):
+            inside = self._last(IN_TABLE)
+            if inside > self._last({"td", "th", "caption"}):
+                self._cut(inside + 1)
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._push("tr", {})
         node = self._push(tag, dict(attrs))
         if tag in VOID:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         return node
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag and tag in ("svg", "math", "path"):
-            self.open.pop()
+        if tag not in VOID and self.open[-1].tag == tag and self.at.get("svg", self.at.get("math")):
+            self._cut(len(self.open) - 1)
 
     def _push(self, tag, attrs):
         node = Node(tag, attrs)
-        self.open[-1].kids.append(node)
+        parent, place = self._parent(tag)
+        parent.kids.insert(place, node)
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(node)
         return node
 
@@ -100,22 +137,31 @@ class TreeBuilder(HTMLParser):
         if tag == "br":
             self.open[-1].kids.append(Node("br", {}))
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                return
+        found = self._last({tag})
+        walls = () if tag in TABLE_PARTS or tag == "table" else ("td", "th", "table")
+        if found and found >= self._last(walls):
+            self._cut(found)
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
-        self.open[-1].kids.append(data)
+            self._cut(len(self.open) - 1)
+        parent, place = self._parent(None) if data.strip() else (self.open[-1], len(self.open[-1].kids))
+        parent.kids.insert(place, data)
 
 
 def hidden(node: Node) -> bool:
+    """Neither the element nor anything below it is laid out."""
     a = node.attrs
-    return node.tag in UNSEEN or "hidden" in a or bool(a.get("style") and HIDING.search(a["style"])) or node.tag == "input" and (a.get("type") or "").lower() == "hidden"
+    if node.tag in UNSEEN or node.tag == "input" and (a.get("type") or "").lower() == "hidden":
+        return True
+    display = DISPLAY.findall(a["style"]) if a.get("style") else ()
+    return display[-1].lower() == "none" if display else "hidden" in a
+
+
+def visible(node: Node, above: bool) -> bool:
+    """Whether the element's own text shows, by its ``visibility`` or else that of the element above."""
+    found = VISIBILITY.findall(node.attrs["style"]) if node.attrs.get("style") else ()
+    return found[-1].lower() not in ("hidden", "collapse") if found and found[-1].lower() != "inherit" else above
 
 
 class Flow:
@@ -202,46 +248,81 @@ def _table_rows(node: Node) -> tuple[list[Node], list[Node]]:
     return rows, captions
 
 
-def _aligned(node: Node, depth: int) -> list[str]:
-    """Caption lines, then one line group for each row: cells padded to their column's width, two blanks apart."""
+def _span(cell: Node, name: str, most: int) -> int:
+    n = cell.attrs.get(name) or ""
+    if not (n.isascii() and n.isdecimal()):
+        return 1
+    n = int(n[:9])
+    return most if n == 0 and name == "rowspan" else min(max(n, 1), most)
+
+
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, e in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((a, e))
+    return out
+
+
+def _aligned(node: Node, show: bool, done: dict) -> list[str]:
+    """Caption lines, then one line group for each row: cells padded to their column's width, two blanks apart.
+
+    Cells stand in their columns, spans of columns and rows counted; columns without text take no room.
+    """
     rows, captions = _table_rows(node)
-    out = [line for c in captions for line in layout(c, depth + 1)]
-    grid: list[list[list[str]]] = []
-    for r in rows:
-        cells = []
+    out = [line for c in captions for line in layout(c, visible(c, show), done)]
+    grid: list[list[tuple[int, list[str]]]] = []
+    # cells that reach down: (row after their last, first column, end), and the columns they hold as joined ranges
+    held: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int]] = []
+    widths: dict[int, int] = {}
+    for row, r in enumerate(rows):
+        if held and held[0][0] <= row:
+            while held and held[0][0] <= row:
+                heapq.heappop(held)
+            taken = _joined([(a, e) for _, a, e in held])
+        cells, col, nxt, fresh = [], 0, 0, []
         for c in r.kids:
-            if isinstance(c, str) or hidden(c):
+            if isinstance(c, str) or hidden(c) or c.tag not in ("td", "th"):
                 continue
-            if c.tag in ("td", "th"):
-                cells.append(layout(c, depth + 1) or [""])
-                span = c.attrs.get("colspan") or ""
-                cells += [[""]] * (min(int(span), 1000) - 1 if span.isdecimal() and span.isascii() and len(span) < 5 else 0)
+            wide, tall = _span(c, "colspan", COLSPAN), _span(c, "rowspan", ROWSPAN)
+            while nxt < len(taken) and taken[nxt][0] <= col:
+                col, nxt = max(col, taken[nxt][1]), nxt + 1
+            lines = layout(c, visible(c, visible(r, show)), done)
+            if lines:
+                cells.append((col, lines))
+                widths[col] = max(widths.get(col, 0), min(COLUMN_WIDTH, max(map(len, lines))))
+            if tall > 1:
+                fresh.append((col, col + wide))
+                heapq.heappush(held, (row + tall, col, col + wide))
+            col += wide
+        if fresh:
+            taken = _joined(taken + fresh)
         grid.append(cells)
-    widths: list[int] = []
+    place, at = {}, 0
+    for col in sorted(widths):
+        place[col] = at
+        at += widths[col] + 2
     for cells in grid:
-        for i, c in enumerate(cells):
-            w = max(map(len, c))
-            if i == len(widths):
-                widths.append(w)
-            else:
-                widths[i] = max(widths[i], w)
-    for cells in grid:
-        for k in range(max((len(c) for c in cells), default=0)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(widths[i]) for i, c in enumerate(cells)).rstrip(" "))
+        for k in range(max((len(lines) for _, lines in cells), default=0)):
+            line = ""
+            for col, lines in cells:
+                if k < len(lines) and lines[k]:
+                    # a cell wider than its column pushes the next ones on
+                    line = line.ljust(max(min(place[col], LINE_WIDTH), len(line) + 2 if line else 0)) + lines[k]
+            out.append(line)
     return out
 
 
-#: Tables nested deeper than this are laid out as plain blocks.
-TABLE_DEPTH = 8
-
-
-def layout(root: Node, depth: int = 0) -> list[str]:
-    """Lines of the visible text under ``root``."""
+def layout(root: Node, show: bool, done: dict) -> list[str]:
+    """Lines of the visible text under ``root``; ``done`` holds the lines of the tables below it."""
     flow = Flow()
-    todo: list = [("in", k, False, 0) for k in root.kids[::-1]]
+    todo: list = [("in", k, False, show) for k in root.kids[::-1]]
     counters: list[list] = []
     while todo:
-        what, node, pre, _ = todo.pop()
+        what, node, pre, show = todo.pop()
         if what == "out":
             tag = node.tag
             if tag in ("ul", "ol", "menu"):
@@ -261,24 +342,26 @@ def layout(root: Node, depth: int = 0) -> list[str]:
                 flow.brk()
             continue
         if isinstance(node, str):
-            flow.text(node, pre)
+            if show:
+                flow.text(node, pre)
             continue
         if hidden(node):
             continue
-        tag = node.tag
+        tag, show = node.tag, visible(node, show)
         if tag == "br":
             flow.brk(True)
             continue
         if tag == "hr":
             flow.gap()
-            flow.block(["---"])
+            if show:
+                flow.block(["---"])
             flow.gap()
             continue
         if tag == "img" or tag == "input":
             continue
-        if tag == "table" and depth < TABLE_DEPTH:
+        if tag == "table":
             flow.gap()
-            flow.block(_aligned(node, depth))
+            flow.block(done[id(node)])
             flow.gap()
             continue
         if tag in BLOCK:
@@ -292,7 +375,7 @@ def layout(root: Node, depth: int = 0) -> list[str]:
                 if counters and counters[-1][0]:
                     mark = f"{counters[-1][1]}. "
                     counters[-1][1] += 1
-                flow.marker = flow.indent + mark
+                flow.marker = flow.indent + mark if show else None
                 flow.indent += " " * len(mark)
                 node.attrs["\0width"] = len(mark)
             elif tag in ("dd", "blockquote"):
@@ -302,12 +385,24 @@ def layout(root: Node, depth: int = 0) -> list[str]:
                 flow.gap()
             else:
                 flow.brk()
-            todo.append(("out", node, pre, 0))
+            todo.append(("out", node, pre, show))
         inner = pre or tag in ("pre", "textarea")
-        todo += [("in", k, inner, 0) for k in node.kids[::-1]]
+        todo += [("in", k, inner, show) for k in node.kids[::-1]]
     return flow.result()
 
 
+def _tables(root: Node) -> list[tuple[Node, bool]]:
+    """All tables that are laid out, outer ones before inner ones, and whether their own text shows."""
+    out, todo = [], [(root, True)]
+    while todo:
+        node, show = todo.pop()
+        show = visible(node, show)
+        if node.tag == "table":
+            out.append((node, show))
+        todo += [(k, show) for k in node.kids if not isinstance(k, str) and not hidden(k)]
+    return out
+
+
 def render(html: str | None) -> str:
     """Visible text of a page; null and empty pages give an empty text."""
     if not html:
@@ -315,7 +410,10 @@ def render(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return "\n".join(layout(builder.root))
+    done: dict[int, list[str]] = {}
+    for node, show in reversed(_tables(builder.root)):
+        done[id(node)] = _aligned(node, show, done)
+    return "\n".join(layout(builder.root, True, done))
 
 
 def html_text(html):
@@ -329,9 +427,14 @@ def html_text(html):
 
 
 def extract_pages(pages: DataFrame, html: str = "html", out: str = "page_text") -> DataFrame:
-    """All rows and columns of ``pages`` plus the visible text."""
-    return pages.withColumn(out, html_text(F.col(html)))
+    """All rows and columns of ``pages`` plus the visible text in column ``out``, which must be new.
+
+    Null and empty pages give an empty text; pages of any length and depth are read whole, in time that grows with
+    their length; repeated rows get equal texts; an empty table gives an empty result.
+    """
+    return pages.withColumn(new_name(pages, out), html_text(F.col(html)))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page; nulls, empty and long pages, repeats and empty tables as ``extract_pages`` says."""
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), out="text").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
