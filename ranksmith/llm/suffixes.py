@@ -10,7 +10,9 @@ strings in each 100-byte window the one with the least hash is its anchor, so eq
 have equal anchors.  Windows of consecutive starts with one anchor form a segment.  Segments
 with equal bytes need no comparison beyond their hashes; differing segments around one anchor
 value go, once each, to a shard whose suffix array and permuted common prefixes find the
-windows that they share.
+windows that they share.  An anchor with very many differing segments is narrowed first: its
+segments are halved by where the anchor lies in their windows and dealt by the longer context that
+all windows of a half have in common, until the groups are small.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free_name, keyed, new_name, stored, table
 
 LENGTH = 100
 ANCHOR = 28
 #: Bytes of documents hashed at a time, and of segments in one shard.
 CHUNK, SHARD_BYTES = 1 << 19, 1 << 19
-#: Differing segments of one anchor value that a shard takes; beyond, windows meet by their hashes.
+#: Differing segments of one anchor or context that meet in one shard; more are narrowed.
 ANCHOR_SEGMENTS = 20_000
+#: A segment with over this share of all occurrences meets its first one by a broadcast of at most as many rows.
+HOT_SHARE = 50_000
 
 
 def _types(s):
@@ -172,40 +176,48 @@ def suffix_array(s, sigma: int | None = None):
     return induce(s, small, order, sigma)
 
 
-def permuted_lcp(s, sa, cap: int):
+def permuted_lcp(s, sa, cap: int, stride: int = 16):
     """Common prefix, up to ``cap``, of each suffix with its predecessor in the array, in text order.
 
-    Blocks of doubling length are compared from the longest down, for all suffixes at once.
+    A suffix shares at most one character less with its predecessor than the suffix before it in the text.
+    So every ``stride``-th prefix is measured from nothing and gives a lower bound from which those behind it go on;
+    four characters are compared at a time, for all open suffixes at once.
     """
     import numpy as np
 
     n = len(s)
     prev = np.full(n, n - 1)
     prev[sa[1:]] = sa[:-1]
-    top = max(1, cap.bit_length())
-    padded = np.concatenate((s.astype(np.uint64) + np.uint64(1), np.zeros(1 << top, np.uint64)))
-    blocks = [padded]
-    for k in range(top - 1):
-        h, width = blocks[-1], 1 << k
-        nxt = h * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) + np.concatenate((h[width:], np.zeros(width, np.uint64)))
-        nxt = (nxt ^ (nxt >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        nxt ^= nxt >> np.uint64(29)
-        blocks.append(nxt)
-    i, l = np.arange(n), np.zeros(n, np.int64)
-    for k in range(top - 1, -1, -1):
-        same = blocks[k][np.minimum(i + l, len(padded) - 1)] == blocks[k][np.minimum(prev + l, len(padded) - 1)]
-        l += np.where(same, 1 << k, 0)
-    l[sa[0]] = 0
-    return np.minimum(l, cap)
-
-
-def repeated_windows(parts: list[bytes], docs, starts, length: int = LENGTH):
-    """(part, offset) of every ``length``-byte window that also occurs at a smaller (doc, start) in these parts."""
+    padded = np.concatenate((s.astype(np.uint64), np.zeros(cap + 8, np.uint64)))
+    words = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
+    length = np.zeros(n, np.int64)
+
+    def extend(i):
+        while len(i):
+            x = words[i + length[i]] ^ words[prev[i] + length[i]]
+            same = x == 0
+            length[i] += np.where(same, 4, np.bitwise_count((x & -x) - np.uint64(1)) >> 4)
+            i = i[same & (length[i] < cap)]
+
+    start = int(sa[0])
+    at = np.arange(n)
+    rest = at[(at % stride != 0) & (at != start)]
+    extend(at[(at % stride == 0) & (at != start)])
+    np.minimum(length, cap, out=length)
+    length[rest] = np.maximum(length[rest - rest % stride] - rest % stride, 0)
+    extend(rest)
+    return np.minimum(length, cap)
+
+
+def repeated_windows(parts: list[bytes], order, length: int = LENGTH):
+    """(part, offset) of every ``length``-byte window that also occurs at a smaller place in these parts.
+
+    ``order``: columns (document, ..., start) of the parts, the most significant first.
+    """
     import numpy as np
 
     sizes = np.array([len(p) for p in parts])
-    joined = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
-    text = joined.astype(np.int64) + 2
+    text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int64) + 2
     ends = np.cumsum(sizes + 1) - 1
     text[ends] = 1
     s = np.concatenate((text, [0]))
@@ -217,26 +229,17 @@ def repeated_windows(parts: list[bytes], docs, starts, length: int = LENGTH):
     group = np.cumsum(lcp < length)
     at = np.flatnonzero(valid[sa])
     pos, group = sa[at], group[at]
-    by = np.lexsort((np.asarray(starts)[part[pos]] + offset[pos], np.asarray(docs)[part[pos]], group))
+    *docs, starts = (np.asarray(c) for c in order)
+    by = np.lexsort((starts[part[pos]] + offset[pos], *(c[part[pos]] for c in docs[::-1]), group))
     pos, group = pos[by], group[by]
-    later = np.concatenate(([False], group[1:] == group[:-1]))
-    # what the block hashes found equal is compared byte by byte with its group's first window
-    first = np.maximum.accumulate(np.where(later, 0, np.arange(len(pos))))
-    p, q = pos[later], pos[first[later]]
-    for k in range(length):
-        if not (s[p + k] == s[q + k]).all():
-            raise RuntimeError("block hashes of unequal windows agree")
+    p = pos[np.concatenate(([False], group[1:] == group[:-1]))]
     return part[p], offset[p]
 
 
-def anchored_segments(data, bounds, length: int = LENGTH, anchor: int = ANCHOR):
-    """Segments of a byte array that holds documents at ``bounds``: arrays (first window, last window, anchor hash)."""
+def _anchor_hashes(data, anchor: int):
+    """Hashes of all strings of ``anchor`` bytes, and keys whose least is the anchor of a window: least hash, leftmost among equals."""
     import numpy as np
 
-    n, w = len(data), length - anchor + 1
-    empty = np.empty(0, np.int64)
-    if n < length:
-        return empty, empty, np.empty(0, np.uint64)
     h, hashes, width = data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019), {}, 1
     h ^= h >> np.uint64(31)
     hashes[1] = h
@@ -252,9 +255,20 @@ def anchored_segments(data, bounds, length: int = LENGTH, anchor: int = ANCHOR):
             have += part
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    # least hash, leftmost among equals: the low bits hold the position
-    key = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
-    m, span = key, 1
+    # the low bits hold the position
+    return h, (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
+
+
+def anchored_segments(data, bounds, length: int = LENGTH, anchor: int = ANCHOR):
+    """Segments of a byte array that holds documents at ``bounds``: arrays (first window, last window, anchor hash)."""
+    import numpy as np
+
+    n, w = len(data), length - anchor + 1
+    empty = np.empty(0, np.int64)
+    if n < length:
+        return empty, empty, np.empty(0, np.uint64)
+    h, m = _anchor_hashes(data, anchor)
+    span = 1
     while span * 2 <= w:
         m = np.minimum(m[:-span], m[span:])
         span *= 2
@@ -276,22 +290,22 @@ def anchored_segments(data, bounds, length: int = LENGTH, anchor: int = ANCHOR):
 
 
 def _chunks(batches, limit: int, length: int):
-    """(ids, first byte of each piece in its document, bytes, bounds): whole documents up to ``limit`` bytes, longer ones in overlapping pieces."""
+    """(ids and ties, first byte of each piece in its document, bytes, bounds): whole documents up to ``limit`` bytes, longer ones in overlapping pieces."""
     import numpy as np
 
     ids, firsts, parts, size = [], [], [], 0
 
     def flush():
         bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        return ids, firsts, np.frombuffer(b"".join(parts), np.uint8), bounds
+        return np.array(ids, np.int64).reshape(-1, 2), np.array(firsts, np.int64), np.frombuffer(b"".join(parts), np.uint8), bounds
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, tie, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             if text is None or len(text) < length:
                 continue
             for at in range(0, len(text) - length + 1, limit):
                 piece = text[at : at + limit + length - 1]
-                ids.append(doc)
+                ids.append((doc, tie))
                 firsts.append(at)
                 parts.append(piece)
                 size += len(piece)
@@ -302,13 +316,8 @@ def _chunks(batches, limit: int, length: int):
         yield flush()
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc, body): ids with null as the greatest, UTF-8 bytes."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col("text").cast("binary").alias("body"))
-
-
-def _segments(docs: DataFrame, length: int, anchor: int, full: bool) -> DataFrame:
-    """full: (h, s, doc, lo, n) of every segment, h and s being hashes of anchor and bytes; else (h, c), counts of anchors by chunk."""
+def _segments(bodies: DataFrame, length: int, anchor: int, full: bool) -> DataFrame:
+    """full: (h, s, doc, tie, lo, n) of every segment, h and s being hashes of anchor and bytes; else (h, c), counts of anchors by chunk."""
 
     def run(batches):
         import numpy as np
@@ -327,69 +336,122 @@ def _segments(docs: DataFrame, length: int, anchor: int, full: bool) -> DataFram
             view = memoryview(data)
             s = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)), np.uint64, len(first))
             of = np.searchsorted(bounds, first, side="right") - 1
-            lo = first - bounds[of] + np.array(firsts, np.int64)[of]
-            doc = np.array(ids, np.int64)[of]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc), pa.array(lo), pa.array((last - first).astype(np.int32))], names=["h", "s", "doc", "lo", "n"])
+            columns = [h.view(np.int64), s.view(np.int64), ids[of, 0], ids[of, 1], first - bounds[of] + firsts[of], (last - first).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "s", "doc", "tie", "lo", "n"])
 
-    return _numbered(docs).mapInArrow(run, "h long, s long, doc long, lo long, n int" if full else "h long, c long")
+    return bodies.mapInArrow(run, "h long, s long, doc long, tie long, lo long, n int" if full else "h long, c long")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, anchor_segments: int = ANCHOR_SEGMENTS) -> DataFrame:
-    """(doc, start, end) byte spans, possibly overlapping, that windows of ``length`` bytes cover which also start earlier."""
-    # stored, so that the join deals out both its sides and can split an anchor with very many segments
-    often = stored(_segments(docs, length, anchor, False).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"))
-    segments = stored(_segments(docs, length, anchor, True).join(often, "h", "left_semi"))
-    kinds = stored(segments.groupBy("h", "s").agg(F.min(F.struct("doc", "lo")).alias("rep"), F.max("n").alias("n"), F.count("*").alias("c")))
+SPAN = "doc long, tie long, start long, end long"
+PLACE = ["doc", "tie", "lo"]
+
 
-    # equal segments: all but the first occurrence go as a whole
-    several = kinds.where("c > 1").select("h", "s", "rep")
-    equal = segments.join(several, ["h", "s"]).where((F.col("doc") != F.col("rep.doc")) | (F.col("lo") != F.col("rep.lo")))
-    equal = equal.select("doc", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + length).alias("end"))
+def repeated_spans(bodies: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, anchor_segments: int = ANCHOR_SEGMENTS) -> DataFrame:
+    """(doc, tie, start, end) byte spans, possibly overlapping, that windows of ``length`` bytes cover which also start earlier, from (doc, tie, body)."""
+    # stored, so that the join deals out both its sides and can split an anchor with very many segments
+    often = stored(_segments(bodies, length, anchor, False).groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"))
+    segments = stored(_segments(bodies, length, anchor, True).join(often, "h", "left_semi"))
+    kinds = stored(segments.groupBy("h", "s").agg(F.min(F.struct(*PLACE)).alias("rep"), F.max("n").alias("n"), F.count("*").alias("c")))
+
+    # equal segments: all but the first occurrence go as a whole.  The most common ones, few by their very share, are
+    # sent to the segments; the others meet them in a join in which no key has many rows.
+    occurrences = kinds.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    several = kinds.where("c > 1").select("h", "s", "rep", "c")
+    hot = F.col("c") * HOT_SHARE > int(occurrences)
+    common, rare = (several.where(x).drop("c") for x in (hot, ~hot))
+    equal = segments.join(F.broadcast(common), ["h", "s"]).unionByName(segments.join(F.broadcast(common), ["h", "s"], "left_anti").join(rare, ["h", "s"]))
+    equal = equal.where(F.struct(*PLACE) != F.col("rep")).select("doc", "tie", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + length).alias("end"))
 
     # differing segments around one anchor value: one of each is compared
     crowd = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    rivals = stored(kinds.join(crowd, "h").select("h", "k", F.col("rep.doc").alias("doc"), F.col("rep.lo").alias("lo"), "n"))
-    total = rivals.agg(F.coalesce(F.sum(F.col("n") + length), F.lit(0))).first()[0]
+    rivals = stored(kinds.join(crowd, "h").select("h", "k", "rep.*", "n"))
+    total, most = rivals.agg(F.coalesce(F.sum(F.col("n") + length), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
     if not total:
         return equal
-    shards = max(1, -(-int(total) // shard_bytes))
-    wanted = rivals.groupBy("doc").agg(F.collect_list(F.struct("h", "k", "lo", "n")).alias("at"))
+    wanted = rivals.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "k", "lo", "n")).alias("at"))
     bytes_of = F.expr(f"substring(body, cast(x.lo + 1 as int), x.n + {length})")
-    held = wanted.join(_numbered(docs), "doc").select("doc", "body", F.explode("at").alias("x")).select("doc", "x.h", "x.k", "x.lo", bytes_of.alias("part"))
-    # a repeated row brings its segments again; a shard drops them
-    dealt = held.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    held = wanted.join(bodies, ["doc", "tie"]).select("doc", "tie", "body", F.explode("at").alias("x"))
+    dealt = held.select(F.col("x.h").alias("key"), "x.k", "doc", "tie", "x.lo", bytes_of.alias("part"))
+    equals, small = None, dealt.drop("k")
+    if most > anchor_segments:
+        narrow, equals = _narrowed(dealt.where(F.col("k") > anchor_segments).drop("k"), length, anchor, anchor_segments)
+        small = dealt.where(F.col("k") <= anchor_segments).drop("k").unionByName(narrow)
+    shards = max(1, -(-int(total) // shard_bytes))
 
     def compare(pdf):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.drop_duplicates(["h", "doc", "lo"])
-        parts, docs_, los = pdf["part"].tolist(), pdf["doc"].to_numpy(), pdf["lo"].to_numpy()
-        part, offset = repeated_windows(parts, docs_, los, length)
+        # a repeated row brings its segments again
+        pdf = pdf.drop_duplicates(["key", *PLACE])
+        doc, tie, lo = (pdf[c].to_numpy() for c in PLACE)
+        part, offset = repeated_windows(pdf["part"].tolist(), (doc, tie, lo), length)
         by = np.lexsort((offset, part))
         part, offset = part[by], offset[by]
         if not len(part):
-            return pd.DataFrame({"doc": [], "start": [], "end": []})
-        new = np.concatenate(([True], (np.diff(part) != 0) | (np.diff(offset) != 1)))
-        first = np.flatnonzero(new)
+            return pd.DataFrame({c: [] for c in ("doc", "tie", "start", "end")})
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(part) != 0) | (np.diff(offset) != 1))))
         last = np.concatenate((first[1:] - 1, [len(part) - 1]))
-        return pd.DataFrame({"doc": docs_[part[first]], "start": los[part[first]] + offset[first], "end": los[part[last]] + offset[last] + length})
+        return pd.DataFrame({"doc": doc[part[first]], "tie": tie[part[first]], "start": lo[part[first]] + offset[first], "end": lo[part[last]] + offset[last] + length})
+
+    spans = equal.unionByName(small.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(compare, SPAN))
+    return spans if equals is None else spans.unionByName(equals)
 
-    few = dealt.where(F.col("k") <= anchor_segments).drop("k").groupBy("shard").applyInPandas(compare, "doc long, start long, end long")
-    spans = equal.unionByName(few)
-    if rivals.where(F.col("k") > anchor_segments).limit(1).count():
-        # a very common anchor: its windows meet by 128-bit hashes, with partial aggregation
-        spans = spans.unionByName(_crowded_windows(dealt.where(F.col("k") > anchor_segments), length))
-    return spans
 
+def _narrowed(parts: DataFrame, length: int, anchor: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Splits the segments (key, doc, tie, lo, part) of very common anchors into groups of at most ``limit``; also the spans of windows too common for that.
+
+    A window's anchor lies 0 to ``length - anchor`` bytes after its start.  Each round halves that range: a segment's windows of
+    one half share the bytes around the anchor that all of them cover, and these become the new key.  Equal windows
+    have equal anchors at equal places, so they stay together.  At the end a key is one window; its occurrences are equal
+    and need no comparison but that of their places.
+    """
+    row = "key long, p0 int, p1 int, at int, doc long, tie long, lo long, part binary"
+
+    def find(pdfs):
+        import numpy as np
+
+        for pdf in pdfs:
+            # the anchor of a segment's first window is that of all
+            at = [int(np.argmin(_anchor_hashes(np.frombuffer(b, np.uint8)[:length], anchor)[1])) for b in pdf["part"]]
+            yield pdf.assign(p0=0, p1=length - anchor, at=at)[["key", "p0", "p1", "at", *PLACE, "part"]]
+
+    def halve(pdfs):
+        import pandas as pd
+        import xxhash
 
-def _crowded_windows(parts: DataFrame, length: int) -> DataFrame:
-    """Windows of parts (doc, lo, part) that also start earlier, by MD5 of their bytes: grouped least places, then a join."""
-    offsets = F.sequence(F.lit(0), F.octet_length("part") - length)
-    windows = parts.select("doc", "lo", "part", F.explode(offsets).alias("o")).select("doc", (F.col("lo") + F.col("o")).alias("start"), F.md5(F.expr(f"substring(part, o + 1, {length})")).alias("w"))
-    first = windows.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("rep"), F.count("*").alias("c")).where("c > 1").select("w", "rep")
-    later = windows.join(first, "w").where((F.col("doc") != F.col("rep.doc")) | (F.col("start") != F.col("rep.start")))
-    return later.select("doc", "start", (F.col("start") + length).alias("end"))
+        for pdf in pdfs:
+            out = []
+            for key, p0, p1, at, doc, tie, lo, part in pdf.itertuples(index=False, name=None):
+                mid = (p0 + p1) // 2
+                for a, e in ((p0, mid), (mid + 1, p1)):
+                    # windows that start ``p`` bytes before the anchor, a <= p <= e, and lie in the part
+                    lo_p, hi_p = max(a, at + length - len(part)), min(e, at)
+                    if lo_p > hi_p:
+                        continue
+                    context = part[max(at - a, 0) : at + length - e]
+                    new = xxhash.xxh3_64_intdigest(context, seed=(key ^ a * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+                    out.append((new - (1 << 64) if new >> 63 else new, a, e, hi_p, doc, tie, lo + at - hi_p, part[at - hi_p : at - lo_p + length]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in row.split(", ")])
+
+    found, crowded = [], parts.mapInPandas(find, row)
+    width = length - anchor + 1
+    while True:
+        rows = stored(crowded.mapInPandas(halve, row))
+        width = (width + 1) // 2
+        many = stored(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > limit).select("key"))
+        found.append(rows.join(many, "key", "left_anti").select("key", *PLACE, "part"))
+        crowded = rows.join(many, "key", "left_semi")
+        if width == 1 or not many.limit(1).count():
+            break
+    small = found[0]
+    for f in found[1:]:
+        small = small.unionByName(f)
+    place = F.struct(*PLACE)
+    windows = crowded.select(F.md5("part").alias("w"), place.alias("place"))
+    first = windows.groupBy("w").agg(F.min("place").alias("rep"))
+    later = windows.join(first, "w").where("place <> rep").select("place.*")
+    return small, later.select("doc", "tie", F.col("lo").alias("start"), (F.col("lo") + length).alias("end"))
 
 
 REMOVED = "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept: binary>"
@@ -422,19 +484,25 @@ def cut_spans(body, spans):
     return run(body, spans)
 
 
-def remove_repeats(docs: DataFrame, prefix: str = "repeat", **settings) -> DataFrame:
-    """All rows and columns of ``docs`` plus ``<prefix>`` = struct<n_bytes, n_removed, n_spans, kept>.
+def remove_repeats(docs: DataFrame, out: str = "repeat", **settings) -> DataFrame:
+    """All rows and columns of ``docs`` plus struct<n_bytes, n_removed, n_spans, kept> in column ``out``, which must be new.
 
-    ``doc_id`` names a document; a row repeated in full is the same document and does not repeat itself.
-    Null texts count as empty, texts of fewer than ``length`` bytes stay whole.
+    Documents are ordered by ``doc_id``, null last.  Rows of one id (or none) with different texts are different documents, in
+    order of a hash of the text; rows equal in id and text are one document, which does not repeat itself.
+    Null texts count as empty, texts of fewer than ``length`` bytes stay whole, longer ones of any size are read whole;
+    an empty table gives an empty result.  What is gathered for a document is bounded by its own text.
     """
-    spans = repeated_spans(docs, **settings).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = spans.withColumnsRenamed({"doc": f"{prefix}_doc", "spans": f"{prefix}_spans"})
-    joined = docs.join(spans, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) == F.col(f"{prefix}_doc"), "left")
-    return joined.withColumn(prefix, cut_spans(F.col("text").cast("binary"), F.col(f"{prefix}_spans"))).drop(f"{prefix}_doc", f"{prefix}_spans")
+    new_name(docs, out)
+    rows, doc, tie = keyed(docs)
+    bodies = rows.select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), F.col("text").cast("binary").alias("body"))
+    found = repeated_spans(bodies, **settings).groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    a, b, spans = (free_name(rows, c) for c in ("span_doc", "span_tie", "spans"))
+    joined = rows.join(found.toDF(a, b, spans), (F.col(doc) == F.col(a)) & (F.col(tie) == F.col(b)), "left")
+    return joined.withColumn(out, cut_spans(F.col("text").cast("binary"), F.col(spans))).drop(a, b, spans, doc, tie)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; nulls, empty and long texts, ties, repeated rows, empty tables as ``remove_repeats`` says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove_repeats(docs)
     return out.select("doc_id", "repeat.n_bytes", "repeat.n_removed", "repeat.n_spans", F.sha2("repeat.kept", 256).alias("kept_sha256"))
