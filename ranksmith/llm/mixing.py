@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table
+from .common import cut_lineage, stored, table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -121,14 +121,21 @@ def plan_source(target: float, lengths, counts, copies: int = MAX_COPIES, window
     return best
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = MAX_COPIES, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words, repeats counted) for every row of ``docs``.
+def _sized(docs: DataFrame, seed: int, *columns) -> DataFrame:
+    """doc_id, source, size, draw and its hash range of each row; rows of one id draw apart if their texts differ."""
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text")
+    rows = docs.select(*columns, "doc_id", "source", word_count(F.col("text")).alias("size"), draw.alias("draw"))
+    return rows.withColumn("at", F.pmod(F.shiftrightunsigned("draw", 40), F.lit(RANGES)).cast("int"))
+
+
+def mix_rules(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = MAX_COPIES) -> DataFrame:
+    """What the mix does with the documents of each source and size, as a stored table.
 
-    Null sources form one source, last in order; empty texts have size 0 and take 0; repeated
-    rows are separate documents whose ties the hash range and then the row's values break.
+    source_size, target; whole (copies of every document); extra (how many get one more): those before (edge, limit) in
+    order of range and draw, and ``room`` of the ``ties`` rows at that very draw.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = cut_lineage(sized.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")))
+    from pyspark.sql import Window as W
+
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = water_fill(totals, weights=weights, copies=copies)
     counted = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -139,34 +146,62 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = MAX_C
         took = plan_source(float(pdf["target"].iloc[0]), pdf["size"], pdf["n"], copies)
         return pdf.assign(whole=took // pdf["n"], extra=took % pdf["n"])[["source", "size", "n", "source_size", "target", "whole", "extra"]]
 
-    plans = cut_lineage(joined.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, whole long, extra long"))
+    plans = stored(joined.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, whole long, extra long"))
 
-    # Which documents of a length get the extra copy: the first ``extra`` in order of their draw.  Ranges of
-    # the draw are counted first, so only the range in which the limit falls is ever ranked.
-    at = F.pmod(F.shiftrightunsigned("draw", 40), F.lit(RANGES)).cast("int")
-    partly = plans.where("extra > 0 and extra < n").select("source", "size", "extra")
-    spread = sized.where("size > 0").withColumn("at", at).groupBy("source", "size", "at").agg(F.count("*").alias("c"))
+    # Ranges of the draw are counted first, so only the range in which the limit falls is ever ranked.
+    partly = plans.where("extra > 0").select("source", "size", "extra")
+    spread = sized.where("size > 0").groupBy("source", "size", "at").agg(F.count("*").alias("c"))
     spread = spread.join(partly, spread.source.eqNullSafe(partly.source) & (spread["size"] == partly["size"])).select(spread.source, spread["size"], "at", "c", "extra")
-    from pyspark.sql import Window as W
-
     upto = W.partitionBy("source", "size").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    edge = (
+    edge = stored(
         spread.withColumn("below", F.coalesce(F.sum("c").over(upto), F.lit(0)))
         .where((F.col("below") < F.col("extra")) & (F.col("extra") <= F.col("below") + F.col("c")))
-        .select("source", "size", F.col("at").alias("edge"), (F.col("extra") - F.col("below")).alias("room"))
+        .select(F.col("source").alias("e_source"), F.col("size").alias("e_size"), F.col("at").alias("edge"), (F.col("extra") - F.col("below")).alias("left"))
     )
-    rules = plans.join(edge, plans.source.eqNullSafe(edge.source) & (plans["size"] == edge["size"]), "left").select(plans.source.alias("p_source"), plans["size"].alias("p_size"), "n", "source_size", "target", "whole", "extra", "edge", "room")
-    placed = sized.withColumn("at", at)
-    same = placed.source.eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))
-    in_edge = F.coalesce(F.col("at") == F.col("edge"), F.lit(False))
-    sure = F.when(F.col("extra") == 0, 0).when(F.col("at") < F.col("edge"), 1).otherwise(0)
-    base = placed.join(rules, same).where(~in_edge).withColumn("more", sure)
-    # the rows at the limit are dealt out by range too, so a very common length does not meet in one task
-    rank = F.row_number().over(W.partitionBy("source", "size").orderBy("draw", "doc_id"))
-    close = placed.join(rules.where(F.col("edge").isNotNull()), same & (F.col("at") == F.col("edge"))).withColumn("more", (rank <= F.col("room")).cast("int"))
-    taken = (F.col("whole") + F.col("more")) * F.col("size")
-    return base.unionByName(close).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    same = F.col("source").eqNullSafe(F.col("e_source")) & (F.col("size") == F.col("e_size"))
+    draws = sized.join(edge, same & (F.col("at") == F.col("edge"))).groupBy("e_source", "e_size", "edge", "left", "draw").agg(F.count("*").alias("ties"))
+    before = F.coalesce(F.sum("ties").over(W.partitionBy("e_source", "e_size").orderBy("draw").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    limits = draws.withColumn("before", before).where((F.col("before") < F.col("left")) & (F.col("left") <= F.col("before") + F.col("ties")))
+    limits = limits.select("e_source", "e_size", "edge", F.col("draw").alias("limit"), "ties", (F.col("left") - F.col("before")).alias("room"))
+    rules = plans.join(limits, same, "left")
+    return stored(rules.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "source_size", "target", "whole", "extra", "edge", "limit", "ties", "room"))
+
+
+def _taken(sized: DataFrame, rules: DataFrame) -> DataFrame:
+    """``sized`` with source_size, target and taken; the rules are few enough in general to be sent to the rows."""
+    from pyspark.sql import Window as W
+
+    at, draw, edge, limit = (F.col(c) for c in ("at", "draw", "edge", "limit"))
+    joined = sized.join(rules, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
+    tied = (F.col("extra") > 0) & (at == edge) & (draw == limit)
+    first = F.when(F.col("extra") == 0, 0).when((at < edge) | (at == edge) & (draw <= limit), 1).otherwise(0)
+    out = joined.withColumn("more", first)
+    if rules.where("ties > room").limit(1).count():
+        # rows equal in all that the draw is made of, of which only some are taken
+        split = F.coalesce(tied & (F.col("ties") > F.col("room")), F.lit(False))
+        rank = F.row_number().over(W.partitionBy("source", "size", "draw").orderBy("doc_id"))
+        out = out.where(~split).unionByName(joined.where(split).withColumn("more", (rank <= F.col("room")).cast("int")))
+    return out.withColumn("taken", (F.col("whole") + F.col("more")) * F.col("size")).drop("p_source", "p_size", "whole", "extra", "edge", "limit", "ties", "room", "more", "at", "draw")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = MAX_COPIES, seed: int = 42) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words, repeats counted) for every row of ``docs``.
+
+    Null sources form one source, last in order; null and empty texts have size 0 and take 0; texts of any length are
+    counted whole; repeated rows are separate documents, any of which may be the ones taken; null ids keep their rows;
+    other columns are ignored; an empty table gives an empty result.  One row for each source meets in one task.
+    """
+    sized = cut_lineage(_sized(docs, seed))
+    return _taken(sized, mix_rules(sized, weights, copies)).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = MAX_COPIES, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it; all columns, whatever their names, stay as they are."""
+    sized = cut_lineage(_sized(docs, seed))
+    rows = _taken(_sized(docs, seed, F.struct("*").alias("row")), mix_rules(sized, weights, copies)).where("taken > 0")
+    return rows.select(F.explode(F.expr("array_repeat(row, cast(taken / size as int))")).alias("row")).select("row.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document; nulls, empty and long texts, ties, repeats and empty tables as ``mix`` says."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
