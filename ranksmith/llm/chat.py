@@ -57,6 +57,7 @@ def render_chats(turns: DataFrame) -> DataFrame:
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns and rendered text of the maximal conversations; nulls, ties, repeats and empty tables as ``render_chats`` says, texts of any length whole, other columns ignored."""
     return render_chats(table(spark, sf_dir, "conversations"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, stored, table
+from .common import NO_ID, cut_lineage, keyed, stored, table
 
 SEED = 42
 #: Rows dealt to one task, and the most with one part before its remaining bits split them.
@@ -178,7 +178,7 @@ class Forest:
                 label[:] = up
 
 
-def trie_forest(values, starts, ends, bits: int, budget: int, near=None, leaf: int = 64, batch: int = 1 << 16, label=None) -> Forest:
+def trie_forest(values, starts, ends, bits: int, budget: int, near=None, leaf: int = 64, batch: int = 1 << 16, block: int = 400, label=None) -> Forest:
     """Joins all pairs of ``values`` inside each [start, end) run that differ in at most ``budget`` of the low ``bits`` bits.
 
     ``values`` is sorted inside a run.  Pairs of trie nodes are kept as index ranges with the bits in which
@@ -200,9 +200,20 @@ def trie_forest(values, starts, ends, bits: int, budget: int, near=None, leaf: i
         forest.join(a, b)
 
     def compare(a0, a1, b0, b1):
-        na, nb = a1 - a0, b1 - b0
-        size = na * nb
+        # blocks of bounded size: equal values have no nodes below them, however many they are
+        na, nb = -(-(a1 - a0) // block), -(-(b1 - b0) // block)
+        which = np.repeat(np.arange(len(na)), na * nb)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
+        x0, y0 = a0[which] + k // nb[which] * block, b0[which] + k % nb[which] * block
+        a0, a1, b0, b1 = x0, np.minimum(x0 + block, a1[which]), y0, np.minimum(y0 + block, b1[which])
+        once = b1 > a0  # of a node paired with itself one half is enough
+        a0, a1, b0, b1 = a0[once], a1[once], b0[once], b1[once]
+        nb = b1 - b0
+        size = (a1 - a0) * nb
         for i in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // 200_000)) + 1):
+            i = i[apart(a0[i], a1[i], b0[i], b1[i])]
+            if not len(i):
+                continue
             which = np.repeat(i, size[i])
             k = np.arange(len(which)) - np.repeat(np.cumsum(size[i]) - size[i], size[i])
             a, b = a0[which] + k // nb[which], b0[which] + k % nb[which]
@@ -214,6 +225,11 @@ def trie_forest(values, starts, ends, bits: int, budget: int, near=None, leaf: i
         change = np.concatenate((np.flatnonzero(np.diff(forest.label)) + 1, [len(values)]))
         return change[np.searchsorted(change, np.arange(len(values)), side="right")]
 
+    def apart(a0, a1, b0, b1):
+        """Pairs of ranges of rows that do not all have one label already."""
+        until = block_ends()
+        return (forest.label[a0] != forest.label[b0]) | (until[a0] < a1) | (until[b0] < b1)
+
     starts, ends = np.asarray(starts), np.asarray(ends)
     if not len(starts):
         return forest
@@ -225,9 +241,8 @@ def trie_forest(values, starts, ends, bits: int, budget: int, near=None, leaf: i
     while stack:
         a0, a1, b0, b1, err, d = stack.pop()
         # pairs of nodes whose rows are all joined already have nothing to add
-        until = block_ends()
-        apart = (forest.label[a0] != forest.label[b0]) | (until[a0] < a1) | (until[b0] < b1)
-        a0, a1, b0, b1, err = (x[apart] for x in (a0, a1, b0, b1, err))
+        open_ = apart(a0, a1, b0, b1)
+        a0, a1, b0, b1, err = (x[open_] for x in (a0, a1, b0, b1, err))
         small = ((a1 - a0) * (b1 - b0) <= leaf) | (d < 0)
         if small.any():
             compare(a0[small], a1[small], b0[small], b1[small])
@@ -302,7 +317,8 @@ def hamming_forest(items: DataFrame, bits: int = 64, budget: int = 2, sketch_lim
             ready.append(rows)
             break
         ready.append(rows.join(hot, ["tag", "prefix", "part"], "left_anti"))
-        rows = _deal(rows.join(hot, ["tag", "prefix", "part"], "left_semi").drop("part"), bits, budget)
+        # stored, so that no level is derived again for the next one's counts
+        rows = stored(_deal(rows.join(hot, ["tag", "prefix", "part"], "left_semi").drop("part"), bits, budget))
         level += 1
     dealt = ready[0]
     for r in ready[1:]:
@@ -372,7 +388,9 @@ def components(edges: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable) for every row of ``docs``.
 
-    Texts without words have fingerprint 0 and link like others; repeated rows keep their own rows.
+    Null and empty texts and those without words have fingerprint 0 and link like others; texts of any length are
+    read whole; repeated rows and null ids keep their own rows, and a component of null ids only has a null
+    component_id; other columns are ignored; an empty table gives an empty result.
     """
     prints = cut_lineage(docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp")))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -389,7 +407,26 @@ PICKS = 3
 
 
 def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and group_id (least doc_id of the group): single linkage of sets of word shingles with a Jaccard similarity of ``similarity`` or more.
+    """doc_id and group_id (least doc_id of the group) of every document with words, grouped as ``leave_first_of_groups`` does."""
+    rows, doc, tie = keyed(docs)
+    grouped = _near_groups(rows.select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), "text"), width, similarity)
+    return grouped.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), F.nullif("first.doc", F.lit(NO_ID)).alias("group_id"))
+
+
+def leave_first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without those that are near copies of an earlier one: the first of each group stays.
+
+    Order is by ``doc_id``, null last, then by a hash of the text; rows equal in both stay or go together.  Null and empty
+    texts and those without words stay.
+    """
+    rows, doc, tie = keyed(docs)
+    grouped = _near_groups(rows.select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), "text"), width, similarity)
+    gone = grouped.where(F.struct("doc", "tie") != F.col("first")).select(F.col("doc").alias(doc), F.col("tie").alias(tie))
+    return rows.join(gone, [doc, tie], "left_anti").select(*docs.columns)
+
+
+def _near_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc, tie and ``first``, the least (doc, tie) of the group: single linkage of sets of word shingles with a Jaccard similarity of ``similarity`` or more.
 
     SimHash sketches only propose pairs: the share of differing bits estimates the angle between two sets, and
     pairs are found through slices of the sketch that agree within a few bits.  Each proposed pair counts only if
@@ -402,7 +439,7 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     bits = SLICES * SLICE_BITS
     likely, loose = round(share * bits), math.ceil(share * bits + 3 * math.sqrt(share * (1 - share) * bits))
     worded = docs.where(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) != "")
-    sketched = cut_lineage(worded.select("doc_id", sketch(F.col("text"), width).alias("s")).select("doc_id", "s.sketch", "s.size", F.xxhash64("s.same").alias("node")))
+    sketched = cut_lineage(worded.select("doc", "tie", sketch(F.col("text"), width).alias("s")).select("doc", "tie", "s.sketch", "s.size", F.xxhash64("s.same").alias("node")))
     nodes = cut_lineage(sketched.groupBy("node").agg(F.min("sketch").alias("sketch"), F.min("size").alias("size")))
     digits = SLICE_BITS // 4
     text = F.hex("sketch")
@@ -412,10 +449,10 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
         return of.select("*", F.posexplode(cut).alias("tag", "value")).withColumn("tag", F.col("tag").cast("long"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        """(node, shingles, short) of the nodes in ``pairs``; the digest tells the texts of a repeated id apart."""
+        """(node, shingles, short) of the nodes in ``pairs``."""
         used = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        first = sketched.join(used, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
-        texts = worded.join(first, worded["doc_id"].eqNullSafe(first["id"]), "left_semi").select(shingle_set(F.col("text"), width).alias("s"))
+        first = sketched.join(used, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "tie")).alias("first")).select("first.*")
+        texts = worded.join(first, ["doc", "tie"], "left_semi").select(shingle_set(F.col("text"), width).alias("s"))
         return stored(texts.select(F.xxhash64("s.same").alias("node"), "s.shingles", "s.short").join(used, "node", "left_semi").dropDuplicates(["node"]))
 
     def joined(pairs: DataFrame, labels: DataFrame, picks: int) -> DataFrame:
@@ -438,9 +475,10 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     left = cut_lineage(nodes.join(labels, "node"))
     apart = stored(hamming_forest(slices(left), SLICE_BITS, SLICE_BUDGET, loose, every=True, share=similarity).distinct())
     labels = joined(apart, labels, 1)
-    known = cut_lineage(sketched.join(labels, "node").select("doc_id", "label"))
-    return known.join(known.groupBy("label").agg(F.min("doc_id").alias("group_id")), "label").select("doc_id", "group_id")
+    known = cut_lineage(sketched.join(labels, "node").select("doc", "tie", "label"))
+    return known.join(known.groupBy("label").agg(F.min(F.struct("doc", "tie")).alias("first")), "label").select("doc", "tie", "first")
 
 
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; nulls, empty and long texts, ties, repeats and empty tables as ``simhash_components`` says."""
     return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
