@@ -91,6 +91,11 @@ def test_search(spark):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in search.top_k(v, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 65536), (0, 2, 50, 65536), (0, 3, 5, 32768), (50, 1, 0, 65536), (50, 2, 1, 65536), (50, 3, 5, 32768)]
     assert search.top_k(v.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    common = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(60)] + [(60, [2.0, 0.0])], "vec_id long, embedding array<float>")
+    got = {}
+    for r in search.top_k(common, F.col("vec_id") % 20 == 0, tree_rows=8, query_rows=2).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert {q: [v[k] for k in range(1, 6)] for q, v in got.items()} == {0: [60, 1, 2, 3, 4], 20: [60, 0, 1, 2, 3], 40: [60, 0, 1, 2, 3], 60: [0, 1, 2, 3, 4]}
 
 
 def test_search_repeats_crowd_out_nothing(spark):
@@ -126,3 +131,61 @@ def test_media(spark, docs):
     blobs = spark.createDataFrame([(1, None, None), (2, bytearray(b""), "x"), (3, bytearray(b"RIFFnothing"), "audio/wav")], "id long, content binary, mime string")
     seen = {r.id: r.s for r in blobs.select("id", media.sniffed(F.col("content"), F.col("mime")).alias("s")).collect()}
     assert seen[1].mime == media.UNKNOWN and seen[2].mime == "x" and seen[3].segments == []
+
+
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long, copy string, times int, cut string, quality_score double, row string, size int, doc string, tie string, taken string, label string"
+
+
+def pipeline_rows():
+    body = "the quick brown fox jumps over the lazy dog and then sleeps all day long in the warm sun by the old barn " * 2
+    rows = [(1, body + "one"), (2, body + "one"), (2, "a different text of the same id"), (None, body + "one"), (None, "a text without an id"), (None, "another text without an id"), (None, None), (3, None), (4, ""), (5, LONG), (6, "twice"), (6, "twice")]
+    return [(i, t, "en", "s", len(t or ""), "own copy", 7, "own cut", 0.25, "own row", 8, "own doc", "own tie", "own taken", "own label") for i, t in rows]
+
+
+OWN = ("own copy", 7, "own cut", 0.25, "own row", 8, "own doc", "own tie", "own taken", "own label")
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    """Labels for the first stage."""
+    folder = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def kept(df):
+    rows = df.collect()
+    assert all(tuple(r)[5:] == OWN and r.lang == "en" for r in rows)
+    return sorted((r.doc_id or 99, r.text or "") for r in rows)
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame(pipeline_rows(), PIPELINE)
+    every = sorted((r[0] or 99, r[1] or "") for r in pipeline_rows())
+    assert set(kept(cp.keep_good(spark, docs, sf_dir))) <= set(every)
+    near = kept(cp.drop_near_copies(spark, docs, sf_dir))
+    body = pipeline_rows()[0][1]
+    assert near == sorted(r for r in every if r[1] != body or r[0] == 1)  # copies go, a null id's other texts stay
+    cut = kept(cp.cut_repeats(spark, docs, sf_dir))
+    assert len(cut) == len(every) and (1, body) not in cut  # the first text repeats its own sentence
+    assert {r for r in every if len(r[1]) < 100} <= set(cut)
+    mixed = kept(cp.mix_sources(spark, docs, sf_dir))
+    assert {r for r in mixed} == {r for r in every if r[1].strip()} and len(mixed) == len([r for r in every if r[1].strip()])
+    packed = cp.pack_sequences(spark, docs, sf_dir).collect()
+    assert {r.doc_id for r in packed} == {r[0] for r in pipeline_rows()}
+
+
+def test_pipeline_stages_on_an_empty_table(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    empty = spark.createDataFrame([], PIPELINE)
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_columns_are_never_replaced(spark, docs, labels):
+    for call in (lambda: quality.score_quality(docs.withColumn("quality_score", F.lit(1)), labels), lambda: toxicity.score_toxicity(docs.withColumn("toxicity_score", F.lit(1)), labels), lambda: html_text.extract_pages(docs.withColumn("html", F.lit("x")).withColumn("page_text", F.lit(1)))):
+        with pytest.raises(ValueError):
+            call()

@@ -59,10 +59,44 @@ def test_repeats_equal_brute_force(spark, crowd):
     texts = [" ".join([word() for _ in range(rng.randint(0, 60))] + [rng.choice(passage)] * rng.randint(0, 2) + [word() for _ in range(30)]) for _ in range(80)]
     texts += ["x" * 700, "x" * 650, texts[0], "ab" * 200, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = suffixes.remove_repeats(docs, anchor_segments=crowd, shard_bytes=20_000).orderBy("doc_id").select("repeat.*").collect()
+    texts_of_one_id = docs.withColumn("extra", F.lit(1))
+    got = suffixes.remove_repeats(texts_of_one_id, anchor_segments=crowd, shard_bytes=20_000).orderBy("doc_id").select("repeat.*").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got] == removed([t.encode() for t in texts])
 
 
+def test_repeats_of_null_and_repeated_ids(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(5))
+    passage, own = " ".join(word() for _ in range(40)), [" ".join(word() for _ in range(30)) for _ in range(12)]
+    rows = [(1, own[0] + passage), (2, own[1]), (2, own[2]), (2, own[2]), (None, own[3]), (None, own[4]), (None, own[5] + passage), (None, own[6]), (None, own[6]), (3, passage), (None, None), (4, own[7]), (4, own[8] + passage)]
+    order = {r: k for k, r in enumerate(sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [((r.doc_id, r.text), r.repeat.n_removed, bytes(r.repeat.kept).decode()) for r in suffixes.remove_repeats(docs).collect()]
+    assert len(got) == len(rows)
+    for (i, text), n, kept in got:
+        text = text or ""
+        if passage in text and i != 1:  # the passage stands in document 1 first
+            assert n >= len(passage) and kept == text[: len(text) - n]
+        else:
+            assert n == 0 and kept == text, (i, order)
+
+
+def test_suffix_arrays_of_parts_equal_brute_force():
+    rng = random.Random(22)
+    for _ in range(20):
+        parts = [bytes(rng.choice(b"\0ab") for _ in range(rng.randrange(5, 60))) for _ in range(8)]
+        docs = [rng.randrange(4) for _ in parts]
+        starts = [1000 * k for k in range(8)]
+        part, offset = suffixes.repeated_windows(parts, (docs, starts), 6)
+        first = {}
+        places = sorted((docs[k], starts[k] + o, k, o) for k, b in enumerate(parts) for o in range(len(b) - 5))
+        want = set()
+        for _, _, k, o in places:
+            if not first.setdefault(parts[k][o : o + 6], (k, o)) == (k, o):
+                want.add((k, o))
+        assert set(zip(part.tolist(), offset.tolist())) == want
+
+
 def components_by_force(values, budget):
     parent = list(range(len(values)))
 
@@ -183,9 +217,9 @@ def test_packing_round_trip(spark):
 
     path = packing.tokenizer_path()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rng = random.Random(6)
-    texts = ["", "It's <|endoftext|> \x01 x", "Ünïcode ﬁ 汉字 İΣς a\x85b", None] + [" ".join(rng.choice(["word", "Hello,", "don't", "größe", "12345", "***"]) for _ in range(rng.choice([5, 300, 9000]))) for _ in range(40)]
+    names = [x.content for x in t.get_added_tokens_decoder().values()]
+    texts = ["", "It's <|endoftext|> \x01 x", *(f"a {n} b{n}c {n.upper()} é汉" for n in names), *names, "Ünïcode ﬁ 汉字 İΣς a\x85b", None] + [" ".join(rng.choice(["word", "Hello,", "don't", "größe", "12345", "***"]) for _ in range(rng.choice([5, 300, 9000]))) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = packing.pack(docs, path, shard_docs=16).collect()
     for d, text in enumerate(texts):
@@ -205,6 +239,20 @@ def test_packing_round_trip(spark):
         assert at <= 4096
 
 
+def test_pack_keeps_capacities_that_bind(spark):
+    texts = ["one"] * 40 + ["word " * 300] * 10 + ["word " * 2000] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cap = packing.Capacity(tokens=1000, documents=7, attention=400_000)
+    bins = {}
+    for r in packing.pack(docs, packing.tokenizer_path(), cap.__class__(4096, 7, 4096 * 4096)).collect():
+        bins.setdefault(r.sequence_id, []).append(r.length)
+    assert max(map(len, bins.values())) == 7  # the document capacity binds
+    lengths = np.array([20, 600, 600, 100, 500, 300, 300, 10] * 20)
+    out, _ = packing.vector_best_fit(lengths, cap)
+    assert all((lengths[out == b] ** 2).sum() <= cap.attention for b in np.unique(out))
+    assert len(np.unique(out)) > -(-lengths.sum() // cap.tokens)  # the attention capacity binds
+
+
 @pytest.mark.parametrize("rule", ["dot", "norm"])
 def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(0)
@@ -224,7 +272,7 @@ def test_search_equals_brute_force(spark):
     v = np.concatenate([c + 0.1 * rng.normal(size=(60, 16)) for c in centres]).astype("float32")
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = search.top_k(df, F.col("vec_id") % 50 == 0, query_rows=4, tree_rows=100).orderBy("query_id", "rank").collect()
+    got = search.top_k(df, F.col("vec_id") % 50 == 0, query_rows=4, tree_rows=100, pivots=4).orderBy("query_id", "rank").collect()
     q = np.floor(256 * v.astype("float64")).astype(np.int64)
     want = []
     for i in range(0, len(v), 50):
@@ -234,21 +282,88 @@ def test_search_equals_brute_force(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == want
 
 
+def test_dual_trees_prune_and_cover():
+    rng = np.random.default_rng(2)
+    centres = 4 * rng.normal(size=(60, 32))
+    v = np.floor(256 * np.concatenate([c + 0.2 * rng.normal(size=(100, 32)) for c in centres]))
+    ids = np.arange(len(v))
+    q, d = search.CoverTree(v[::50], ids[::50], search.QUERY_LEAF), search.CoverTree(v, ids, search.LEAF)
+    for tree in (q, d):
+        for k in range(len(tree.radius)):
+            away = np.sqrt(((tree.points[tree.start[k] : tree.end[k]] - tree.centres[k]) ** 2).sum(1))
+            assert away.max() <= tree.radius[k] + 1e-6
+            kids = np.arange(tree.first[k], tree.first[k] + tree.count[k])
+            if len(kids):  # the children's centres lie further apart than any of their rows from its own
+                assert tree.start[kids[0]] == tree.start[k] and tree.end[kids[-1]] == tree.end[k]
+                c = tree.centres[kids]
+                gaps = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))[~np.eye(len(c), dtype=bool)]
+                assert not len(gaps) or gaps.min() >= tree.radius[kids].max() - 1e-6
+    score, near = np.full((len(q.ids), 5), -np.inf), np.full((len(q.ids), 5), 1 << 62)
+    n = search.dual_tree_topk(q, d, score, near, 5)
+    assert (score == -np.sort(-(q.points @ v.T), axis=1)[:, :5]).all()
+    assert n < 0.3 * len(v) * len(q.ids)
+
+
 @needs_tables
 def test_classifiers_hold_out(spark):
     sf = SF.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    for name, label, floor in (("op1_quality_classifier", "quality", 0.95), ("op10_toxicity", "toxic", 0.95)):
-        out = registry.QUERIES[name](spark, sf).join(labels, "doc_id").where("held_out")
-        assert out.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] >= floor
-
-
-def test_grammar():
-    scorer = toxicity.ClauseScorer({"idiot ": 5.0}, 2.0)
-    plain, aimed = sum(scorer.clauses("what an idiot.")), sum(scorer.clauses("you are an idiot."))
-    denied, reported = sum(scorer.clauses("he is not idiot.")), sum(scorer.clauses("she said that idiot left."))
-    assert denied < reported < aimed and plain < aimed and not scorer.clauses("a fine day; idiotic")
-    assert scorer.clauses("i will kill you!") and not scorer.clauses("to kill time.")
+    # accuracy alone would be met by one answer for all: each class has its own floor
+    for name, label, floors in (("op1_quality_classifier", "quality", (0.98, 0.98, 0.98)), ("op10_toxicity", "toxic", (0.97, 0.9, 0.97))):
+        out = registry.QUERIES[name](spark, sf).join(labels, "doc_id").where("held_out").select("predicted", F.col(label).alias("y")).toPandas()
+        right = out.predicted == out.y
+        found = (right.mean(), right[out.y == 1].mean(), right[out.predicted == 1].mean())
+        print(name, "accuracy, recall, precision of class 1:", found, "recall of class 0:", right[out.y == 0].mean())
+        assert all(f >= least for f, least in zip(found, floors, strict=True)) and right[out.y == 0].mean() >= 0.95
+
+
+def toxic_model():
+    """Word beginnings and label weights learned from built texts that hold no negation, report or target."""
+    rng = random.Random(8)
+    filler = [f"w{i}" for i in range(300)]
+    sample = []
+    for i in range(400):
+        words = [rng.choice(filler) for _ in range(30)]
+        if i % 4 == 0:
+            for _ in range(rng.randint(1, 3)):
+                words[rng.randrange(30)] = rng.choice(["idiot", "scum", "moron"])
+        sample.append((int(i % 4 == 0), " ".join(words)))
+    return toxicity.train(sample, {0: 300, 1: 100})
+
+
+def test_grammar_decides():
+    model = toxic_model()
+    scorer = toxicity.ClauseScorer(model.stems)
+
+    def toxic(text):
+        return toxicity.log_odds(scorer, model, text) >= 0
+
+    assert toxic("you are an idiot and a moron.") and toxic("i will kill you, moron!")
+    # the same words inside the reach of a negation, after a verb of speaking, or without an intent
+    assert not toxic("you are not an idiot and not a moron.")
+    assert not toxic("she said that idiot left.") and toxic("that idiot and that moron left, you scum.")
+    assert not toxic("to kill time.") and not toxic("i will not kill you.") and not toxic("a fine day; idiotic")
+    assert toxicity.log_odds(scorer, model, "you idiot.") > toxicity.log_odds(scorer, model, "an idiot.")
+
+
+def test_composed_grammar_labels_hits():
+    forward, backward = toxicity.grammar()
+    T = toxicity
+    read = lambda *c: [x - T.HIT if x >= T.HIT else None for x in backward.read(forward.read(list(c))[::-1])[::-1]]
+    assert read(T.TARGET, T.OTHER, T.INSULT) == [None, None, T.AIMED]
+    assert read(T.INSULT, T.TARGET) == [T.AIMED, None]
+    assert read(T.NEGATION, T.OTHER, T.INSULT) == [None, None, T.DENIED]
+    assert read(T.REPORT, T.INSULT, T.OTHER) == [None, T.REPORTED, None]
+    assert read(T.THREAT, T.OTHER) == [None, None] and read(T.INTENT, T.THREAT) == [None, T.IS_THREAT]
+    assert read(T.REPORT, T.TARGET, T.INTENT, T.NEGATION, T.THREAT)[-1] == T.IS_THREAT | T.AIMED | T.DENIED | T.REPORTED
+
+
+def test_quality_slopes_keep_their_signs():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)  # the second input raises scores: it has to leave
+    slopes, _ = quality.calibrate(x, y, np.ones(200))
+    assert slopes[0] > 0 and slopes[1] == 0
 
 
 @pytest.mark.parametrize(
@@ -260,12 +375,66 @@ def test_grammar():
         ("a<div style='display: none'>no</div><span hidden>no</span><script>no</script>b", "ab"),
         ("<pre>x\n  y</pre>", "x\n  y"),
         ("a  <b> b</b>\n c<br>d &amp; e", "a b c\nd & e"),
+        ("<table><form><tr><td>x</table>", "x"),
+        ("<table><div>d</div><tr>t<td>y</table>z", "d\nt\n\ny\n\nz"),
+        ("<html><head><title>T</title><p>Hello", "Hello"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b></div>", "yes"),
+        ("<p hidden style='display:block'>shown</p><p hidden>no", "shown"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td colspan=2>aa<td>b<tr><td>1<td>2<td>3</table>", "aa     b\n1   2  3"),
+        ("<table><tr><td><table><tr><td>in<td>x</table><td>out</table>", "in  x  out"),
+        ("<table><tr><td>" * 40 + "deep", "deep"),
     ],
 )
 def test_layout(html, text):
     assert html_text.render(html) == text
 
 
+def test_pages_take_time_and_room_in_proportion():
+    import time
+
+    for build in (lambda n: "<div>" * n + "x", lambda n: "<table>" + "<tr><td colspan=1000><td>x" * n, lambda n: "<table>" + "<tr><td rowspan=60000>x" * n, lambda n: "<table><tr><td>" * n + "x"):
+        times = []
+        for n in (1500, 6000):
+            start = time.process_time()
+            text = html_text.render(build(n))
+            times.append(time.process_time() - start)
+            assert len(text) <= 40 * len(build(n))
+        assert times[1] <= 12 * times[0] + 0.2  # four times the page; a quadratic walk would take sixteen times as long
+
+
+def test_blobs_take_time_in_proportion():
+    import time
+
+    auto = media.automaton()
+    for magic in (b"%PDF-", b"PK\x03\x04", b"\x1f\x8b\x08", b"\xff\xd8\xff\xda\x00\x02", b"\x1f\x8b\x08\0\0\0\0\0\0\3"):
+        times = []
+        for n in (10_000, 40_000):
+            start = time.process_time()
+            assert media.sniff(magic * n, auto) == []
+            times.append(time.process_time() - start)
+        assert times[1] <= 10 * times[0] + 0.2
+
+
+@needs_tables
+def test_media_query_equals_recomputation(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = registry.QUERIES["op9_media_columns"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        stored = media.wav(padded)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(padded[-32:]), len(stored), hashlib.sha256(stored).hexdigest())
+
+
+def test_declared_types_are_corrected(spark):
+    rows = [(1, bytearray(media.wav(b"abc")), "image/png"), (2, bytearray(b"GIF87a no picture"), "image/gif"), (3, bytearray(media.wav(b"abc")), "audio/wav")]
+    seen = {r.id: r.s for r in spark.createDataFrame(rows, "id long, content binary, mime string").select("id", media.sniffed(F.col("content"), F.col("mime")).alias("s")).collect()}
+    assert [(seen[k].mime, seen[k].was_declared) for k in (1, 2, 3)] == [("audio/wav", False), ("image/gif", True), ("audio/wav", True)]
+
+
 def test_sniffing_and_carving():
     wav = media.wav(b"abc")
     png = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big") for k, d in ((b"IHDR", bytes(13)), (b"IEND", b"")))
