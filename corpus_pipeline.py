@@ -12,25 +12,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranksmith.llm.common import shared_folder, small_batches, table
-from ranksmith.llm.mixing import mix
+from ranksmith.llm.common import free_name, shared_folder, small_batches, table
+from ranksmith.llm.mixing import mixed
 from ranksmith.llm.packing import pack, tokenizer_path
 from ranksmith.llm.quality import score_quality
-from ranksmith.llm.simhash import near_copy_groups
+from ranksmith.llm.simhash import leave_first_of_groups
 from ranksmith.llm.suffixes import remove_repeats
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.5 or more; its labels leave out the test fold."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("quality_score") >= 0.5).drop("quality_score")
+    """Documents that the quality classifier scores 0.5 or more; its labels leave out the test fold.
+
+    Null and empty texts have the score of no difference; null ids, repeated rows and texts of any length are scored like
+    others; all columns stay, whatever their names; an empty table stays empty.
+    """
+    score = free_name(docs, "quality_score")
+    return score_quality(docs, table(spark, sf_dir, "labels"), out=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies; documents without words stay."""
+    """One document, that of the least id, of each group of near copies; documents without words stay.
+
+    Rows without an id are told apart by their texts and come last.  Of rows with one id and one text all stay or go, so
+    repeated rows stay repeated; whole texts of any length are compared; all columns stay; an empty table stays empty.
+    """
     small_batches(spark)
-    gone = near_copy_groups(docs.select("doc_id", "text")).where(F.col("doc_id") != F.col("group_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return leave_first_of_groups(docs)
 
 
 def text_of(kept: Column) -> Column:
@@ -44,24 +51,34 @@ def text_of(kept: Column) -> Column:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 100 bytes or more that also occur earlier."""
+    """Texts without the passages of 100 bytes or more that also occur earlier; n_chars follows.
+
+    Null and short texts stay as they are, texts of any length are read whole; null and repeated ids, ties and repeated
+    rows are treated as ``remove_repeats`` says; all columns stay, whatever their names; an empty table stays empty.
+    """
     small_batches(spark)
-    out = remove_repeats(docs, prefix="cut")
-    text = F.when(F.col("cut.n_removed") > 0, text_of(F.col("cut.kept"))).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = free_name(docs, "cut")
+    out = remove_repeats(docs, out=cut)
+    changed = F.col(f"{cut}.n_removed") > 0
+    text = F.when(changed, text_of(F.col(f"{cut}.kept"))).otherwise(F.col("text"))
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, 0 to 3 times."""
+    """Every document as often as the mix takes it, 0 to 3 times; those without words leave.
+
+    Null ids and sources keep their rows, repeated rows are separate documents, texts of any length are counted whole;
+    all columns stay, whatever their names; an empty table stays empty.
+    """
     small_batches(spark)
-    taken = mix(docs.select("doc_id", "source", "text")).where("taken > 0")
-    times = taken.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
-    copies = docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return copies.select(*docs.columns)
+    return mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places in sequences."""
+    """Pieces of at most 4096 tokens and their places in sequences; nulls, empty and long texts and repeats as ``pack`` says."""
     small_batches(spark)
     return pack(docs.select("doc_id", "text"), tokenizer_path())
 
