@@ -227,12 +227,11 @@ def train(sample: list[tuple[int, str]], totals: dict[int, int]) -> ToxicityMode
     if min(ys.count(0), ys.count(1)) < 3:
         return ToxicityModel({}, (0.0,) * LABELS, float(np.log((n1 + 0.5) / (n0 + 0.5))) if n0 + n1 else 0.0)
     xs, y = [], []
-    for part in range(2):
-        scorer = ClauseScorer(learn_stems([r for i, r in enumerate(sample) if i % 2 != part]))
-        for i, (label, text) in enumerate(sample):
-            if i % 2 == part:
-                xs.append(scorer.features(text))
-                y.append(float(label))
+    halves = [[r for label in (0, 1) for r in [r for r in sample if r[0] == label][part::2]] for part in range(2)]
+    for own, other in (halves, halves[::-1]):
+        scorer = ClauseScorer(learn_stems(other))
+        xs += [scorer.features(text) for _, text in own]
+        y += [float(label) for label, _ in own]
     y = np.array(y)
     weight = np.where(y == 1, n1 / ys.count(1), n0 / ys.count(0))
     weights, intercept = fit_weights(np.array(xs), y, weight * len(y) / weight.sum())
