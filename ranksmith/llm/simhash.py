@@ -348,7 +348,7 @@ def hamming_forest(items: DataFrame, bits: int = 64, budget: int = 2, sketch_lim
                 if share:  # sets of too unequal size cannot be similar
                     ok &= np.minimum(size[a], size[b]) >= share * np.maximum(size[a], size[b])
                 if every:
-                    found.append((a[ok], b[ok]))
+                    found.append((a[ok].astype(np.int32), b[ok].astype(np.int32)))
                     return np.zeros(len(a), bool)
                 return ok
 
@@ -359,7 +359,9 @@ def hamming_forest(items: DataFrame, bits: int = 64, budget: int = 2, sketch_lim
         forest = trie_forest(value, starts[many], ends[many], bits - int(prefix.min()), budget, near, label=label)
         found += forest.joined
         a, b = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in (0, 1))
-        return pd.DataFrame({"u": np.maximum(node[a], node[b]), "v": np.minimum(node[a], node[b])}).drop_duplicates()
+        found.clear()
+        a, b = node[a], node[b]
+        return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
 
     return dealt.groupBy("bucket").applyInPandas(link, "u long, v long").where("u <> v")
 
@@ -402,6 +404,8 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2) -> Data
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Standard errors of a sketch's estimate by which a pair may miss the similarity and still be verified: 93 of 100 pairs at exactly 0.8 do.
+MARGIN = 1.5
 #: Rounds in which each label tries one proposed pair, before all that are left are tried together.
 PICKS = 3
 
@@ -431,13 +435,13 @@ def _near_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     SimHash sketches only propose pairs: the share of differing bits estimates the angle between two sets, and
     pairs are found through slices of the sketch that agree within a few bits.  Each proposed pair counts only if
     the sets themselves are similar enough.  A forest of the pairs that look similar is tried first; then all
-    pairs within three standard errors whose groups are still apart.  Texts without words take no part.
+    pairs within ``MARGIN`` standard errors whose groups are still apart.  Texts without words take no part.
     """
     import math
 
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = SLICES * SLICE_BITS
-    likely, loose = round(share * bits), math.ceil(share * bits + 3 * math.sqrt(share * (1 - share) * bits))
+    likely, loose = round(share * bits), math.ceil(share * bits + MARGIN * math.sqrt(share * (1 - share) * bits))
     worded = docs.where(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) != "")
     sketched = cut_lineage(worded.select("doc", "tie", sketch(F.col("text"), width).alias("s")).select("doc", "tie", "s.sketch", "s.size", F.xxhash64("s.same").alias("node")))
     nodes = cut_lineage(sketched.groupBy("node").agg(F.min("sketch").alias("sketch"), F.min("size").alias("size")))
