@@ -14,9 +14,9 @@ def ordered_distinct(a: Column) -> Column:
 
 def distinct_by_canonical(a: Column, canonical: Column) -> Column:
     """First surface form of each canonical key; both arrays run side by side."""
-    pairs = F.arrays_zip(a.alias("s"), canonical.alias("k"))
+    pairs = F.zip_with(a, canonical, lambda s, k: F.struct(s.alias("s"), k.alias("k")))
     empty = F.array().cast("array<struct<s:string,k:string>>")
-    kept = F.aggregate(pairs, empty, lambda acc, x: F.when(F.exists(acc, lambda y: y["k"] == x["1"]), acc).otherwise(F.array_append(acc, F.struct(x["0"].alias("s"), x["1"].alias("k")))))
+    kept = F.aggregate(pairs, empty, lambda acc, x: F.when(F.exists(acc, lambda y: y["k"] == x["k"]), acc).otherwise(F.array_append(acc, x)))
     return F.transform(kept, lambda x: x["s"])
 
 

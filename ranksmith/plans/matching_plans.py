@@ -18,7 +18,7 @@ _SUFFIX_RE = "|".join(X.SUFFIXES)
 
 def _stems_sql(relation: str, keys: str, text: str = "text") -> str:
     return (
-        f"SELECT DISTINCT {keys}, CASE tok WHEN 'built' THEN 'build' WHEN 'led' THEN 'lead' WHEN 'wrote' THEN 'write' WHEN 'written' THEN 'write' WHEN 'ran' THEN 'run' WHEN 'taught' THEN 'teach' "
+        f"SELECT DISTINCT {keys}, CASE {' '.join(f"WHEN tok = '{k}' THEN '{v}'" for k, v in X.IRREGULAR.items())} "
         f"ELSE CASE WHEN length(tok) > 3 THEN regexp_replace(tok, '^(.{{3,}}?)(?:{_SUFFIX_RE})$', '\\1') ELSE tok END END AS stem "
         f"FROM (SELECT {keys}, unnest(regexp_extract_all(lower({text}), '[a-z0-9+#.]+')) AS tok FROM {relation}) WHERE length(tok) > 1"
     )

@@ -68,7 +68,7 @@ def section_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9+#.]+')) AS tok FROM benchmark),
-s AS (SELECT item_id, CASE WHEN tok IN ('built', 'led', 'wrote', 'written', 'ran', 'taught') THEN 'irregular' WHEN length(tok) > 3 THEN regexp_replace(tok, '^(.{{3,}}?)(?:{_SUFFIX_RE})$', '\\1') ELSE tok END AS stem FROM t WHERE length(tok) > 1)
+s AS (SELECT item_id, CASE {' '.join(f"WHEN tok = '{k}' THEN '{v}'" for k, v in X.IRREGULAR.items())} WHEN length(tok) > 3 THEN regexp_replace(tok, '^(.{{3,}}?)(?:{_SUFFIX_RE})$', '\\1') ELSE tok END AS stem FROM t WHERE length(tok) > 1)
 SELECT item_id, array_to_string(list_sort(list(DISTINCT stem)), ' ') AS stems FROM s GROUP BY 1"""
 )
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
