@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ranksmith.functions import concepts as C
 from ranksmith.functions import text as X
 
+from . import requirements as Q
 from .ranking import diversify
 
 #: Kinds of evidence that may answer a kind of requirement.
@@ -38,17 +40,34 @@ def numbered(items: DataFrame, owner: str, kind: str, position: str, out: str) -
     return items.withColumn(out, F.concat_ws(":", F.col(kind), n.cast("string")))
 
 
-def stem_overlap(requirements: DataFrame, evidence: DataFrame, on: list[str], req_id: str = "requirement_id", ev_id: str = "evidence_id") -> DataFrame:
-    """(on, req_id, ev_id, overlap): shared stems over the requirement's stems, for pairs of allowed kinds that share one.
+def synonym_phrases(text: Column, synonyms: dict[str, tuple[str, ...]]) -> Column:
+    """Each term that a text holds, whole or by one of its words of over two letters, with its synonyms."""
+    low = F.lower(text)
+    found = []
+    for term, others in synonyms.items():
+        hit = F.contains(low, F.lit(term))
+        for word in term.split():
+            if len(word) > 2:
+                hit = hit | F.contains(C.padded(text), F.lit(f" {word} "))
+        found.append(F.when(hit, F.array(*map(F.lit, (term, *others)))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
 
-    Both sides are exploded to stems and joined on document and stem, so pairs without a shared stem never exist.
+
+def stem_overlap(requirements: DataFrame, evidence: DataFrame, on: list[str], req_id: str = "requirement_id", ev_id: str = "evidence_id", synonyms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(on, req_id, ev_id, kind, overlap): shared stems over the requirement's stems, for pairs of allowed kinds with some.
+
+    A requirement's stems include those of its synonyms, and evidence that holds one of their phrases of several words gets
+    one half more.  Both lists of a document are short and meet once, as arrays of stems, so no words are shuffled.
     """
-    r = requirements.select(*on, req_id, F.col("kind").alias("r_kind"), F.explode(X.stems(F.col("text"))).alias("stem"))
-    n = r.groupBy(*on, req_id).agg(F.count("*").alias("n_stems"))
-    e = evidence.select(*on, ev_id, F.col("kind").alias("e_kind"), F.explode(X.stems(F.col("text"))).alias("stem"))
-    hit = r.join(e, [*on, "stem"]).where(F.array_contains(allowed_kinds(F.col("r_kind")), F.col("e_kind")))
-    shared = hit.groupBy(*on, req_id, ev_id, "e_kind").agg(F.count("*").alias("shared"))
-    return shared.join(n, [*on, req_id]).select(*on, req_id, ev_id, F.col("e_kind").alias("kind"), F.round(F.col("shared") / F.col("n_stems"), 4).alias("overlap"))
+    phrases = synonym_phrases(F.col("text"), synonyms or {})
+    stems = F.array_distinct(F.concat(X.stems(F.col("text")), F.flatten(F.transform("r_phrases", X.stems))))
+    r = requirements.select(*on, req_id, F.col("kind").alias("r_kind"), "text", phrases.alias("r_phrases"))
+    r = r.select(*on, req_id, "r_kind", F.filter("r_phrases", lambda p: F.contains(p, F.lit(" "))).alias("r_phrases"), stems.alias("r_stems"))
+    e = evidence.select(*on, ev_id, F.col("kind").alias("e_kind"), F.lower("text").alias("e_text"), X.stems(F.col("text")).alias("e_stems"))
+    pair = r.join(e, on).where(F.array_contains(allowed_kinds(F.col("r_kind")), F.col("e_kind")))
+    bonus = F.when(F.exists("r_phrases", lambda p: F.contains("e_text", p)), 0.5).otherwise(0.0)
+    scored = pair.withColumn("shared", F.size(F.array_intersect("r_stems", "e_stems"))).where("shared > 0")
+    return scored.select(*on, req_id, ev_id, F.col("e_kind").alias("kind"), F.round(F.col("shared") / F.size("r_stems") + bonus, 4).alias("overlap"))
 
 
 def select_evidence(scored: DataFrame, on: list[str], req_id: str = "requirement_id", ev_id: str = "evidence_id", threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
@@ -61,17 +80,32 @@ def select_evidence(scored: DataFrame, on: list[str], req_id: str = "requirement
 
 
 def validate_verdicts(verdicts: DataFrame, supplied: DataFrame, on: list[str]) -> DataFrame:
-    """Verdicts whose cited evidence was not all supplied, or that are unsure, become UNRESOLVED; partial ones cover one half.
+    """Judged verdicts as the cited evidence bears them out.
 
-    verdicts: on, status, confidence, evidence_ids; supplied: on, evidence_id.
+    verdicts: on, status, confidence, evidence_ids and, if kinds are to be checked, kind; supplied: on, evidence_id, kind.  Cited ids are
+    looked up among the supplied ones, however they are written, and count if their kind may answer the requirement's.
+    A verdict that cites nothing stands on the only evidence supplied.  Matched and partial verdicts need such evidence
+    and enough confidence, else they are UNRESOLVED; rejections stand.  Partial ones cover one half.
     """
-    ids = supplied.groupBy(*on).agg(F.collect_set("evidence_id").alias("_supplied"))
-    joined = verdicts.join(ids, on, "left")
-    known = F.size(F.array_except("evidence_ids", F.coalesce("_supplied", F.array().cast("array<string>")))) == 0
-    ok = known & (F.col("confidence") >= MIN_CONFIDENCE)
-    status = F.when(ok, F.col("status")).otherwise("UNRESOLVED")
-    coverage = F.when(status == "MATCHED", 1.0).when(status == "PARTIALLY_MATCHED", 0.5).otherwise(0.0)
-    return joined.withColumn("coverage", coverage).withColumn("status", status).drop("_supplied")
+    checked = "kind" in verdicts.columns and "kind" in supplied.columns
+    item = F.struct(F.col("evidence_id").alias("id"), (F.col("kind") if checked else F.lit(None).cast("string")).alias("kind"))
+    held = supplied.groupBy(*on).agg(F.collect_set(item).alias("_held"))
+    joined = verdicts.join(held, on, "left").withColumn("_held", F.coalesce("_held", F.array().cast("array<struct<id:string,kind:string>>")))
+    joined = joined.withColumn("_ids", F.transform("_held", lambda h: h["id"]))
+    raw = F.coalesce("evidence_ids", F.array().cast("array<string>"))
+    found = F.filter(F.transform(raw, lambda x: Q.supplied_reference(x, F.col("_ids"))), lambda x: x.isNotNull())
+    cited = F.when((F.size(raw) == 0) & (F.size("_ids") == 1), F.col("_ids")).otherwise(F.array_distinct(found))
+    if checked:
+        fits = lambda x: F.exists("_held", lambda h: (h["id"] == x) & F.array_contains(allowed_kinds(F.col("kind")), h["kind"]))
+        cited = F.filter(cited, lambda x: F.coalesce(fits(x), F.lit(False)))
+    joined = joined.withColumn("_cited", F.sort_array(cited))
+    said = F.upper("status")
+    partial, matched = said.isin("PARTIALLY_MATCHED", "PARTIAL"), said.isin("MATCHED", "MATCH")
+    sure = (matched | partial) & (F.col("confidence") >= MIN_CONFIDENCE) & (F.size("_cited") > 0)
+    status = F.when(sure & partial, "PARTIALLY_MATCHED").when(sure, "MATCHED").when(said.isin("NO_MATCH", "UNMATCHED", "REJECTED"), "NO_MATCH").otherwise("UNRESOLVED")
+    out = joined.withColumn("evidence_ids", F.when(sure, F.col("_cited")).otherwise(F.array().cast("array<string>"))).withColumn("status", status)
+    coverage = F.when(F.col("status") == "MATCHED", 1.0).when(F.col("status") == "PARTIALLY_MATCHED", 0.5).otherwise(0.0)
+    return out.withColumn("coverage", coverage).drop("_held", "_ids", "_cited")
 
 
 def fuse(deterministic: DataFrame, judged: DataFrame, on: list[str]) -> DataFrame:
@@ -94,3 +128,86 @@ def skill_groups(requirements: DataFrame, skills: DataFrame, on: list[str], req_
     have = skills.select(*on, F.lower("skill").alias("part"), F.lit(True).alias("_has")).distinct()
     joined = parts.join(have, [*on, "part"], "left").withColumn("_has", F.coalesce("_has", F.lit(False)))
     return joined.groupBy(*on, req_id, "is_or").agg(F.bool_or("_has").alias("_any"), F.bool_and("_has").alias("_all")).select(*on, req_id, "is_or", F.when(F.col("is_or"), F.col("_any")).otherwise(F.col("_all")).alias("satisfied"))
+
+
+def skill_match(term: Column, skills: Column, evidence: Column, known: C.Dictionaries) -> Column:
+    """struct<skill, method, evidence_id> of the first way in which a candidate shows a skill, or null.
+
+    Ways, in order: a member of the category that the term names; the term itself (EXACT); another spelling with the same canonical
+    name (ALIAS); all its words near each other in some text (ALIAS).  ``evidence`` is array<struct<evidence_id, kind, text>>; the id is
+    that of the first one that names the skill.
+    """
+    key = lambda c: F.lower(X.clean_spaces(c))
+    name = lambda c: F.coalesce(F.try_element_at(known.aliases, key(c)), key(c))
+    texts = F.transform(evidence, lambda e: e["text"])
+    members = F.try_element_at(known.categories, key(term))
+
+    def shown(skill: Column, method: str) -> Column:
+        at = F.try_element_at(F.filter(evidence, lambda e: F.contains(F.lower(e["text"]), F.lower(skill))), F.lit(1))
+        return F.when(skill.isNotNull(), F.struct(skill.alias("skill"), F.lit(method).alias("method"), at["evidence_id"].alias("evidence_id")))
+
+    first = lambda test: F.try_element_at(F.filter(skills, test), F.lit(1))
+    mentioned = F.try_element_at(F.filter(members, lambda m: (F.length(m) >= 3) & F.exists(texts, lambda t: F.contains(C.padded(t), F.concat(F.lit(" "), m, F.lit(" "))))), F.lit(1))
+    stems = F.transform(texts, lambda t: F.transform(X.tokens(t), X.stem))
+    wanted = C.concept_stems(term)
+    near = F.try_element_at(F.filter(evidence, lambda e: F.arrays_overlap(F.transform(X.tokens(e["text"]), X.stem), wanted)), F.lit(1))
+    return F.coalesce(
+        shown(first(lambda s: F.coalesce(F.array_contains(members, name(s)), F.lit(False))), "ALIAS"),
+        shown(mentioned, "ALIAS"),
+        shown(first(lambda s: key(s) == key(term)), "EXACT"),
+        shown(first(lambda s: name(s) == name(term)), "ALIAS"),
+        F.when(C.multiword_match(term, stems), F.struct(term.alias("skill"), F.lit("ALIAS").alias("method"), near["evidence_id"].alias("evidence_id"))),
+    )
+
+
+def project_relevance(requirement: Column, projects: Column) -> Column:
+    """MATCHED if a project's name and description hold the requirement, word for word or as words near each other; else UNRESOLVED.
+
+    ``projects``: array<struct<name, description>>.
+    """
+    said = F.transform(F.coalesce(projects, F.array()), lambda p: F.lower(F.concat_ws(" ", p["name"], p["description"])))
+    stems = F.transform(said, lambda t: F.transform(X.tokens(t), X.stem))
+    hit = F.exists(said, lambda t: F.contains(t, F.lower(requirement))) | C.multiword_match(requirement, stems)
+    return F.when(hit, "MATCHED").otherwise("UNRESOLVED")
+
+
+#: Words of a requirement that name an attitude, and what shows it.
+LEARNING = (("learn", "adapt", "train", "willingness"), ("quick learner", "eager to learn", "adaptable", "learned", "fast learner", "passionate about learning"))
+TALKING = (("communication", "teamwork", "collaboration", "interpersonal"), ("communication", "teamwork", "collaboration", "collaborated", "cross-functional", "presented", "partnered"))
+ANALYSIS = ("analytical", "problem-solving", "problem solving", "critical thinking")
+
+
+def soft_verdict(requirement: Column, text: Column, n_skills: Column, n_jobs: Column, n_projects: Column) -> Column:
+    """struct<status, confidence> of a requirement of character against all that a candidate says.
+
+    Learning is shown by its words, or by three skills, a job or a project; talking by its words; analysis by three skills or a project;
+    anything else by one of its words of over three letters.  What is not shown stays open.
+    """
+    ask, said = F.lower(requirement), F.lower(F.coalesce(text, F.lit("")))
+    some = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+    own = F.exists(F.filter(F.split(ask, r"\s+"), lambda w: F.length(w) > 3), lambda w: F.contains(said, w))
+    ok = (
+        F.when(some(ask, LEARNING[0]), some(said, LEARNING[1]) | (n_skills >= 3) | (n_jobs > 0) | (n_projects > 0))
+        .when(some(ask, TALKING[0]), some(said, TALKING[1]))
+        .when(some(ask, ANALYSIS), (n_skills >= 3) | (n_projects > 0))
+        .otherwise(own)
+    )
+    return F.struct(F.when(ok, "MATCHED").otherwise("UNRESOLVED").alias("status"), F.when(ok, 1.0).otherwise(0.5).alias("confidence"))
+
+
+def canonical_verdict(requirement: Column, held: Column, aliases: Column) -> Column:
+    """struct<status, method> of a certificate or language: MATCHED if one that is held has the same canonical name; ALIAS where either was spelt otherwise."""
+    key = lambda c: F.lower(X.clean_spaces(c))
+    name = lambda c: F.coalesce(F.try_element_at(aliases, key(c)), key(c))
+    hit = F.try_element_at(F.filter(F.coalesce(held, F.array().cast("array<string>")), lambda h: name(h) == name(requirement)), F.lit(1))
+    alias = F.try_element_at(aliases, key(requirement)).isNotNull() | F.try_element_at(aliases, key(hit)).isNotNull()
+    return F.struct(F.when(hit.isNotNull(), "MATCHED").otherwise("NO_MATCH").alias("status"), F.when(hit.isNotNull(), F.when(alias, "ALIAS").otherwise("EXACT")).alias("method"))
+
+
+def route(verdicts: DataFrame, selected: DataFrame, on: list[str]) -> DataFrame:
+    """(on, status, submit, n_evidence): matched verdicts stop; others go to the judge with their selected evidence, or are NO_MATCH without any."""
+    counts = selected.groupBy(*on).agg(F.count("*").alias("n_evidence"))
+    joined = verdicts.join(counts, on, "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
+    done = F.col("status") == "MATCHED"
+    status = F.when(~done & (F.col("n_evidence") == 0), "NO_MATCH").otherwise(F.col("status"))
+    return joined.select(*on, status.alias("status"), (~done & (F.col("n_evidence") > 0)).alias("submit"), F.when(done, 0).otherwise(F.col("n_evidence")).alias("n_evidence"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ranksmith.functions import concepts as C
 from ranksmith.functions import dates as D
 from ranksmith.functions import text as X
 
@@ -82,12 +83,43 @@ def evidence_reference(c: Column) -> Column:
     return F.when((kind != "") & (number != ""), F.concat(kind, F.lit(":"), F.regexp_replace(number, "^0+(?=[0-9])", "")))
 
 
-def fallback_similarity(query: Column, text: Column) -> Column:
-    """Stem overlap; where there is none, the best trigram Jaccard of whole texts of at least 0.35; else 0."""
+def supplied_reference(c: Column, ids: Column) -> Column:
+    """The one of the supplied ids that a reference means, or null: itself, itself but for case, with any separators, or by a number that only one id ends in."""
+    clean = F.trim(c)
+    form = F.regexp_replace(F.regexp_replace(F.lower(clean), r"[\s_#-]+", ":"), ":+", ":")
+    first = lambda test: F.try_element_at(F.filter(ids, test), F.lit(1))
+    ending = F.filter(ids, lambda i: F.endswith(i, F.concat(F.lit(":"), clean)))
+    number = F.when(F.regexp_like(clean, F.lit("^[0-9]+$")) & (F.size(ending) == 1), F.try_element_at(ending, F.lit(1)))
+    return F.coalesce(first(lambda i: i == clean), first(lambda i: F.lower(i) == F.lower(clean)), first(lambda i: F.lower(i) == form), number)
+
+
+#: Words from this length on are compared by their trigrams.
+LONG_WORD, WORD_JACCARD, SYNONYM_SCORE = 5, 0.35, 0.65
+
+
+def fallback_similarity(query: Column, text: Column, synonyms: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Share of the query's stems in a text; where there is none, 0.65 if the text holds a synonym (of over two letters) of a term that shares a stem
+    with the query, else the trigram Jaccard of the first pair of long words that reaches 0.35; else 0."""
     q, t = X.stems(query), X.stems(text)
-    overlap = F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
-    j = X.jaccard(X.ngrams(F.lower(query)), X.ngrams(F.lower(text)))
-    return F.round(F.when(overlap > 0, overlap).when(j >= 0.35, j).otherwise(0.0), 3)
+    overlap = F.size(F.array_intersect(q, t)) / F.size(q)
+    said = C.padded(text)
+    by_synonym = F.lit(False)
+    for term, others in (synonyms or {}).items():
+        stems = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (term, *others))), X.stems)))
+        named = F.exists(F.array(*[F.lit(o) for o in others if len(o) > 2]), lambda o: F.contains(said, F.concat(F.lit(" "), o, F.lit(" "))))
+        by_synonym = by_synonym | (F.coalesce(F.arrays_overlap(q, stems), F.lit(False)) & named)
+    long_words = lambda c: F.filter(X.tokens(c), lambda w: F.length(w) >= LONG_WORD)
+    pairs = F.flatten(F.transform(long_words(query), lambda a: F.transform(long_words(text), lambda b: X.jaccard(X.ngrams(a), X.ngrams(b)))))
+    best = F.coalesce(F.try_element_at(F.filter(pairs, lambda j: j >= WORD_JACCARD), F.lit(1)), F.lit(0.0))
+    value = F.when((F.size(q) == 0) | (F.size(t) == 0), 0.0).when(overlap > 0, overlap).when(by_synonym, SYNONYM_SCORE).otherwise(best)
+    return F.round(value, 3)
+
+
+def retrieve(pairs: DataFrame, on: list[str], query: str, text: str, ev_id: str = "evidence_id", most: int = 5, synonyms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """The best ``most`` evidence rows for each query by fallback similarity, those over 0.05 only."""
+    scored = pairs.withColumn("similarity", fallback_similarity(F.col(query), F.col(text), synonyms)).where("similarity > 0.05")
+    rank = F.row_number().over(W.partitionBy(*on).orderBy(F.col("similarity").desc(), ev_id))
+    return scored.withColumn("pick", rank).where(F.col("pick") <= most)
 
 
 def knocked_out(rules: DataFrame, skills: DataFrame, months: DataFrame, key: str) -> DataFrame:
