@@ -23,6 +23,8 @@ SEED = 42
 BUCKET_ROWS, GROUP_ROWS = 40_000, 20_000
 #: Near copies: 32-bit slices compared within 3 bits, twelve of them; all 384 bits then tell which pairs to verify.
 SLICES, SLICE_BITS, SLICE_BUDGET = 12, 32, 3
+#: Nodes of a block whose pairs are verified together, on average, and sets that one task holds for that.
+BLOCK_NODES, BUCKET_SETS = 128, 2000
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = SEED):
@@ -90,61 +92,51 @@ def sketch(text, width: int = 5, words: int = SLICES * SLICE_BITS // 64):
 
 
 def shingle_set(text, width: int = 5):
-    """The sorted hashes of the set of shingles, eight bytes each, the distinct values of two bytes of them, and their digest as in ``sketch``."""
+    """The sorted hashes of the set of shingles, eight bytes each, and their digest as in ``sketch``."""
 
-    @F.pandas_udf("shingles binary, short binary, same binary")
+    @F.pandas_udf("shingles binary, same binary")
     def run(texts):
         import hashlib
 
         import numpy as np
         import pandas as pd
 
-        sets = [np.unique(shingle_hashes(t, width)) for t in texts]
-        short = [np.unique(h.astype(np.uint16)).tobytes() for h in sets]
-        sets = [h.tobytes() for h in sets]
-        return pd.DataFrame({"shingles": sets, "short": short, "same": [hashlib.blake2b(h, digest_size=16).digest() for h in sets]})
+        sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in texts]
+        return pd.DataFrame({"shingles": sets, "same": [hashlib.blake2b(h, digest_size=16).digest() for h in sets]})
 
     return run(text)
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Share of common members of two sets of sorted hashes."""
+def jaccard(x, y) -> float:
+    """Share of common members of two arrays of distinct hashes."""
     import numpy as np
 
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets (node, shingles, short) have a Jaccard similarity of ``similarity`` or more.
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK_NODES, bucket: int = BUCKET_SETS) -> DataFrame:
+    """The pairs (u, v) whose sets (node, shingles) have a Jaccard similarity of ``similarity`` or more.
 
-    Two bytes of each hash bound the number of common members from above, so whole sets travel with few pairs only.
+    Nodes fall into blocks by hash and pairs meet by their nodes' blocks, so a set travels once for each block that its
+    partners are in, however many they are, and never more often than it has partners.
     """
-
-    @F.pandas_udf(T.BooleanType())
-    def possible(a, m, b, n):
+    pairs = pairs.select("u", "v")
+    blocks = max(1, -(-sets.count() // block))
+    number = lambda c: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(blocks))
+    met = pairs.withColumn("key", F.xxhash64(number("u"), number("v")))
+    buckets = max(1, -(-met.select("key", F.explode(F.array("u", "v")).alias("node")).distinct().count() // bucket))
+    met = met.withColumn("bucket", F.pmod("key", F.lit(buckets))).drop("key")
+    wanted = met.select(F.col("bucket").alias("of"), F.explode(F.array("u", "v")).alias("node")).distinct()
+
+    def run(some, held):
         import numpy as np
-        import pandas as pd
-
-        out = []
-        for x, p, y, q in zip(a, m, b, n):
-            x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
-            most = len(np.intersect1d(x, y, assume_unique=True)) + min(p - len(x), q - len(y))
-            out.append(most >= similarity * (p + q - most))
-        return pd.Series(out, dtype=bool)
 
-    @F.pandas_udf(T.BooleanType())
-    def alike(a, b):
-        import pandas as pd
-
-        return pd.Series([jaccard(x, y) >= similarity for x, y in zip(a, b)], dtype=bool)
+        of = {n: np.frombuffer(s, np.uint64) for n, s in zip(held["node"], held["shingles"])}
+        close = [jaccard(of[u], of[v]) >= similarity for u, v in zip(some["u"], some["v"])]
+        return some.loc[np.array(close, dtype=bool), ["u", "v"]]
 
-    size = (F.octet_length("shingles") / 8).cast("long")
-    brief = [sets.select(F.col("node").alias(x), F.col("short").alias(f"s{x}"), size.alias(f"n{x}")) for x in "uv"]
-    whole = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv"]
-    maybe = stored(pairs.select("u", "v").join(brief[0], "u").join(brief[1], "v").where(possible("su", "nu", "sv", "nv")).select("u", "v"))
-    return maybe.join(whole[0], "u").join(whole[1], "v").where(alike("su", "sv")).select("u", "v")
+    return met.groupBy("bucket").cogroup(wanted.join(sets, "node").groupBy("of")).applyInPandas(run, "u long, v long")
 
 
 class Forest:
@@ -406,8 +398,6 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2) -> Data
 
 #: Standard errors of a sketch's estimate by which a pair may miss the similarity and still be verified: 93 of 100 pairs at exactly 0.8 do.
 MARGIN = 1.5
-#: Rounds in which each label tries one proposed pair, before all that are left are tried together.
-PICKS = 3
 
 
 def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -453,32 +443,25 @@ def _near_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         return of.select("*", F.posexplode(cut).alias("tag", "value")).withColumn("tag", F.col("tag").cast("long"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        """(node, shingles, short) of the nodes in ``pairs``."""
+        """(node, shingles) of the nodes in ``pairs``."""
         used = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         first = sketched.join(used, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "tie")).alias("first")).select("first.*")
         texts = worded.join(first, ["doc", "tie"], "left_semi").select(shingle_set(F.col("text"), width).alias("s"))
-        return stored(texts.select(F.xxhash64("s.same").alias("node"), "s.shingles", "s.short").join(used, "node", "left_semi").dropDuplicates(["node"]))
-
-    def joined(pairs: DataFrame, labels: DataFrame, picks: int) -> DataFrame:
-        """Labels after all ``pairs`` whose sets are similar enough: ``picks`` rounds try one pair of each label, then all are tried that are still apart."""
-        sets = sets_of(pairs)
-        for k in range(picks + 1):
-            lu, lv = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
-            pairs = stored(pairs.select("u", "v").join(lu, "u").join(lv, "v").where("lu <> lv"))
-            tried = pairs
-            if k < picks:
-                tried = pairs.groupBy(F.greatest("lu", "lv").alias("l")).agg(F.min(F.struct(F.xxhash64(F.lit(k), "u", "v"), "u", "v")).alias("p")).select("p.u", "p.v")
-            links = similar_pairs(tried, sets, similarity).join(lu, "u").join(lv, "v").select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v"))
-            roots = components(links).withColumnRenamed("node", "label")
-            labels = cut_lineage(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
-        return labels
+        return stored(texts.select(F.xxhash64("s.same").alias("node"), "s.shingles").join(used, "node", "left_semi").dropDuplicates(["node"]))
+
+    def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Labels after all ``pairs`` whose sets are similar enough."""
+        lu, lv = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
+        links = similar_pairs(pairs, sets_of(pairs), similarity).join(lu, "u").join(lv, "v").where("lu <> lv").select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v"))
+        roots = components(links).withColumnRenamed("node", "label")
+        return cut_lineage(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
     labels = nodes.select("node", F.col("node").alias("label"))
     forest = stored(hamming_forest(slices(nodes), SLICE_BITS, SLICE_BUDGET, likely, share=similarity).distinct())
-    labels = joined(forest, labels, PICKS)
+    labels = joined(forest, labels)
     left = cut_lineage(nodes.join(labels, "node"))
     apart = stored(hamming_forest(slices(left), SLICE_BITS, SLICE_BUDGET, loose, every=True, share=similarity).distinct())
-    labels = joined(apart, labels, 1)
+    labels = joined(apart, labels)
     known = cut_lineage(sketched.join(labels, "node").select("doc", "tie", "label"))
     return known.join(known.groupBy("label").agg(F.min(F.struct("doc", "tie")).alias("first")), "label").select("doc", "tie", "first")
 
