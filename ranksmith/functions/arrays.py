@@ -55,3 +55,25 @@ def merge_records(primary: Column, recovery: Column, key: str, fields: list[str]
 
     fresh = F.filter(recovery, lambda y: ~F.exists(primary, lambda x: same(x, y)))
     return F.concat(F.transform(primary, fill), F.transform(fresh, lambda y: F.struct(*[y[f].alias(f) for f in fields])))
+
+
+def distinct_by(a: Column, *fields: str) -> Column:
+    """First struct of each combination of fields, in order."""
+    same = lambda x, y: F.struct(*[x[f] for f in fields]) == F.struct(*[y[f] for f in fields])
+    return F.filter(a, lambda x, i: ~F.exists(F.slice(a, 1, i), lambda y: same(x, y)))
+
+
+def in_category(x: Column, categories: dict[str, tuple[str, ...]], name: Column) -> Column:
+    """Whether a value is a member of the named category, case aside; unknown categories have none."""
+    lookup = F.create_map(*[c for k, v in categories.items() for c in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.coalesce(F.array_contains(F.try_element_at(lookup, F.lower(name)), F.lower(x)), F.lit(False))
+
+
+def merged_map(base: Column, overrides: Column) -> Column:
+    """Keys of both maps, values of ``overrides`` first."""
+    kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(overrides), k))
+    return F.map_concat(kept, overrides)
+
+
+def without_keys(m: Column, *keys: str) -> Column:
+    return F.map_filter(m, lambda k, v: ~k.isin(*keys))

@@ -108,12 +108,12 @@ def group_match(item: Column, pool: Column, known: Dictionaries) -> Column:
 
 
 def _pieces(c: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(c, pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def distinct_items(items: Column, known: Dictionaries) -> Column:
     """Items without blanks around them, each canonical name once, in order."""
-    t = F.transform(F.filter(F.coalesce(items, _none()), X.present), F.trim)
+    t = F.transform(F.filter(F.coalesce(items, _none()), X.present), lambda x: F.trim(x))
     return A.distinct_by_canonical(t, F.transform(t, lambda x: F.coalesce(F.try_element_at(known.aliases, F.lower(x)), F.lower(x))))
 
 

@@ -34,9 +34,17 @@ def _months(c: Column, default_month: int) -> Column:
 
 
 def months_between(start: Column, end: Column, inclusive: bool = True) -> Column:
-    """Whole months of partial ISO dates: a bare start year is January, a bare end year December; a negative span is null."""
-    n = _months(end, 12) - _months(start, 1) + (1 if inclusive else 0)
-    return F.when(n >= 0, n)
+    """Whole months of partial ISO dates: a bare start year is January, a bare end year December.
+
+    A negative span is null where both ends count, and 0 where the end does not (the vendor's rule).
+    """
+    n = _months(end, 12) - _months(start, 1)
+    return F.when(n >= -1, n + 1) if inclusive else F.greatest(n, F.lit(0))
+
+
+def parse_timestamp(c: Column) -> Column:
+    """ISO timestamps, with ``Z`` or an offset; anything else is null."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(c), "Z$", "+00:00"))
 
 
 def format_months(n: Column) -> Column:
@@ -54,6 +62,14 @@ def parse_experience(c: Column) -> Column:
     return F.struct((low * 12).alias("minimum_months"), (high * 12).alias("maximum_months"), display.alias("display_value"))
 
 
+def experience_phrase(c: Column) -> Column:
+    """struct<minimum_months, maximum_months, display_value> of a job's phrase: a range, 'n+ years', 'minimum n years' or 'n years'; the last three leave the maximum open."""
+    num = lambda pattern, g: F.try_to_number(F.nullif(F.regexp_extract(c, pattern, g), F.lit("")), F.lit("999")).cast("int")
+    span = r"(?i)([0-9]+)\s*(?:-|–|to)+\s*([0-9]+)\s+years?"
+    low = F.coalesce(num(span, 1), *[num(p, 1) for p in (r"(?i)([0-9]+)\+\s*years?", r"(?i)(?:minimum|at\s+least|min\.?)\s+(?:of\s+)?([0-9]+)\s+years?", r"(?i)([0-9]+)\s+years?")])
+    return F.struct((low * 12).alias("minimum_months"), (num(span, 2) * 12).alias("maximum_months"), c.alias("display_value"))
+
+
 def experience_tier(months: Column) -> Column:
     return F.when(months < 24, "0-1").when(months < 72, "2-5").when(months < 132, "6-10").otherwise("11-15")
 
