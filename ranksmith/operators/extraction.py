@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,12 +27,21 @@ def heading(line: Column) -> Column:
     return F.try_element_at(names, key)
 
 
+def section_lines(c: Column) -> Column:
+    """array<struct<pos, section, line>> of every line that is neither empty nor a heading; those before the first heading belong to 'header'.
+
+    A text has few headings, so each line looks for the last one above it.
+    """
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line"), heading(x).alias("opens")))
+    heads = F.filter(lines, lambda x: x["opens"].isNotNull())
+    above = lambda x: F.try_element_at(F.filter(heads, lambda h: h["pos"] < x["pos"]), F.lit(-1))["opens"]
+    kept = F.filter(lines, lambda x: x["opens"].isNull() & (x["line"] != ""))
+    return F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), F.coalesce(above(x), F.lit("header")).alias("section"), x["line"].alias("line")))
+
+
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, section, line) of every line that is not empty; lines before the first heading belong to 'header'."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("opens", heading(F.col("line")))
-    carried = F.last("opens", ignorenulls=True).over(W.partitionBy(key).orderBy("pos"))
-    out = lines.withColumn("section", F.coalesce(carried, F.lit("header")))
-    return out.where(F.col("opens").isNull() & (F.trim("line") != "")).select(key, "pos", "section", F.trim("line").alias("line"))
+    """(key, pos, section, line) of every line that is neither empty nor a heading; no text is shuffled."""
+    return docs.select(key, F.explode(section_lines(F.col(text))).alias("_l")).select(key, "_l.*")
 
 
 def email(c: Column) -> Column:

@@ -83,14 +83,14 @@ def skill_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH req AS (SELECT p_type, list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))) AS required FROM part WHERE p_partkey % 7 = 0 GROUP BY 1),
+    """WITH req AS (SELECT p_type, list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))) AS required FROM part GROUP BY 1),
 has AS (SELECT p_partkey, p_type, string_split(p_name, ' ') AS skills FROM part)
 SELECT p_partkey, array_to_string(list_sort(list_filter(required, lambda x: list_contains(skills, x))), ',') AS matched,
 array_to_string(list_sort(list_filter(required, lambda x: NOT list_contains(skills, x))), ',') AS missing FROM has JOIN req USING (p_type)"""
 )
 def matched_missing_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumn("skills", F.split("p_name", " "))
-    required = part.where("p_partkey % 7 = 0").select("p_type", F.explode("skills").alias("s")).groupBy("p_type").agg(F.array_sort(F.collect_set("s")).alias("required"))
+    required = part.select("p_type", F.explode("skills").alias("s")).groupBy("p_type").agg(F.array_sort(F.collect_set("s")).alias("required"))
     joined = part.join(required, "p_type")
     return joined.select("p_partkey", F.array_join(F.array_sort(F.array_intersect("required", "skills")), ",").alias("matched"), F.array_join(F.array_sort(F.array_except("required", "skills")), ",").alias("missing"))
 

@@ -29,12 +29,12 @@ def candidate_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT c_custkey AS document_id, c_mktsegment || '-' || c_nationkey AS project_id, c_custkey % 160 AS months FROM customer WHERE c_custkey % 7 = 0)
+    """WITH m AS (SELECT c_custkey AS document_id, c_mktsegment || '-' || c_nationkey AS project_id, c_custkey % 160 AS months FROM customer)
 SELECT document_id, project_id, CASE WHEN months < 24 THEN '0-1' WHEN months < 72 THEN '2-5' WHEN months < 132 THEN '6-10' ELSE '11-15' END AS tier,
 CASE WHEN max(months) OVER (PARTITION BY project_id) >= 24 THEN 'EXPERIENCED' ELSE 'FRESHER' END AS batch_category FROM m"""
 )
 def assessment_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("document_id"), F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("project_id"), (F.col("c_custkey") % 160).alias("months"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("project_id"), (F.col("c_custkey") % 160).alias("months"))
     return I.handoff(c, "project_id", "months").select("document_id", "project_id", "tier", "batch_category")
 
 

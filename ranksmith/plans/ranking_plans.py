@@ -13,7 +13,8 @@ from .catalogue import query
 
 
 def ranked(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
-    return R.rank_candidates(candidate_scores(spark, sf_dir, before))
+    """Ranked by ranges, so a project with a large share of all candidates is spread as well."""
+    return R.rank_spread(candidate_scores(spark, sf_dir, before))
 
 
 @query(f"WITH {ranked_sql()} SELECT project_id, document_id, name, final_score, recommendation, CAST(rank_position AS INTEGER) AS rank_position, round((n_project - rank_position + 1) / n_project * 100, 2) AS percentile FROM ranked WHERE rank_position <= 10")

@@ -64,13 +64,18 @@ def furthest_status(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(step, f"{key} long, status string, n long", STATE, "update", "NoTimeout")
 
 
-def upsert_stream(stream: DataFrame, target: str, keys: list[str], checkpoint: str, version: str = "batch"):
-    """Keeps the newest row of each key in a folder of versions: each batch writes the merged table anew and then names it current."""
+def upsert_stream(stream: DataFrame, target: str, keys: list[str], checkpoint: str, version: str = "batch", newest: str | None = None):
+    """Keeps one row of each key in a folder of versions: each batch writes the merged table anew and then names it current.
+
+    Of a batch's rows of one key the one with the greatest ``newest`` column stays; without that column any of them.
+    """
     from ranksmith.operators.mutations import upsert
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(keys)
+        if newest:
+            new = batch.groupBy(*keys).agg(F.max_by(F.struct("*"), newest).alias("_row")).select("_row.*")
         if batch_id:
             new = upsert(spark.read.parquet(f"{target}/{version}={batch_id - 1}"), new, keys)
         new.write.mode("overwrite").parquet(f"{target}/{version}={batch_id}")
