@@ -47,3 +47,10 @@ def merge_keep_old(old: DataFrame, new: DataFrame, keys: list[str], columns: lis
 def positional_labels(items: Column, kind: str) -> Column:
     """Array of struct(id = kind:n, text) with n from 1."""
     return F.transform(items, lambda x, i: F.struct(F.concat(F.lit(kind + ":"), (i + 1).cast("string")).alias("id"), x.alias("text")))
+
+
+def required_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join in which a row of ``left`` without a partner is an error when it is read, not a row that is lost."""
+    marked = left.join(right.withColumn("_found", F.lit(True)), key, "left")
+    message = F.concat(F.lit(f"no partner for {key} "), F.col(key).cast("string"))
+    return marked.where(F.when(F.col("_found").isNull(), F.raise_error(message).cast("boolean")).otherwise(F.col("_found"))).drop("_found")
