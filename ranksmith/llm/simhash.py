@@ -23,8 +23,8 @@ SEED = 42
 BUCKET_ROWS, GROUP_ROWS = 40_000, 20_000
 #: Near copies: 32-bit slices compared within 3 bits, twelve of them; all 384 bits then tell which pairs to verify.
 SLICES, SLICE_BITS, SLICE_BUDGET = 12, 32, 3
-#: Nodes of a block whose pairs are verified together, on average, and sets that one task holds for that.
-BLOCK_NODES, BUCKET_SETS = 128, 2000
+#: Nodes of a block of a cluster and sets that one task holds, on average.
+BLOCK_NODES, BUCKET_SETS = 512, 2000
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = SEED):
@@ -115,28 +115,57 @@ def jaccard(x, y) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK_NODES, bucket: int = BUCKET_SETS) -> DataFrame:
-    """The pairs (u, v) whose sets (node, shingles) have a Jaccard similarity of ``similarity`` or more.
+def verified_links(members: DataFrame, similarity: float, limit: int, block: int = BLOCK_NODES, bucket: int = BUCKET_SETS) -> DataFrame:
+    """(u, v) that link the nodes of each cluster whose sets have a Jaccard similarity of ``similarity`` or more.
 
-    Nodes fall into blocks by hash and pairs meet by their nodes' blocks, so a set travels once for each block that its
-    partners are in, however many they are, and never more often than it has partners.
+    members: node, cluster, sketch, size, shingles.  A cluster's nodes fall into blocks by hash and every two blocks meet once, so a
+    set travels once for each block of its cluster.  Of two blocks, pairs whose sketches differ in at most ``limit`` bits and whose
+    sizes allow it are compared, the closest first, unless others have joined them already; only the links
+    that joined something leave the task.
     """
-    pairs = pairs.select("u", "v")
-    blocks = max(1, -(-sets.count() // block))
-    number = lambda c: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(blocks))
-    met = pairs.withColumn("key", F.xxhash64(number("u"), number("v")))
-    buckets = max(1, -(-met.select("key", F.explode(F.array("u", "v")).alias("node")).distinct().count() // bucket))
-    met = met.withColumn("bucket", F.pmod("key", F.lit(buckets))).drop("key")
-    wanted = met.select(F.col("bucket").alias("of"), F.explode(F.array("u", "v")).alias("node")).distinct()
-
-    def run(some, held):
+    counts = members.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).where("n > 1")
+    counts = stored(counts)
+    total = counts.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
+    own = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
+    placed = members.join(counts.drop("n"), "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "sketch", "size", "shingles")
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(max(1, -(-int(total) // bucket)))))
+
+    def run(pdf):
         import numpy as np
+        import pandas as pd
 
-        of = {n: np.frombuffer(s, np.uint64) for n, s in zip(held["node"], held["shingles"])}
-        close = [jaccard(of[u], of[v]) >= similarity for u, v in zip(some["u"], some["v"])]
-        return some.loc[np.array(close, dtype=bool), ["u", "v"]]
-
-    return met.groupBy("bucket").cogroup(wanted.join(sets, "node").groupBy("of")).applyInPandas(run, "u long, v long")
+        found = []
+        for (_, i, j), part in pdf.groupby(["cluster", "i", "j"], sort=False):
+            node, size = part["node"].to_numpy(), part["size"].to_numpy()
+            sketches = np.frombuffer(b"".join(part["sketch"]), np.uint64).reshape(len(part), -1)
+            sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+            first = part["own"].to_numpy() == i
+            left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if i < j else (np.arange(len(part)), np.arange(len(part)))
+            if not len(left) or not len(right):
+                continue
+            d = np.bitwise_count(sketches[left][:, None] ^ sketches[right][None]).sum(axis=2, dtype=np.int64)
+            near = (d <= limit) & (np.minimum(size[left][:, None], size[right][None]) >= similarity * np.maximum(size[left][:, None], size[right][None]))
+            if i == j:
+                near &= left[:, None] < right[None]
+            a, b = np.nonzero(near)
+            by = np.argsort(d[a, b], kind="stable")
+            root = list(range(len(part)))
+
+            def top(x, root=root):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for u, v in zip(left[a[by]].tolist(), right[b[by]].tolist()):
+                x, y = top(u), top(v)
+                if x != y and jaccard(sets[u], sets[v]) >= similarity:
+                    root[max(x, y)] = min(x, y)
+                    found.append((max(node[u], node[v]), min(node[u], node[v])))
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return met.groupBy("bucket").applyInPandas(run, "u long, v long")
 
 
 class Forest:
@@ -291,12 +320,12 @@ def _deal(rows: DataFrame, bits: int, budget: int) -> DataFrame:
     return out.withColumn("part", F.call_function("shiftrightunsigned", F.col("value"), F.lit(bits) - F.col("prefix")))
 
 
-def hamming_forest(items: DataFrame, bits: int = 64, budget: int = 2, sketch_limit: int | None = None, group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS, every: bool = False, share: float = 0) -> DataFrame:
+def hamming_forest(items: DataFrame, bits: int = 64, budget: int = 2, sketch_limit: int | None = None, group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS, share: float = 0) -> DataFrame:
     """Edges (u, v) of a spanning forest of the links between rows (node long, tag long, value long[, sketch binary, size long, label long]) of one tag.
 
     Rows link if their values differ in at most ``budget`` of ``bits`` bits and, with a ``sketch_limit``, if their
     sketches differ in no more bits than that and the lesser size is at least ``share`` of the greater.  ``node`` is unique within a tag.  Every edge is such a link.  Rows of
-    one ``label`` count as linked already; with ``every``, all links between different labels come, not a forest of them.
+    one ``label`` count as linked already.
     """
     rows = _deal(items.withColumn("prefix", F.lit(0)), bits, budget)
     ready, level = [], 0
@@ -327,7 +356,7 @@ def hamming_forest(items: DataFrame, bits: int = 64, budget: int = 2, sketch_lim
         node = pdf["node"].to_numpy()
         tag, prefix = pdf["tag"].to_numpy(), pdf["prefix"].to_numpy()
         part = pdf["part"].to_numpy()
-        near, label, found = None, None, []
+        near, label = None, None
         if "label" in pdf:
             label = pd.DataFrame({"label": pdf["label"].to_numpy(), "at": np.arange(len(pdf))}).groupby("label")["at"].transform("min").to_numpy()
         if sketch_limit is not None:
@@ -339,9 +368,6 @@ def hamming_forest(items: DataFrame, bits: int = 64, budget: int = 2, sketch_lim
                 ok = np.bitwise_count(s[a] ^ s[b]).sum(axis=1, dtype=np.int64) <= sketch_limit
                 if share:  # sets of too unequal size cannot be similar
                     ok &= np.minimum(size[a], size[b]) >= share * np.maximum(size[a], size[b])
-                if every:
-                    found.append((a[ok].astype(np.int32), b[ok].astype(np.int32)))
-                    return np.zeros(len(a), bool)
                 return ok
 
         cut = np.flatnonzero((np.diff(tag) != 0) | (np.diff(prefix) != 0) | (np.diff(part) != 0)) + 1
@@ -349,10 +375,7 @@ def hamming_forest(items: DataFrame, bits: int = 64, budget: int = 2, sketch_lim
         # the signed order of values equals the unsigned one inside a run but where the sign bit itself varies
         many = ends - starts > 1
         forest = trie_forest(value, starts[many], ends[many], bits - int(prefix.min()), budget, near, label=label)
-        found += forest.joined
-        a, b = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in (0, 1))
-        found.clear()
-        a, b = node[a], node[b]
+        a, b = (node[np.concatenate([f[i] for f in forest.joined] or [np.empty(0, np.int64)])] for i in (0, 1))
         return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
 
     return dealt.groupBy("bucket").applyInPandas(link, "u long, v long").where("u <> v")
@@ -422,16 +445,16 @@ def leave_first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0
 def _near_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """doc, tie and ``first``, the least (doc, tie) of the group: single linkage of sets of word shingles with a Jaccard similarity of ``similarity`` or more.
 
-    SimHash sketches only propose pairs: the share of differing bits estimates the angle between two sets, and
-    pairs are found through slices of the sketch that agree within a few bits.  Each proposed pair counts only if
-    the sets themselves are similar enough.  A forest of the pairs that look similar is tried first; then all
-    pairs within ``MARGIN`` standard errors whose groups are still apart.  Texts without words take no part.
+    SimHash sketches only propose pairs: the share of differing bits estimates the angle between two sets.  A trie
+    join of the sketches' slices, which agree within a few bits, gathers sets whose sketches look similar enough, ``MARGIN``
+    standard errors allowed, into clusters; it emits a forest of them, not their pairs.  Inside a cluster pairs count only if the sets themselves are
+    similar enough.  Texts without words take no part.
     """
     import math
 
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = SLICES * SLICE_BITS
-    likely, loose = round(share * bits), math.ceil(share * bits + MARGIN * math.sqrt(share * (1 - share) * bits))
+    limit = math.ceil(share * bits + MARGIN * math.sqrt(share * (1 - share) * bits))
     worded = docs.where(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) != "")
     sketched = cut_lineage(worded.select("doc", "tie", sketch(F.col("text"), width).alias("s")).select("doc", "tie", "s.sketch", "s.size", F.xxhash64("s.same").alias("node")))
     nodes = cut_lineage(sketched.groupBy("node").agg(F.min("sketch").alias("sketch"), F.min("size").alias("size")))
@@ -442,27 +465,17 @@ def _near_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         cut = F.array(*[F.conv(F.substring(text, 1 + i * digits, digits), 16, 10).cast("long") for i in range(SLICES)])
         return of.select("*", F.posexplode(cut).alias("tag", "value")).withColumn("tag", F.col("tag").cast("long"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """(node, shingles) of the nodes in ``pairs``."""
-        used = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        first = sketched.join(used, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "tie")).alias("first")).select("first.*")
-        texts = worded.join(first, ["doc", "tie"], "left_semi").select(shingle_set(F.col("text"), width).alias("s"))
-        return stored(texts.select(F.xxhash64("s.same").alias("node"), "s.shingles").join(used, "node", "left_semi").dropDuplicates(["node"]))
-
-    def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Labels after all ``pairs`` whose sets are similar enough."""
-        lu, lv = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
-        links = similar_pairs(pairs, sets_of(pairs), similarity).join(lu, "u").join(lv, "v").where("lu <> lv").select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v"))
-        roots = components(links).withColumnRenamed("node", "label")
-        return cut_lineage(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
-
-    labels = nodes.select("node", F.col("node").alias("label"))
-    forest = stored(hamming_forest(slices(nodes), SLICE_BITS, SLICE_BUDGET, likely, share=similarity).distinct())
-    labels = joined(forest, labels)
-    left = cut_lineage(nodes.join(labels, "node"))
-    apart = stored(hamming_forest(slices(left), SLICE_BITS, SLICE_BUDGET, loose, every=True, share=similarity).distinct())
-    labels = joined(apart, labels)
-    known = cut_lineage(sketched.join(labels, "node").select("doc", "tie", "label"))
+    forest = hamming_forest(slices(nodes), SLICE_BITS, SLICE_BUDGET, limit, share=similarity)
+    loose = stored(components(forest))
+    clusters = stored(loose.select("node", F.col("root").alias("cluster")).unionByName(loose.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()))
+    # one text of each node in a cluster gives its set
+    picked = sketched.join(clusters, "node").groupBy("node", "cluster").agg(F.min(F.struct("doc", "tie")).alias("first")).select("cluster", "first.*")
+    texts = worded.join(picked, ["doc", "tie"]).select("cluster", shingle_set(F.col("text"), width).alias("s"))
+    sets = texts.select("cluster", F.xxhash64("s.same").alias("node"), "s.shingles").dropDuplicates(["node"])
+    members = stored(sets.join(nodes, "node").select("node", "cluster", "sketch", "size", "shingles"))
+    roots = components(verified_links(members, similarity, limit))
+    labelled = sketched.join(roots, "node", "left").select("doc", "tie", F.coalesce("root", "node").alias("label"))
+    known = cut_lineage(labelled)
     return known.join(known.groupBy("label").agg(F.min(F.struct("doc", "tie")).alias("first")), "label").select("doc", "tie", "first")
 
 
