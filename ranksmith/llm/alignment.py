@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, table
 
 #: Characters of text after which a shard is closed.
-SHARD_CHARS = 1 << 24
+SHARD_CHARS = 1 << 23
 #: Characters that one call of a tokenizer receives, but for longer chunks.
 CALL_CHARS = 1 << 14
 MODES = ("end", "overlap", "group")
@@ -245,9 +245,10 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return _ALIGNERS[byte_path, piece_path]
 
 
-#: A shard's columns of one entry for each document; ``end`` is where the document's chunk numbers end.
+#: A shard's columns of one entry for each document; ``end`` is where the document's chunk numbers end.  Numbers of chunks and links are
+#: signed 32-bit little-endian, which only Python reads.
 DOC = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "end")
-SHARDS = "shard string, doc_id array<string>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, end array<long>, chunk array<int>, link_end array<int>, link array<int>, a array<int>, b array<int>, n array<long>"
+SHARDS = "shard string, doc_id array<string>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, end array<long>, chunk binary, link_end binary, link binary, a array<int>, b array<int>, n array<long>"
 
 
 def shard_rows(docs: DataFrame, byte_path: str, piece_path: str, mode: str, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -278,7 +279,7 @@ def shard_rows(docs: DataFrame, byte_path: str, piece_path: str, mode: str, shar
         n = np.zeros(len(pair), np.int64)
         np.add.at(n, link, weights)
         row = {"shard": name} | {c: list(v) for c, v in zip(DOC, zip(*docs, strict=True), strict=True)}
-        row |= {"chunk": chunk, "link_end": link_end, "link": link, "a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": n}
+        row |= {c: v.astype("<i4").tobytes() for c, v in (("chunk", chunk), ("link_end", link_end), ("link", link))} | { "a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": n}
         return pd.DataFrame({k: [v] for k, v in row.items()})
 
     def run(batches):
@@ -330,10 +331,10 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, mode: str
             count, is_best = np.zeros(len(row.a), np.int64), np.zeros(len(row.a), np.int64)
             count[found["at"].to_numpy()] = found["count"].to_numpy()
             is_best[found["at"].to_numpy()] = found["is_best"].to_numpy()
-            edges = np.concatenate([[0], np.asarray(row.link_end, np.int64)])
-            totals = [np.concatenate([[0], np.cumsum(v[np.asarray(row.link, np.int64)])]) for v in (is_best, count)]
+            chunk, link_end, link = (np.frombuffer(x, "<i4") for x in (row.chunk, row.link_end, row.link))
+            edges = np.concatenate([[0], link_end])
+            totals = [np.concatenate([[0], np.cumsum(v[link])]) for v in (is_best, count)]
             of_chunk = [t[edges[1:]] - t[edges[:-1]] for t in totals]
-            chunk = np.asarray(row.chunk, np.int64)
             summed = [np.concatenate([[0], np.cumsum(v[chunk])]) for v in of_chunk]
             docs = pd.DataFrame({c: list(getattr(row, c)) for c in DOC[:-1]})
             ends = np.asarray(row.end, np.int64)
