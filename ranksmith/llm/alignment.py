@@ -279,7 +279,7 @@ def shard_rows(docs: DataFrame, byte_path: str, piece_path: str, mode: str, shar
         n = np.zeros(len(pair), np.int64)
         np.add.at(n, link, weights)
         row = {"shard": name} | {c: list(v) for c, v in zip(DOC, zip(*docs, strict=True), strict=True)}
-        row |= {c: v.astype("<i4").tobytes() for c, v in (("chunk", chunk), ("link_end", link_end), ("link", link))} | { "a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": n}
+        row |= {c: v.astype("<i4").tobytes() for c, v in (("chunk", chunk), ("link_end", link_end), ("link", link))} | {"a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": n}
         return pd.DataFrame({k: [v] for k, v in row.items()})
 
     def run(batches):
