@@ -127,37 +127,50 @@ class Segment:
         return part[start - a * self.block : end - a * self.block]
 
 
+class Numbers(dict):
+    """Numbers keys as they come; ``fresh`` holds those that are new."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+
 class ChunkEncoder(WordEncoder):
-    """Ids of whole texts through a cache of white-space-free chunks, each made of pre-tokens, which never hold white space.
+    """Ids of whole texts through a table of white-space-free chunks, each made of pre-tokens, which never hold white space.
 
-    A chunk is met by one look-up; its pre-tokens are cut only when it is new.  What holds for ``WordEncoder`` holds here.
+    A chunk costs one look-up; its pre-tokens are cut only when it is new.  What holds for ``WordEncoder`` holds here.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.chunks: dict[str, bytes] = {}
+        self.numbers, self.table = Numbers(), []
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        low = [t.lower() for t in texts]
-        special = ["<" in t and self.special.search(t) is not None for t in low]
-        cut = [t.split() if not s and self.SIMPLE.fullmatch(raw) else None for t, raw, s in zip(low, texts, special, strict=True)]
-        used = set().union(*(c for c in cut if c))
-        fresh = list(used.difference(self.chunks))
-        if fresh:
-            if len(self.chunks) + len(fresh) > CACHE_WORDS:
-                self.chunks = {c: self.chunks[c] for c in used if c in self.chunks}
-            parts = [self.PRE.findall(c) for c in fresh]
+        if len(self.table) > CACHE_WORDS:
+            self.numbers, self.table = Numbers(), []
+        number, cut = self.numbers.__getitem__, []
+        for raw in texts:
+            t = raw.lower()
+            special = "<" in t and self.special.search(t) is not None
+            cut.append(None if special else list(map(number, t.split())) if self.SIMPLE.fullmatch(raw) else raw)
+        if self.numbers.fresh:
+            parts = [self.PRE.findall(c) for c in self.numbers.fresh]
             self._learn(set().union(*parts))
             ids = self.cache.__getitem__
-            self.chunks.update((c, b"".join(map(ids, p))) for c, p in zip(fresh, parts, strict=True))
-        get = self.chunks.__getitem__
+            self.table.extend([b"".join(map(ids, p)) for p in parts])
+            self.numbers.fresh = []
+        of = self.table.__getitem__
 
-        def one(text, cut, special):
-            if special:
+        def one(text, cut):
+            if cut is None:
                 return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-            return self._words(text) if cut is None else b"".join(map(get, cut))
+            return self._words(cut) if isinstance(cut, str) else b"".join(map(of, cut))
 
-        return [one(*x) for x in zip(texts, cut, special, strict=True)]
+        return [one(*x) for x in zip(texts, cut, strict=True)]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
