@@ -233,47 +233,51 @@ def share(count, n: int, v: int):
     return 1 + UNIT * (count + 1) // (n + v)
 
 
-def judged(kept: DataFrame, top: int) -> DataFrame:
-    """Of each range: the sums of every pair of sources, and each source's ``top`` terms.  ``kept`` holds its language's totals."""
+def judged(kept: DataFrame, langs: DataFrame, ranges: int, top: int) -> DataFrame:
+    """The sums of every pair of sources, and each source's ``top`` terms, for groups of neighbouring ranges.
 
-    def one(lang, body, v, sources, n):
+    Kept leaves are far fewer than counted ones, so ranges are put together again to about ``RANGE_BYTES`` of what was kept.
+    """
+    size = kept.agg(F.sum(F.length("body"))).first()[0] or 0
+    groups = min(ranges, max(1, -(-size // RANGE_BYTES)))
+
+    def judge(key, pdf):
         import numpy as np
         import pandas as pd
 
-        leaves, sources, n = pickle.loads(body), list(sources), [int(x) for x in n]
+        lang, v, sources, n = key[0], int(pdf["v"].iat[0]), list(pdf["sources"].iat[0]), [int(x) for x in pdf["n"].iat[0]]
         place = {s: k for k, s in enumerate(sources)}
         total, width = sum(n), len(sources)
         sums, best = np.zeros((width, width), np.int64), [[] for _ in sources]
         step = max(1, BLOCK // width)
-        for i in range(0, len(leaves), step):
-            part = leaves[i : i + step]
-            counts = np.zeros((len(part), width), np.int64)
-            at = [(r, place[s], c) for r, (_, by_source) in enumerate(part) for s, c in by_source.items()]
-            rows, columns, values = map(np.array, zip(*at, strict=True))
-            counts[rows, columns] = values
-            p = np.column_stack([share(counts[:, k], n[k], v) for k in range(width)])
-            q = share(counts.sum(axis=1), total, v)
-            for k in range(width):
-                other = p[:, k : k + 1]
-                sums[:, k] += ((p - other) ** 2 // other).sum(axis=0)
-                more = np.flatnonzero((counts[:, k] > 0) & (p[:, k] > q))
-                value = (p[more, k] - q[more]) ** 2 // q[more]
-                first = np.argsort(-value, kind="stable")[:top]
-                best[k] += [(part[more[j]][0], int(value[j])) for j in first]
-                if len(best[k]) > top:
-                    best[k] = sorted(best[k], key=lambda x: (-x[1], x[0]))[:top]
+        for body in pdf.sort_values("range")["body"]:
+            leaves = pickle.loads(body)
+            for i in range(0, len(leaves), step):
+                part = leaves[i : i + step]
+                counts = np.zeros((len(part), width), np.int64)
+                at = [(r, place[s], c) for r, (_, by_source) in enumerate(part) for s, c in by_source.items()]
+                rows, columns, values = map(np.array, zip(*at, strict=True))
+                counts[rows, columns] = values
+                p = np.column_stack([share(counts[:, k], n[k], v) for k in range(width)])
+                q = share(counts.sum(axis=1), total, v)
+                for k in range(width):
+                    other = p[:, k : k + 1]
+                    sums[:, k] += ((p - other) ** 2 // other).sum(axis=0)
+                    more = np.flatnonzero((counts[:, k] > 0) & (p[:, k] > q))
+                    value = (p[more, k] - q[more]) ** 2 // q[more]
+                    first = np.argsort(-value, kind="stable")[:top]
+                    best[k] += [(part[more[j]][0], int(value[j])) for j in first]
+                    if len(best[k]) > top:
+                        best[k] = sorted(best[k], key=lambda x: (-x[1], x[0]))[:top]
         out = [("pair", s, t, int(sums[a, b])) for a, s in enumerate(sources) for b, t in enumerate(sources) if a != b]
         out += [("term", s, term.decode(), f) for s, found in zip(sources, best, strict=True) for term, f in found]
         pdf = pd.DataFrame(out, columns=["part", "source", "item", "value"])
         pdf.insert(0, "lang", lang)
         return pdf
 
-    def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples():
-                yield one(row.lang, row.body, row.v, row.sources, row.n)
-
-    return kept.select("lang", "body", "v", "sources", "n").mapInPandas(run, "lang string, part string, source string, item string, value long")
+    group = F.floor(F.col("range") * groups / F.lit(ranges)).cast("int")
+    near = kept.where("v > 0").select("lang", "range", group.alias("group"), "body").join(langs, "lang")
+    return near.groupBy("lang", "group").applyInPandas(judge, "lang string, part string, source string, item string, value long")
 
 
 def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
@@ -288,13 +292,14 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP)
     empty = F.lit("")
     rows = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), F.coalesce("text", empty).cast("binary").alias("text"))
     tries = stored(partial_tries(rows))
-    kept = stored(merged_tries(tries, range_starts(tries), min_docs))
+    starts = range_starts(tries)
+    kept = stored(merged_tries(tries, starts, min_docs))
     counted = kept.select("lang", F.explode(F.arrays_zip("sources", "n")).alias("c")).groupBy("lang", F.col("c.sources").alias("source")).agg(F.sum("c.n").alias("n"))
     groups = rows.select("lang", "source").distinct().join(counted, ["lang", "source"], "left")
     groups = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("g"))
     langs = groups.join(kept.groupBy("lang").agg(F.sum("v").alias("v")), "lang", "left").select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.col("g.source").alias("sources"), F.col("g.n").alias("n"))
     langs = stored(langs)
-    found = stored(judged(kept.where("v > 0").select("lang", "body").join(langs, "lang"), top))
+    found = stored(judged(kept, langs, len(starts) + 1, top))
 
     # a language without kept terms has pairs of value 0
     bare = langs.where("v = 0").select("lang", "sources", F.explode("sources").alias("source")).select("lang", "source", F.explode("sources").alias("item")).where("source <> item")
