@@ -22,6 +22,7 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import byte_letters
 from .common import free_name, shared_folder, small_batches, table
 from .packing import CACHE_WORDS, WordEncoder, tokenizer_path
 
@@ -147,7 +148,17 @@ class ChunkEncoder(WordEncoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.numbers, self.table = Numbers(), []
+        self.numbers, self.table, self.words = Numbers(), [], {}
+        self.model = self.merges.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+
+    def _learn(self, used: set[str]) -> None:
+        """Every pre-token of ``used`` is in ``words`` afterwards; the model alone merges it, as the tokenizer's other steps are done."""
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        for w in used.difference(self.words):
+            spelt = w if w.isascii() else "".join([self.letters[b] for b in w.encode()])
+            self.words[w] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.table) > CACHE_WORDS:
@@ -160,7 +171,7 @@ class ChunkEncoder(WordEncoder):
         if self.numbers.fresh:
             parts = [self.PRE.findall(c) for c in self.numbers.fresh]
             self._learn(set().union(*parts))
-            ids = self.cache.__getitem__
+            ids = self.words.__getitem__
             self.table.extend([b"".join(map(ids, p)) for p in parts])
             self.numbers.fresh = []
         of = self.table.__getitem__
