@@ -4,39 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ranksmith.functions import arrays as A
 from ranksmith.functions import text as X
 
-#: Headings that open a section, by the section's name.
-HEADINGS = {
-    "summary": ("summary", "profile", "about", "objective"),
-    "skills": ("skills", "technical skills", "core skills"),
-    "experience": ("experience", "work experience", "employment"),
-    "education": ("education", "qualifications"),
-    "projects": ("projects", "key projects"),
-    "certifications": ("certifications", "certificates"),
-}
-
-
-def heading(line: Column) -> Column:
-    """Section that a line opens, or null."""
-    key = F.regexp_replace(F.lower(F.trim(line)), r"\s*:$", "")
-    names = F.create_map(*[F.lit(x) for s, hs in HEADINGS.items() for h in hs for x in (h, s)])
-    return F.try_element_at(names, key)
-
-
-def section_lines(c: Column) -> Column:
-    """array<struct<pos, section, line>> of every line that is neither empty nor a heading; those before the first heading belong to 'header'.
-
-    A text has few headings, so each line looks for the last one above it.
-    """
-    lines = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line"), heading(x).alias("opens")))
-    heads = F.filter(lines, lambda x: x["opens"].isNotNull())
-    above = lambda x: F.try_element_at(F.filter(heads, lambda h: h["pos"] < x["pos"]), F.lit(-1))["opens"]
-    kept = F.filter(lines, lambda x: x["opens"].isNull() & (x["line"] != ""))
-    return F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), F.coalesce(above(x), F.lit("header")).alias("section"), x["line"].alias("line")))
+from .headings import section_lines
 
 
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,10 +48,6 @@ def education_lines(c: Column) -> Column:
     return F.filter(X.content_lines(c), lambda x: F.regexp_like(F.lower(x), F.lit(r"(^|[^a-z])(bachelors?|masters?|ph\.?d|mba|b\.?tech|m\.?tech|diploma)([^a-z]|$)")))
 
 
-def experience_phrases(c: Column, most: int = 10) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+(?:\s*[-+]\s*[0-9]*)?\s*years?)"), F.lit(1))), 1, most)
-
-
 def responsibilities(c: Column, most: int = 30) -> Column:
     """Bullet lines of over 15 characters, each once."""
     lines = F.filter(F.split(c, "\n"), lambda x: F.regexp_like(x, F.lit(r"^\s*[-*•]\s+")))
@@ -87,54 +55,6 @@ def responsibilities(c: Column, most: int = 30) -> Column:
     return F.slice(A.ordered_distinct(items), 1, most)
 
 
-def employment_type(c: Column) -> Column:
-    t = F.lower(c)
-    return F.when(F.regexp_like(t, F.lit("intern(ship)?")), "Internship").when(F.contains(t, F.lit("contract")), "Contract").when(F.contains(t, F.lit("part-time")) | F.contains(t, F.lit("part time")), "Part-time").when(F.contains(t, F.lit("freelance")), "Freelance").when(F.contains(t, F.lit("full-time")) | F.contains(t, F.lit("full time")), "Full-time")
-
-
-EXPERIENCE_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "company", "start_date", "end_date")] + [T.StructField("bullets", T.ArrayType(T.StringType()))]))
-
-
-def experience_entries(text: Column) -> Column:
-    """Entries of an experience section: a 'title, company, from - to' line opens one, bullets join the open one.
-
-    The state that is carried from line to line stays inside one document, so an Arrow-batched function reads it.
-    """
-
-    @F.pandas_udf(EXPERIENCE_TYPE)
-    def parse(texts):
-        import re
-
-        import pandas as pd
-
-        head = re.compile(r"^(?P<title>[^,|•-][^,|]*?)\s*(?:,|\||\bat\b)\s*(?P<company>[^,|()]+?)\s*[,|(]\s*(?P<start>\w{3,9} \d{4}|\d{4}(?:-\d{2})?)\s*(?:-|–|to)\s*(?P<end>\w{3,9} \d{4}|\d{4}(?:-\d{2})?|present|current)\)?$", re.I)
-        out = []
-        for t in texts:
-            entries = []
-            for line in (t or "").splitlines():
-                line = line.strip()
-                if m := head.match(line):
-                    entries.append({"title": m["title"], "company": m["company"], "start_date": m["start"], "end_date": m["end"], "bullets": []})
-                elif entries and re.match(r"[-*•]\s+", line):
-                    entries[-1]["bullets"].append(re.sub(r"^[-*•]\s+", "", line))
-            out.append(entries)
-        return pd.Series(out)
-
-    return parse(text)
-
-
-def project_chunks(c: Column) -> Column:
-    """Array of struct(name, body): paragraphs of a projects section, the first line being the name."""
-    chunks = F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(chunks, lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, r"^[^\n]*", 0), r"\s*:$", "").alias("name"), F.trim(F.regexp_replace(x, r"^[^\n]*\n?", "")).alias("body")))
-
-
-def certifications(c: Column) -> Column:
-    """Lines of a certifications section; a line that begins in lower case continues the one before."""
-    joined = F.regexp_replace(c, r"\n\s*(?=[a-z])", " ")
-    return A.ordered_distinct(X.content_lines(joined))
-
-
 def vendor_payload(c: Column) -> Column:
     """struct of a vendor's nested JSON, unknown keys dropped."""
     return F.from_json(c, "name string, email string, skills array<string>, composite_score double, education array<struct<degree:string,institution:string,year:string>>")

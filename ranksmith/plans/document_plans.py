@@ -50,7 +50,7 @@ _TITLE = "array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), ' '
 SELECT p_partkey AS doc_id, {_TITLE} AS name, 'part' || p_partkey || '@example.com' AS email, '+9198765' || lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '43210') AS phone,
 CASE WHEN k2 = 0 THEN 'Data Engineer' ELSE '-' END AS designation, CASE k3 WHEN 0 THEN 'Chennai' WHEN 1 THEN 'Bengaluru' ELSE '-' END AS location,
 CASE WHEN k2 = 0 THEN 'Makes ' || p_name || ' for a living' ELSE 'A person of many years who has made ' || p_name END AS summary,
-CASE WHEN k3 = 2 THEN 'Python,' || w[2] || ',Docker' ELSE 'Python,' || w[2] END AS skills, CASE WHEN k2 = 0 THEN 1 ELSE 0 END AS n_jobs, CASE WHEN k2 = 0 THEN 'Acme Limited' ELSE '-' END AS company, 'Bachelor of Technology in ' || p_type AS education,
+CASE WHEN k3 = 2 THEN 'Python,' || w[2] || ',Docker' ELSE 'Python,' || w[2] END AS skills, CASE WHEN k2 = 0 THEN 1 ELSE 0 END AS n_jobs, CASE WHEN k2 = 0 THEN 'Acme Limited' ELSE '-' END AS company, 'Bachelor of Technology' AS education,
 CASE WHEN k2 = 0 AND k3 = 2 THEN p_brand || ' line,Data Engineer' WHEN k3 = 2 THEN p_brand || ' line' WHEN k2 = 0 THEN 'Data Engineer' ELSE '' END AS projects,
 round((3 + CASE WHEN k2 = 0 THEN 1 ELSE 0 END + CASE WHEN k3 = 2 THEN 1 ELSE 0 END) / 6, 2)::DOUBLE AS section_score,
 round((6 + CASE WHEN k2 = 0 THEN 2 ELSE 0 END + CASE WHEN k3 < 2 THEN 1 ELSE 0 END + CASE WHEN k2 = 0 OR k3 = 2 THEN 1 ELSE 0 END) / 11, 2)::DOUBLE AS entity_score FROM p"""

@@ -53,19 +53,6 @@ def gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.match_terms(F.col("text"), TERMS), ",").alias("terms"))
 
 
-@query(
-    r"""WITH d AS (SELECT doc_id, replace(replace(text, '. The', chr(10) || 'Skills:' || chr(10) || 'The'), '. An', chr(10) || 'experience' || chr(10) || 'An') AS t FROM documents),
-l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS pos FROM d),
-h AS (SELECT *, CASE regexp_replace(lower(trim(line)), '\s*:$', '') WHEN 'skills' THEN 'skills' WHEN 'experience' THEN 'experience' END AS opens FROM l),
-c AS (SELECT *, coalesce(last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'header') AS section FROM h)
-SELECT doc_id, section, count(*) AS n_lines, CAST(sum(length(trim(line))) AS BIGINT) AS n_chars FROM c WHERE opens IS NULL AND trim(line) <> '' GROUP BY 1, 2"""
-)
-def section_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.replace(F.replace(F.col("text"), F.lit(". The"), F.lit("\nSkills:\nThe")), F.lit(". An"), F.lit("\nexperience\nAn"))
-    lines = E.sections(table(spark, sf_dir, "documents").select("doc_id", marked.alias("text")))
-    return lines.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
-
-
 @query(
     f"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9+#.]+')) AS tok FROM benchmark),
 s AS (SELECT item_id, CASE {' '.join(f"WHEN tok = '{k}' THEN '{v}'" for k, v in X.IRREGULAR.items())} WHEN length(tok) > 3 THEN regexp_replace(tok, '^(.{{3,}}?)(?:{_SUFFIX_RE})$', '\\1') ELSE tok END AS stem FROM t WHERE length(tok) > 1)

@@ -130,12 +130,6 @@ def test_extraction(spark):
     assert one(spark, E.responsibilities(F.col("t")), t=t) == ["Led the migration of services"]
 
 
-def test_experience_entries(spark):
-    t = "Engineer, Acme Ltd, Jan 2020 - Present\n- built things\nAnalyst | Beta | 2015 - 2019\n- wrote reports\n- more"
-    got = one(spark, E.experience_entries(F.col("t")), t=t)
-    assert [(e.title, e.company, e.start_date, e.end_date, len(e.bullets)) for e in got] == [("Engineer", "Acme Ltd", "Jan 2020", "Present", 1), ("Analyst", "Beta", "2015", "2019", 2)]
-
-
 def test_normalisers(spark):
     assert one(spark, N.canonical(F.col("t")), t="Language: JS") == "JavaScript"
     assert one(spark, N.degree(F.col("t")), t="B.Tech in computer science") == "Bachelor of Technology in computer science"
