@@ -161,11 +161,20 @@ def phone_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.coalesce(N.phone_e164(raw), F.lit("-")).alias("phone"))
 
 
-@query("SELECT n_nationkey, array_to_string(list_transform(string_split(n, ' '), lambda x: upper(left(x, 1)) || substr(x, 2)), ' ') AS city, array_to_string(list_transform(string_split(r, ' '), lambda x: upper(left(x, 1)) || substr(x, 2)), ' ') AS country, CASE r WHEN 'india' THEN 'IN' ELSE '-' END AS code FROM (SELECT n_nationkey, lower(r_name) AS r, lower(n_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey)")
+@query(
+    """WITH p AS (SELECT c_custkey, c_custkey % 6 AS k, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT c_custkey, CASE k WHEN 3 THEN 'Bengaluru' WHEN 4 THEN '-' ELSE n_name END AS city, CASE k WHEN 0 THEN r_name WHEN 1 THEN r_name WHEN 3 THEN 'Karnataka' ELSE '-' END AS region,
+CASE k WHEN 1 THEN 'USA' WHEN 2 THEN 'uk' WHEN 3 THEN 'India' WHEN 4 THEN 'Canada' ELSE '-' END AS country, CASE k WHEN 1 THEN 'US' WHEN 2 THEN 'GB' WHEN 3 THEN 'IN' WHEN 4 THEN 'CA' ELSE '-' END AS code,
+CASE k WHEN 0 THEN n_name || ' , ' || r_name WHEN 1 THEN n_name || ', ' || r_name || ', USA' WHEN 2 THEN n_name || ', uk' WHEN 3 THEN 'Bengaluru, Karnataka, India' WHEN 4 THEN 'Canada' ELSE n_name END AS name FROM p"""
+)
 def location_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    out = places.select("n_nationkey", N.location(F.concat(F.col("n_name"), F.lit(" , "), F.col("r_name"))).alias("l"))
-    return out.select("n_nationkey", "l.city", "l.country", F.coalesce("l.country_code", F.lit("-")).alias("code"))
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    people = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    k, n, r = F.col("c_custkey") % 6, F.col("n_name"), F.col("r_name")
+    text = F.when(k == 0, F.concat(n, F.lit(" , "), r)).when(k == 1, F.concat_ws(", ", n, r, F.lit("USA"))).when(k == 2, F.concat(n, F.lit(", uk"))).when(k == 3, "BANGALORE").when(k == 4, "Canada").otherwise(n)
+    told = lambda c, name: F.coalesce(c, F.lit("-")).alias(name)
+    out = people.select("c_custkey", N.location(text).alias("l"))
+    return out.select("c_custkey", told("l.city", "city"), told("l.region", "region"), told("l.country", "country"), told("l.country_code", "code"), F.col("l.display_name").alias("name"))
 
 
 @query("SELECT doc_id, round(0.85 + 0.03 * least(k, 4), 2) AS confidence, CAST(ceil(length(text) / 2.8 * 1.15 + 20 + 100 + 200) AS BIGINT) AS tokens FROM (SELECT doc_id, text, doc_id % 4 + 1 AS k FROM documents)")

@@ -13,23 +13,33 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Header of the candidate export.
-HEADER = ["Rank", "Candidate", "Email", "Final Score", "Recommendation", "Percentile", "Skills Score", "Experience Score", "Confidence", "Matched Skills", "Missing Skills"]
-COLUMNS = ["rank_position", "candidate", "email", "final_score", "recommendation", "percentile", "skills_score", "experience_score", "confidence", "matched_skills", "missing_skills"]
+#: Header of the candidate export, and the three sheets of the workbook.
+HEADER = ["Rank", "Candidate Name", "Email", "Final Score", "Recommendation", "Confidence", "Skills Score", "Experience Score", "Matched Skills", "Missing Skills", "Status"]
+SHEETS = ("Candidate Rankings", "Skills Analysis", "Campaign Summary")
+SUMMARY = ("total_candidates", "average_score", "highest_score", "lowest_score", "average_confidence", "knocked_out_count")
+COLUMNS = ["rank_position", "candidate", "email", "final_score", "recommendation", "confidence", "skills_score", "experience_score", "matched_skills", "missing_skills"]
 MAX_ROWS = 100_000
 
 
 def flat_rows(rows: DataFrame) -> DataFrame:
-    """The export's columns under its header, lists joined by comma and blank."""
+    """The export's columns under its header: lists joined by comma and blank, no mail as empty, knock-outs as a status."""
     kinds = dict(rows.dtypes)
-    cells = [F.array_join(c, ", ") if kinds[c].startswith("array") else F.col(c) for c in COLUMNS]
-    return rows.select(*[c.alias(h) for c, h in zip(cells, HEADER, strict=True)])
+    cells = [F.array_join(c, ", ") if kinds[c].startswith("array") else F.coalesce(c, F.lit("")) if c == "email" else F.col(c) for c in COLUMNS]
+    status = F.when(F.col("is_knocked_out"), "KNOCKED_OUT").otherwise("ELIGIBLE")
+    return rows.select(*[c.alias(h) for c, h in zip([*cells, status], HEADER, strict=True)])
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """Header and rows; the first column's name carries the byte order mark that spreadsheet programs look for."""
-    flat = flat_rows(rows)
-    flat.withColumnRenamed(HEADER[0], "﻿" + HEADER[0]).write.mode("overwrite").csv(path, header=True)
+def write_csv(rows: DataFrame, path: str, most: int = MAX_ROWS) -> None:
+    """Header and rows by rank; the first column's name carries the byte order mark that spreadsheet programs look for.
+
+    Up to ``most`` rows, which is what one file is opened for, make one file.  More are dealt by ranges of rank to files that are in
+    order by their names, each with its header and its part of the rows; a file without rows is not written.
+    """
+    flat = flat_rows(rows).withColumnRenamed(HEADER[0], "\ufeff" + HEADER[0])
+    first = F.col("\ufeff" + HEADER[0])
+    small = rows.limit(most + 1).count() <= most
+    spread = flat.coalesce(1) if small else flat.repartitionByRange(first)
+    spread.sortWithinPartitions(first).write.mode("overwrite").csv(path, header=True)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -43,8 +53,11 @@ def _bounded(rows: DataFrame, most: int) -> list:
     return got
 
 
-def workbook(sheets: dict[str, DataFrame], most: int = MAX_ROWS) -> bytes:
-    """An .xlsx file with one sheet for each table, the header row frozen and filterable."""
+def workbook(sheets: dict[str, DataFrame], most: int = MAX_ROWS, scaled: tuple[str, int] | None = None) -> bytes:
+    """An .xlsx file with one sheet for each table, the header row frozen and filterable.
+
+    ``scaled`` names a sheet and the place of a column whose cells are coloured from red at the least to green at the greatest.
+    """
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         names = list(sheets)
@@ -61,7 +74,7 @@ def workbook(sheets: dict[str, DataFrame], most: int = MAX_ROWS) -> bytes:
         z.writestr("xl/workbook.xml", f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})[:31]}" sheetId="{i + 1}" r:id="r{i + 1}"/>' for i, n in enumerate(names)) + "</sheets></workbook>")
         for i, n in enumerate(names):
             rows = [sheets[n].columns, *map(list, _bounded(sheets[n], most))]
-            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", _sheet(rows))
+            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", _sheet(rows, scaled[1] if scaled and scaled[0] == n else None))
     return out.getvalue()
 
 
@@ -74,7 +87,29 @@ def _column(i: int) -> str:
     return name
 
 
-def _sheet(rows: list[list]) -> str:
+def report_workbook(rows: DataFrame, skills: DataFrame, summary: DataFrame) -> bytes:
+    """Candidates by rank with a colour scale of final scores, skills (Type, Skill, Frequency, Percentage), and the campaign's figures.
+
+    ``summary`` has one row with the columns of ``SUMMARY``; figures that are null count as 0.
+    """
+    figures = F.array(*[F.struct(F.lit(c.replace("_", " ").title()).alias("Figure"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("Value")) for c in SUMMARY])
+    named = dict(zip(SHEETS, (flat_rows(rows).orderBy(HEADER[0]), skills, summary.select(F.inline(figures))), strict=True))
+    return workbook(named, scaled=(SHEETS[0], HEADER.index("Final Score")))
+
+
+def skills_sheet(candidates: DataFrame, matched: str = "matched_skills", missing: str = "missing_skills", most: int = 10) -> DataFrame:
+    """(Type, Skill, Frequency, Percentage): the commonest matched and missing skills, each candidate counting once for each skill."""
+    total = candidates.agg(F.count("*").alias("total"))
+    parts = []
+    for kind, column in (("Matched", matched), ("Missing", missing)):
+        found = candidates.select(F.explode(F.array_distinct(column)).alias("Skill")).groupBy("Skill").agg(F.count("*").alias("Frequency"))
+        parts.append(found.orderBy(F.desc("Frequency"), "Skill").limit(most).select(F.lit(kind).alias("Type"), "Skill", "Frequency"))
+    share = F.round(F.col("Frequency") * 100 / F.col("total"), 2)
+    # the total is one row
+    return parts[0].unionByName(parts[1]).join(F.broadcast(total)).select("Type", "Skill", "Frequency", share.alias("Percentage")).orderBy("Type", F.desc("Frequency"), "Skill")
+
+
+def _sheet(rows: list[list], scaled: int | None = None) -> str:
     def cell(v, ref: str) -> str:
         if isinstance(v, bool) or v is None or not isinstance(v, (int, float)):
             text = "" if v is None else ", ".join(map(str, v)) if isinstance(v, list) else str(v)
@@ -82,8 +117,12 @@ def _sheet(rows: list[list]) -> str:
         return f'<c r="{ref}"><v>{v}</v></c>'
 
     body = "".join(f'<row r="{r + 1}">' + "".join(cell(v, f"{_column(c)}{r + 1}") for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows))
+    scale = ""
+    if scaled is not None and len(rows) > 1:
+        c = _column(scaled)
+        scale = f'<conditionalFormatting sqref="{c}2:{c}{len(rows)}"><cfRule type="colorScale" priority="1"><colorScale><cfvo type="min"/><cfvo type="max"/><color rgb="FFF8696B"/><color rgb="FF63BE7B"/></colorScale></cfRule></conditionalFormatting>'
     last = f"{_column(max(0, len(rows[0]) - 1))}{len(rows)}"
-    return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><sheetData>{body}</sheetData><autoFilter ref="A1:{last}"/></worksheet>'
+    return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><sheetData>{body}</sheetData><autoFilter ref="A1:{last}"/>{scale}</worksheet>'
 
 
 def one_page_pdf(title: str, summary: list[str], rows: DataFrame, order, most: int = 10) -> bytes:
@@ -100,14 +139,25 @@ def one_page_pdf(title: str, summary: list[str], rows: DataFrame, order, most: i
     return out + table + b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, len(out))
 
 
-#: Writers by format.
-WRITERS = {"csv": write_csv, "json": write_json}
-
-
-def export(rows: DataFrame, kind: str, path: str) -> None:
-    if kind not in WRITERS:
+def _to_file(content: bytes, path: str) -> None:
+    with open(path, "wb") as f:
+        f.write(content)
+
+
+def export(rows: DataFrame, kind: str, path: str, title: str = "", skills: DataFrame | None = None, summary: DataFrame | None = None) -> None:
+    """One project's candidates as csv, json, xlsx or pdf; the last two are single files on the caller's machine and need ``summary``."""
+    if kind == "csv":
+        write_csv(rows, path)
+    elif kind == "json":
+        write_json(rows, path)
+    elif kind == "xlsx":
+        _to_file(report_workbook(rows, skills_sheet(rows) if skills is None else skills, summary), path)
+    elif kind == "pdf":
+        figures = summary.select(*SUMMARY).first().asDict()
+        lines = [f"{k.replace('_', ' ').title()}: {v or 0}" for k, v in figures.items()]
+        _to_file(one_page_pdf(f"{title} - Candidate Report", lines, rows.select("rank_position", "candidate", "final_score", "recommendation"), ["rank_position"]), path)
+    else:
         raise ValueError(f"no export to {kind}")
-    WRITERS[kind](rows, path)
 
 
 def outbox(rows: DataFrame, key: str, kind: str) -> DataFrame:

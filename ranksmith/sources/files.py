@@ -24,6 +24,88 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.withColumn("extension", ext).withColumn("mime", F.try_element_at(mime, F.col("extension"))).withColumn("file_hash", F.sha2("content", 256))
 
 
+def inside(path: Column, root: str) -> Column:
+    """Whether a path lies under ``root`` once its dots are followed; relative paths do not."""
+    bare = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "")
+    steps = F.filter(F.split(bare(path), "/"), lambda x: (x != "") & (x != "."))
+    # a step up takes the last one away; one that leaves the top is kept and fits no root
+    followed = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when((x == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x))))
+    top = [x for x in root.split("://")[-1].split("/") if x and x != "."]
+    return F.coalesce(bare(path).startswith("/") & (F.size(followed) > len(top)) & (F.slice(followed, 1, max(1, len(top))) == F.array(*map(F.lit, top))), F.lit(False))
+
+
+STORED = "path string, file_hash string, stored_path string, size long, error string"
+CHUNK_BYTES = 1 << 20
+
+
+def store_files(files: DataFrame, root: str) -> DataFrame:
+    """Writes each file's content under ``root`` by its SHA-256 and returns path, file_hash, stored_path, size and error.
+
+    Executors write, to a folder that all of them share.  Equal contents share one file, so repeats and retried tasks write nothing
+    new; a file appears under its name only when it is whole.  A null content has an error and no path.
+    """
+
+    def write(batches):
+        import hashlib
+        import os
+        import uuid
+
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                if content is None:
+                    out.append((path, None, None, None, "no content"))
+                    continue
+                view, digest = memoryview(content), hashlib.sha256()
+                for i in range(0, len(view), CHUNK_BYTES):
+                    digest.update(view[i : i + CHUNK_BYTES])
+                name = digest.hexdigest()
+                suffix = os.path.splitext(path or "")[1].lower()
+                target = os.path.join(root, name[:2], name + (suffix if suffix[1:].isalnum() else ""))
+                error = None
+                try:
+                    if not os.path.exists(target):
+                        os.makedirs(os.path.dirname(target), exist_ok=True)
+                        part = f"{target}.{uuid.uuid4().hex}.part"
+                        with open(part, "wb") as f:
+                            for i in range(0, len(view), CHUNK_BYTES):
+                                f.write(view[i : i + CHUNK_BYTES])
+                        os.replace(part, target)
+                except OSError as e:
+                    target, error = None, f"{type(e).__name__}: {e}"
+                out.append((path, name, target, len(view), error))
+            yield pd.DataFrame(out, columns=["path", "file_hash", "stored_path", "size", "error"])
+
+    return files.select("path", "content").mapInPandas(write, STORED)
+
+
+def read_stored(spark: SparkSession, stored: DataFrame, root: str, column: str = "stored_path") -> DataFrame:
+    """``stored`` with ``content``, and ``error`` where the path lies outside ``root`` or no file is there; executors read."""
+    safe = stored.withColumn("_inside", inside(F.col(column), root))
+
+    @F.pandas_udf("content binary, error string")
+    def load(paths, allowed):
+        import os
+
+        import pandas as pd
+
+        out = []
+        for path, ok in zip(paths, allowed, strict=True):
+            if not ok or not os.path.realpath(path).startswith(os.path.realpath(root) + os.sep):
+                out.append((None, "path is outside the storage root"))
+            elif not os.path.isfile(path):
+                out.append((None, "no such file"))
+            else:
+                with open(path, "rb") as f:
+                    out.append((f.read(), None))
+        return pd.DataFrame(out, columns=["content", "error"])
+
+    names = [c for c in stored.columns if c not in ("content", "error")]
+    return safe.withColumn("_read", load(F.col(column), F.col("_inside"))).select(*names, "_read.content", "_read.error")
+
+
 def validation_error(extension: Column, length: Column, content: Column) -> Column:
     """First rule that a file breaks, or null."""
     signature = F.lit(True)

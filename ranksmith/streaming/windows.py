@@ -81,3 +81,44 @@ def upsert_stream(stream: DataFrame, target: str, keys: list[str], checkpoint: s
         new.write.mode("overwrite").parquet(f"{target}/{version}={batch_id}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def upsert_partitioned(stream: DataFrame, target: str, keys: list[str], newest: str, checkpoint: str, buckets: int = 64, prepare=None, trigger: dict | None = None):
+    """Keeps the newest row of each key in a table of ``buckets`` partitions, of which a batch rewrites only those it touches.
+
+    ``newest`` decides, then all other columns, so a batch that is run again after a failure changes nothing and late rows never
+    replace newer ones.  ``prepare`` may join or clean each batch first.  ``trigger`` is one of writeStream's, such as
+    ``{"processingTime": "15 minutes"}`` for polling; without it what is there is taken and the query ends.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = prepare(batch) if prepare else batch
+        new = new.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        staged = f"{target}/_staged"
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        known = spark.read.schema(new.schema).option("basePath", f"{target}/rows")
+        paths = [f"{target}/rows/bucket={b}" for b in touched]
+        there = [p for p in paths if _has_rows(spark, p)]
+        both = new.unionByName(known.parquet(*there)) if there else new
+        order = F.struct(newest, *[c for c in new.columns if c not in (newest, "bucket")])
+        kept = both.groupBy(*keys, "bucket").agg(F.max_by(F.struct(*new.columns), order).alias("_row")).select("_row.*")
+        kept.write.mode("overwrite").parquet(staged)
+        # the target is read above, so the merged rows are set down before any partition is replaced
+        spark.read.schema(kept.schema).parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{target}/rows")
+
+    out = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return out.trigger(**(trigger or {"availableNow": True}))
+
+
+def _has_rows(spark, path: str) -> bool:
+    """Whether a partition's folder exists; Spark has no other way to ask a store than to list it."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).schema  # noqa: B018
+        return True
+    except AnalysisException:
+        return False
