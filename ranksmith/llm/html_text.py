@@ -50,6 +50,8 @@ VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 COLSPAN, ROWSPAN = 1000, 65534
 #: Blanks fill a column up to this width and a line up to this place; what is longer stands two blanks further on.
 COLUMN_WIDTH, LINE_WIDTH = 80, 400
+#: Blanks before a line at most, however deep its list or quotation is; and tables inside tables that are aligned, deeper ones are blocks.
+INDENT_WIDTH, NESTED = 80, 16
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -170,7 +172,7 @@ class Flow:
     def __init__(self):
         self.lines: list[str] = []
         self.line: list[str] = []
-        self.indent = ""
+        self.indent = 0
         self.marker = None
         self.blank = False
         self.space = False
@@ -208,7 +210,7 @@ class Flow:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        lead = self.indent
+        lead = " " * min(self.indent, INDENT_WIDTH)
         if self.marker is not None:
             lead, self.marker = self.marker, None
         self.lines.append((lead + line).rstrip(" ") if line else "")
@@ -274,16 +276,18 @@ def _aligned(node: Node, show: bool, done: dict) -> list[str]:
     rows, captions = _table_rows(node)
     out = [line for c in captions for line in layout(c, visible(c, show), done)]
     grid: list[list[tuple[int, list[str]]]] = []
-    # cells that reach down: (row after their last, first column, end), and the columns they hold as joined ranges
+    # cells that reach down: (row after their last, first column, end), and the columns they hold as joined ranges; those that reach
+    # the table's end are joined once for all
     held: list[tuple[int, int, int]] = []
+    lasting: list[tuple[int, int]] = []
     taken: list[tuple[int, int]] = []
     widths: dict[int, int] = {}
     for row, r in enumerate(rows):
         if held and held[0][0] <= row:
             while held and held[0][0] <= row:
                 heapq.heappop(held)
-            taken = _joined([(a, e) for _, a, e in held])
-        cells, col, nxt, fresh = [], 0, 0, []
+            taken = _joined([*lasting, *((a, e) for _, a, e in held)])
+        cells, col, nxt, fresh, down = [], 0, 0, [], []
         for c in r.kids:
             if isinstance(c, str) or hidden(c) or c.tag not in ("td", "th"):
                 continue
@@ -296,10 +300,15 @@ def _aligned(node: Node, show: bool, done: dict) -> list[str]:
                 widths[col] = max(widths.get(col, 0), min(COLUMN_WIDTH, max(map(len, lines))))
             if tall > 1:
                 fresh.append((col, col + wide))
-                heapq.heappush(held, (row + tall, col, col + wide))
+                if row + tall < len(rows):
+                    heapq.heappush(held, (row + tall, col, col + wide))
+                else:
+                    down.append((col, col + wide))
             col += wide
         if fresh:
             taken = _joined(taken + fresh)
+        if down:
+            lasting = _joined(lasting + down)
         grid.append(cells)
     place, at = {}, 0
     for col in sorted(widths):
@@ -330,10 +339,10 @@ def layout(root: Node, show: bool, done: dict) -> list[str]:
                 flow.gap() if not counters else flow.brk()
             elif tag == "li":
                 flow.brk()
-                flow.indent, flow.marker = flow.indent[: -node.attrs["\0width"]] if node.attrs["\0width"] else flow.indent, None
+                flow.indent, flow.marker = flow.indent - node.attrs["\0width"], None
             elif tag in ("dd", "blockquote"):
                 flow.brk()
-                flow.indent = flow.indent[:-2]
+                flow.indent -= 2
                 if tag == "blockquote":
                     flow.gap()
             elif tag in SPACED:
@@ -359,7 +368,7 @@ def layout(root: Node, show: bool, done: dict) -> list[str]:
             continue
         if tag == "img" or tag == "input":
             continue
-        if tag == "table":
+        if tag == "table" and id(node) in done:
             flow.gap()
             flow.block(done[id(node)])
             flow.gap()
@@ -375,12 +384,12 @@ def layout(root: Node, show: bool, done: dict) -> list[str]:
                 if counters and counters[-1][0]:
                     mark = f"{counters[-1][1]}. "
                     counters[-1][1] += 1
-                flow.marker = flow.indent + mark if show else None
-                flow.indent += " " * len(mark)
+                flow.marker = " " * min(flow.indent, INDENT_WIDTH) + mark if show else None
+                flow.indent += len(mark)
                 node.attrs["\0width"] = len(mark)
             elif tag in ("dd", "blockquote"):
                 flow.gap() if tag == "blockquote" else flow.brk()
-                flow.indent += "  "
+                flow.indent += 2
             elif tag in SPACED:
                 flow.gap()
             else:
@@ -392,14 +401,16 @@ def layout(root: Node, show: bool, done: dict) -> list[str]:
 
 
 def _tables(root: Node) -> list[tuple[Node, bool]]:
-    """All tables that are laid out, outer ones before inner ones, and whether their own text shows."""
-    out, todo = [], [(root, True)]
+    """All tables that are aligned, outer ones before inner ones, and whether their own text shows; those in ``NESTED`` tables are not."""
+    out, todo = [], [(root, True, 0)]
     while todo:
-        node, show = todo.pop()
+        node, show, depth = todo.pop()
         show = visible(node, show)
         if node.tag == "table":
-            out.append((node, show))
-        todo += [(k, show) for k in node.kids if not isinstance(k, str) and not hidden(k)]
+            if depth < NESTED:
+                out.append((node, show))
+            depth += 1
+        todo += [(k, show, depth) for k in node.kids if not isinstance(k, str) and not hidden(k)]
     return out
 
 
