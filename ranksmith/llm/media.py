@@ -66,6 +66,13 @@ class Blob(bytes):
         k = bisect_left(found, start)
         return found[k] if k < len(found) else -1
 
+    def refuted(self, kind: str) -> bytearray:
+        """Marks of the places from which a chain of ``kind`` is known not to end, two for each byte."""
+        known = self.__dict__.setdefault("known", {})
+        if kind not in known:
+            known[kind] = bytearray(2 * len(self) + 2)
+        return known[kind]
+
     def archives(self) -> dict[int, int]:
         """Start and end of the ZIP archives that the end records declare; of several with one start the first."""
         known = self.__dict__.setdefault("known", {})
@@ -127,28 +134,27 @@ def _jpeg(b: bytes, i: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(b: bytes, i: int) -> tuple[str, int] | None:
-    """GIF: screen descriptor, then blocks of extensions and images up to the trailer."""
+def _gif(b: Blob, i: int) -> tuple[str, int] | None:
+    """GIF: screen descriptor, then blocks of extensions and images up to the trailer; a place that led nowhere is not walked from again."""
     if i + 13 > len(b):
         return None
     flags = b[i + 10]
-    at = i + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-
-    def blocks(at: int) -> int:
-        while at < len(b) and b[at]:
-            at += b[at] + 1
-        return at + 1
-
-    while at < len(b):
-        if b[at] == 0x3B:
+    at, inside, dead, path = i + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), 0, b.refuted("gif"), []
+    while at < len(b) and not dead[2 * at + inside]:
+        path.append(2 * at + inside)
+        if inside:
+            at, inside = (at + b[at] + 1, 1) if b[at] else (at + 1, 0)
+        elif b[at] == 0x3B:
             return "image/gif", at + 1 - i
-        if b[at] == 0x21:
-            at = blocks(at + 2)
+        elif b[at] == 0x21:
+            at, inside = at + 2, 1
         elif b[at] == 0x2C and at + 10 < len(b):
             local = b[at + 9]
-            at = blocks(at + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
+            at, inside = at + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0), 1
         else:
-            return None
+            break
+    for p in path:
+        dead[p] = 1
     return None
 
 
@@ -195,17 +201,20 @@ def _pdf(b: Blob, i: int) -> tuple[str, int] | None:
     return ("application/pdf", ends[-1] + 5 - i) if ends and 0 <= at < ends[-1] else None
 
 
-def _ogg(b: bytes, i: int) -> tuple[str, int] | None:
-    """Ogg: consecutive pages; the stream ends with the page flagged so."""
-    at = i
-    while at + 27 <= len(b) and b[at : at + 4] == b"OggS" and b[at + 4] == 0:
+def _ogg(b: Blob, i: int) -> tuple[str, int] | None:
+    """Ogg: consecutive pages; the stream ends with the page flagged so.  A page that led nowhere is not walked from again."""
+    at, dead, path = i, b.refuted("ogg"), []
+    while at + 27 <= len(b) and not dead[2 * at] and b[at : at + 4] == b"OggS" and b[at + 4] == 0:
+        path.append(2 * at)
         n = b[at + 26]
         end = at + 27 + n + sum(b[at + 27 : at + 27 + n])
         if end > len(b):
-            return None
+            break
         if b[at + 5] & 4:
             return "audio/ogg", end - i
         at = end
+    for p in path:
+        dead[p] = 1
     return None
 
 

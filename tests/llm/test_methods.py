@@ -393,13 +393,15 @@ def test_layout(html, text):
 def test_pages_take_time_and_room_in_proportion():
     import time
 
-    for build in (lambda n: "<div>" * n + "x", lambda n: "<table>" + "<tr><td colspan=1000><td>x" * n, lambda n: "<table>" + "<tr><td rowspan=60000>x" * n, lambda n: "<table><tr><td>" * n + "x"):
+    shapes = (lambda n: "<ul><li>x" * n, lambda n: "<blockquote>x" * n, lambda n: "<table><tr><td>x" * n, lambda n: "<table><tr><td>x<td>" * n, lambda n: "<table>" + "<tr><td rowspan=0>a<td rowspan=2>b" * n)
+    for build in (*shapes, lambda n: "<div>" * n + "x", lambda n: "<table>" + "<tr><td colspan=1000><td>x" * n, lambda n: "<table>" + "<tr><td rowspan=60000>x" * n, lambda n: "<table><tr><td>" * n + "x"):
         times = []
         for n in (1500, 6000):
             start = time.process_time()
             text = html_text.render(build(n))
             times.append(time.process_time() - start)
-            assert len(text) <= 40 * len(build(n))
+            assert len(text) <= 40 * len(build(n)) and text.count("x") + text.count("a") >= 1
+            assert build not in shapes[:4] or text.count("x") == n
         assert times[1] <= 12 * times[0] + 0.2  # four times the page; a quadratic walk would take sixteen times as long
 
 
@@ -416,6 +418,22 @@ def test_blobs_take_time_in_proportion():
         assert times[1] <= 10 * times[0] + 0.2
 
 
+def test_unfinished_chains_are_walked_once():
+    import time
+
+    auto = media.automaton()
+    screen = b"GIF89a" + bytes(7)
+    for build in (lambda n: (screen + b"!\x01") * n, lambda n: screen + (b"GIF89a" + bytes(7) + b"!\x01\x01a") * n, lambda n: (b"OggS" + bytes(23)) * n):
+        times = []
+        for n in (2500, 10_000):
+            start = time.process_time()
+            assert media.sniff(build(n), auto) == []
+            times.append(time.process_time() - start)
+        assert times[1] <= 10 * times[0] + 0.2
+    picture = screen + b"!\x01\x01a\0;"
+    assert [(s.mime, s.start, s.length) for s in media.sniff(b"GIF89a" + bytes(9) + picture, auto)] == [("image/gif", 15, len(picture))]
+
+
 @needs_tables
 def test_media_query_equals_recomputation(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
