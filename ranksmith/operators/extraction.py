@@ -16,16 +16,33 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.explode(section_lines(F.col(text))).alias("_l")).select(key, "_l.*")
 
 
+#: An address that reading by machine ran together with a link.
+GLUED = r"(?i)^(.+@.+\.[a-z]{2,}?)(?:www|https?|linkedin|github)(?:\..*)?$"
+#: Signs of a number: after a label, with a country's code, and plain in the first lines.
+LABELLED = r"(?i)\b(?:phone|mobile|tel|cell|contact)\s*[:–—-]?\s*(\+?[0-9 ().-]{8,20}[0-9])"
+WITH_CODE = r"(\+[0-9]{1,3}[ .-]?\(?[0-9]{1,5}\)?[ .-]?[0-9]{3,5}[ .-]?[0-9]{3,5})\b"
+PLAIN = r"\b([6-9][0-9]{4}[ .-]?[0-9]{5})\b"
+HEADER_LINES = 12
+
+
 def email(c: Column) -> Column:
-    return F.lower(F.nullif(F.regexp_extract(c, X.EMAIL, 0), F.lit("")))
+    return F.nullif(F.lower(F.regexp_replace(F.regexp_extract(c, X.EMAIL, 0), GLUED, "$1")), F.lit(""))
 
 
 def phone(c: Column) -> Column:
-    """First run of 10 to 13 digits in phone form with over two different digits."""
-    raw = F.regexp_extract(c, X.PHONE, 0)
-    digits = F.regexp_replace(raw, "[^0-9]", "")
-    plausible = (F.length(digits).between(10, 13)) & (F.size(F.array_distinct(F.split(digits, ""))) > 2)
-    return F.when(plausible, F.concat(F.when(raw.startswith("+"), "+").otherwise(""), digits))
+    """Digits, after the plus sign that stands there, of the first number that is plausible: labelled, with a country's code, or plain in the header.
+
+    A number has 10 to 15 digits, over two different ones, and does not count up.
+    """
+    header = F.array_join(F.slice(F.split(c, "\n"), 1, HEADER_LINES), "\n")
+
+    def plausible(raw: Column) -> Column:
+        digits = F.regexp_replace(raw, "[^0-9]", "")
+        fits = F.length(digits).between(10, 15) & (F.size(F.array_distinct(F.split(digits, ""))) > 2) & (digits != "1234567890")
+        return F.when(fits, F.concat(F.when(F.startswith(raw, F.lit("+")), "+").otherwise(""), digits))
+
+    found = [F.regexp_extract(c, LABELLED, 1), F.regexp_extract(c, WITH_CODE, 1), F.regexp_extract(header, PLAIN, 1)]
+    return F.coalesce(*[plausible(x) for x in found])
 
 
 def links(c: Column) -> Column:

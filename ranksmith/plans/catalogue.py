@@ -21,5 +21,5 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-for _part in ("ranking_plans", "analytics_plans", "join_plans", "text_plans", "section_plans", "matching_plans", "insight_plans", "requirement_plans", "component_plans", "verdict_plans", "document_plans", "record_plans", "dictionary_plans", "store_plans", "streaming_plans"):
+for _part in ("ranking_plans", "analytics_plans", "join_plans", "text_plans", "section_plans", "matching_plans", "insight_plans", "requirement_plans", "component_plans", "verdict_plans", "document_plans", "record_plans", "vendor_plans", "dictionary_plans", "store_plans", "streaming_plans"):
     importlib.import_module(f"ranksmith.plans.{_part}")

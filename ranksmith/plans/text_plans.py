@@ -33,15 +33,28 @@ def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalise_lines(dirty), 256).alias("digest"))
 
 
+def _phone_sql(raw: str) -> str:
+    d = f"regexp_replace({raw}, '[^0-9]', '', 'g')"
+    return f"CASE WHEN length({d}) BETWEEN 10 AND 15 AND len(list_distinct(regexp_extract_all({d}, '.'))) > 2 AND {d} <> '1234567890' THEN (CASE WHEN {raw} LIKE '+%' THEN '+' ELSE '' END) || {d} END"
+
+
 @query(
-    r"""WITH e AS (SELECT doc_id, nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}', 0), '') AS m, regexp_extract(text, '\+?[0-9][0-9() -]{8,}[0-9]', 0) AS p FROM documents),
-x AS (SELECT *, regexp_replace(p, '[^0-9]', '', 'g') AS d FROM e)
-SELECT doc_id, coalesce(lower(m), '-') AS email, coalesce(regexp_replace(lower(m), '^(.).*(@.*)$', '\1***\2'), '-') AS masked,
-CASE WHEN length(d) BETWEEN 10 AND 13 AND len(list_distinct(regexp_extract_all(d, '.'))) > 2 THEN (CASE WHEN p LIKE '+%' THEN '+' ELSE '' END) || d ELSE '-' END AS phone FROM x"""
+    rf"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Mobile: 98' || (10000000 + doc_id) || chr(10) || text WHEN 1 THEN 'a' || doc_id || '@Mail.comwww.site.com' || chr(10) || text WHEN 2 THEN 'call 98765-' || (43210 + doc_id % 1000) || chr(10) || text WHEN 3 THEN 'Phone 1234567890' || chr(10) || text ELSE text END AS text FROM documents),
+e AS (SELECT doc_id, nullif(regexp_replace(lower(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}', 0)), '{E.GLUED}', '\1'), '') AS m,
+regexp_extract(text, '{E.LABELLED}', 1) AS a, regexp_extract(text, '{E.WITH_CODE}', 1) AS b, regexp_extract(array_to_string(string_split(text, chr(10))[:{E.HEADER_LINES}], chr(10)), '{E.PLAIN}', 1) AS c FROM t)
+SELECT doc_id, coalesce(m, '-') AS email, coalesce(regexp_replace(m, '^(.).*(@.*)$', '\1***\2'), '-') AS masked, coalesce({_phone_sql('a')}, {_phone_sql('b')}, {_phone_sql('c')}, '-') AS phone FROM e"""
 )
 def contact_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, key = F.col("doc_id") % 5, F.col("doc_id")
+    line = (
+        F.when(k == 0, F.concat(F.lit("Mobile: 98"), (10000000 + key).cast("string")))
+        .when(k == 1, F.concat(F.lit("a"), key.cast("string"), F.lit("@Mail.comwww.site.com")))
+        .when(k == 2, F.concat(F.lit("call 98765-"), (43210 + key % 1000).cast("string")))
+        .when(k == 3, F.lit("Phone 1234567890"))
+    )
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.concat_ws("\n", line, "text"))
     mail = E.email(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(mail, F.lit("-")).alias("email"), F.coalesce(X.mask_email(mail), F.lit("-")).alias("masked"), F.coalesce(E.phone(F.col("text")), F.lit("-")).alias("phone"))
+    return docs.select("doc_id", F.coalesce(mail, F.lit("-")).alias("email"), F.coalesce(X.mask_email(mail), F.lit("-")).alias("masked"), F.coalesce(E.phone(F.col("text")), F.lit("-")).alias("phone"))
 
 
 @query(

@@ -112,3 +112,29 @@ def test_time_is_in_proportion_to_lines(make, run):
             best = min(best, time.perf_counter() - start)
         took.append(best)
     assert took[1] < 24 * took[0] + 0.05
+
+
+def test_contacts(spark):
+    from ranksmith.operators import extraction as E
+
+    texts = ["Phone: +91 93440 81155\n+1 555 123 4567", "Mobile 1234567890\n+1 (555) 123-4567", "\n" * 13 + "9876501234", "call 98765-01234", "xx 9999999999", "Ann@Mail.comhttps://x.y", "none", None]
+    got = [(r.p, r.e) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(E.phone(F.col("t")).alias("p"), E.email(F.col("t")).alias("e")).collect()]
+    assert got == [("+919344081155", None), ("+15551234567", None), (None, None), ("9876501234", None), (None, None), (None, "ann@mail.com"), (None, None), (None, None)]
+
+
+def test_skill_lines_are_joined_and_mined(spark):
+    from ranksmith.operators import jobs as J
+
+    text = "- Strong knowledge of Python, Go,\n  Rust and\n  SQL\n- Build services using FastAPI, Docker and Kubernetes.\n- Experience with data\nstores is a plus\n- Shop - developed pages with React\n- Write well with others"
+    got = spark.createDataFrame([(text,)], "t string").select(J.skill_terms(F.col("t")).alias("s")).first().s
+    assert got.skills == ["Python", "Go", "Rust and SQL", "FastAPI", "Docker", "Kubernetes", "data stores", "React"]
+    assert got.duties == ["Build services using FastAPI, Docker and Kubernetes.", "Shop - developed pages with React", "Write well with others"]
+
+
+def test_vendor_gaps(spark):
+    from ranksmith.operators import vendor as V
+
+    rows = spark.createDataFrame([(1, None), (2, "no json"), (3, '{"candidateName": {"raw": "Ann Bee"}, "workExperience": [{}, {"workExperienceJobTitle": "Intern"}], "phoneNumber": [{"rawText": "12"}], "email": []}')], "id int, payload string")
+    local = spark.createDataFrame([(1, "Loc", ["a"]), (3, "Loc", [])], "id int, name string, skills array<string>")
+    got = {r.id: (r.name, r.phone, r.skills, [(j.title, j.employment_type) for j in r.experience], r.filled_fields) for r in V.filled(V.map_resume(rows), local, "id").collect()}
+    assert got == {1: ("Loc", None, ["a"], [], ["name", "skills"]), 2: (None, None, [], [], []), 3: ("Ann Bee", "12", [], [("Intern", "Internship")], [])}
