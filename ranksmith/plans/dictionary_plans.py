@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ranksmith.functions import arrays as A
+from ranksmith.functions import dates as D
 from ranksmith.functions import dictionary as W
 from ranksmith.functions import scoring as S
+from ranksmith.functions import text as X
 from ranksmith.operators import audit as U
 from ranksmith.operators import normalise as N
 from ranksmith.session import table
@@ -121,3 +124,17 @@ def normalisation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_AUDIT}, f AS (SELECT k, field, round(avg(confidence), 2) AS c FROM r GROUP BY 1, 2) SELECT field, count(*) AS n, round(avg(c), 4)::DOUBLE AS mean_confidence FROM f GROUP BY 1")
 def audit_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.field_confidence(audited(spark, sf_dir))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE p_name END AS title, 'type=' || p_type AS kept,
+CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE epoch(TIMESTAMP '2020-01-01 00:00:00')::BIGINT + p_size * 3600 - CASE WHEN p_partkey % 3 = 1 THEN 0 ELSE 7200 END END AS seconds FROM (SELECT p_partkey, p_name, p_type, p_size % 24 AS p_size FROM part)"""
+)
+def value_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles in capitals, ISO times with Z or an offset, and maps without some keys."""
+    k, hour = F.col("p_partkey"), F.lpad((F.col("p_size") % 24).cast("string"), 2, "0")
+    name = F.when(k % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    time = F.when(k % 3 == 0, F.lit("yesterday")).when(k % 3 == 1, F.concat(F.lit("2020-01-01T"), hour, F.lit(":00:00Z"))).otherwise(F.concat(F.lit(" 2020-01-01T"), hour, F.lit(":00:00+02:00")))
+    left = A.without_keys(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type")), "brand", "none")
+    kept = F.array_join(F.transform(F.map_entries(left), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return table(spark, sf_dir, "part").select("p_partkey", X.title_if_upper(name).alias("title"), kept.alias("kept"), F.coalesce(F.unix_timestamp(D.parse_timestamp(time)), F.lit(-1)).cast("long").alias("seconds"))

@@ -143,12 +143,12 @@ def profile_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT p_partkey, p_partkey % 2 = 0 AS is_or, list_slice(string_split(lower(p_name), ' '), 1, 2) AS parts FROM part), s AS (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS skill FROM part)
+    """WITH r AS (SELECT p_partkey, p_partkey % 2 = 0 AS is_or, string_split(lower(p_name), ' ') AS parts FROM part), s AS (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS skill FROM part)
 SELECT p_partkey AS document_id, is_or, CASE WHEN is_or THEN len(list_filter(parts, lambda x: x = skill)) > 0 ELSE len(list_filter(list_distinct(parts), lambda x: x <> skill)) = 0 END AS satisfied FROM r JOIN s USING (p_partkey)"""
 )
 def skill_group_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    words = F.slice(F.split("p_name", " "), 1, 2)
+    words = F.split("p_name", " ")
     text = F.when(F.col("p_partkey") % 2 == 0, F.array_join(words, " or ")).otherwise(F.array_join(words, " and "))
     req = part.select(F.col("p_partkey").alias("document_id"), F.lit("r").alias("requirement_id"), text.alias("text"))
     have = part.select(F.col("p_partkey").alias("document_id"), F.split("p_name", " ")[0].alias("skill"))
