@@ -44,7 +44,8 @@ def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     projects = F.when(key % 3 == 0, F.concat(F.lit("Project: "), home, F.lit(" Store\n- Built it for all.\nProject: Second Shop\n- Wrote more."))).when(key % 3 == 1, F.concat(home, F.lit(" Store | Go, Rust • Built it for all. Second Shop | SQL • Wrote more."))).otherwise(F.concat(home, F.lit(" Store 2021 Built it for all. Second Shop 2022 Wrote more.")))
     certificates = F.concat(F.lit("AWS Cloud-\nFoundations "), mark, F.lit("\n12 badges\nScrum Master("), home, F.lit(")"))
     text = F.concat_ws("\n", F.lit("Ann Example"), F.lit("Work Experiance:"), jobs, F.lit("EDUCATION"), degrees, F.lit("Projects"), projects, F.lit("Certificates"), certificates)
-    return rows.select(key.alias("doc_id"), text.alias("text"))
+    # little data, much reading: the rows are dealt to all cores before the texts are read
+    return rows.select(key.alias("doc_id"), text.alias("text")).repartition(spark.sparkContext.defaultParallelism)
 
 
 @query(
