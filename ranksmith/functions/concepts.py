@@ -96,13 +96,19 @@ def concept_match(concept: Column, pool: Column, known: Dictionaries) -> Column:
     return F.exists(F.array(F.lower(F.trim(concept)), F.lower(X.strip_filler(concept))), test)
 
 
-def group_match(item: Column, pool: Column, known: Dictionaries) -> Column:
-    """'A and B' needs every part; 'A or B', 'A / B' and 'X such as A, B' need any part, or the whole."""
+def group_parts(item: Column) -> tuple[Column, Column, Column]:
+    """(every, parts, options) of a requirement: whether all parts are needed, the parts of 'A and B', and the options of 'A or B', 'A / B'
+    and 'X such as A, B', the whole last."""
     either = F.regexp_like(item, F.lit(r"(?i)\bor\b|/|\||\bsuch as\b|\blike\b|\be\.g\."))
     parts = _pieces(item, r"(?i)\s*,\s*and\s+|\s+(?:and|&)\s+")
     tail = F.regexp_extract(item, r"(?i)\b(?:such\s+as|like|e\.g\.?|including)\s+(.+)$", 1)
     options = F.concat(_pieces(item, r"(?i)\s*[/|]\s*|\s*,\s*or\s+|\s+or\s+"), _pieces(tail, r"(?i)[,;/]|\s+or\s+"), F.array(item))
-    every = ~either & (F.size(parts) >= 2)
+    return ~either & (F.size(parts) >= 2), parts, options
+
+
+def group_match(item: Column, pool: Column, known: Dictionaries) -> Column:
+    """'A and B' needs every part; 'A or B', 'A / B' and 'X such as A, B' need any part, or the whole."""
+    every, parts, options = group_parts(item)
     shown = F.transform(F.when(every, parts).otherwise(options), lambda x: concept_match(x, pool, known))
     return F.when(every, F.forall(shown, lambda x: x)).otherwise(F.exists(shown, lambda x: x))
 

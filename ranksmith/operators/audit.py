@@ -11,7 +11,9 @@ from ranksmith.functions import arrays as A
 from ranksmith.functions import dates as D
 from ranksmith.functions import text as X
 
+from . import jobs as J
 from . import normalise as N
+from . import requirements as Q
 
 #: Canonical titles, languages and certificates by their other spellings.
 TITLES = {
@@ -31,6 +33,9 @@ CERTIFICATES = {
 #: Fields whose unknown values are no matter for a warning, and rules that count as an alias resolved.
 QUIET = ("companies", "phone", "certifications", "locations", "email", "skills", "job_titles", "keywords")
 RESOLVING = ("exact_canonical", "email_lowercase", "e164_format", "company_legal_suffix", "date_format")
+#: Fixed value: the rule of what is read as numbers, which is told even where the text stays; and the warning where nothing was read.
+PARSED = "experience_parse"
+NO_EXPERIENCE = "No experience requirements found in extracted data."
 
 
 def record(field: str, source: Column, canonical: Column, rule: Column, confidence: Column) -> Column:
@@ -77,7 +82,7 @@ def normalised(rows: DataFrame, fields: dict[str, Column], out: str = "audit") -
     made = rows.withColumns({names[k]: v for k, v in fields.items()})
     values = {k: A.ordered_distinct(F.filter(F.transform(n, lambda r: r["canonical"]), lambda x: x.isNotNull())) for k, n in names.items()}
     every = F.concat(*names.values())
-    changes = F.filter(every, lambda r: ~r["source"].eqNullSafe(r["canonical"]))
+    changes = F.filter(every, lambda r: ~r["source"].eqNullSafe(r["canonical"]) | F.startswith(r["rule"], F.lit(PARSED)))
     warned = F.filter(every, lambda r: (r["rule"] == "preserved_unknown") & ~r["field"].isin(*QUIET))
     warnings = A.ordered_distinct(F.transform(warned, lambda r: F.concat(F.lit("No canonical alias for "), r["field"], F.lit(": "), r["source"])))
     mean = lambda n: F.round(F.aggregate(n, F.lit(0.0), lambda s, r: s + r["confidence"]) / F.size(n), 2)
@@ -104,6 +109,47 @@ def resume_fields(skills: dict[str, str] = N.SKILLS) -> dict[str, Column]:
     }
 
 
+def _items(c: Column) -> Column:
+    """Values that are neither null nor empty, with single blanks."""
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), X.clean_spaces), X.present)
+
+
+def coded_skills(items: Column, dictionary: dict[str, str]) -> Column:
+    """array<record> of the valid skills of a list, cleaned and by dictionary; groups stay whole."""
+    valid = F.filter(_items(items), Q.valid_skill)
+    return F.transform(valid, lambda x: N.once(J.canonical_skill(x, dictionary), lambda name: record("skills", x, name, F.when(name == x, "exact_canonical").otherwise("skill_canonical_map"), F.lit(1.0))))
+
+
+def coded_degrees(items: Column) -> Column:
+    """array<record> of the degrees that a list names, those between 'or', slashes and bars apart; what is only related to one is none."""
+    parts = F.flatten(F.transform(_items(items), lambda x: F.split(x, r"(?i)\s+or\s+|\s+[/|]\s+")))
+    named = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: (x != "") & ~F.regexp_like(x, F.lit(rf"(?i)^(?:an?\s+)?(?:similar|{X.one_of(N.DEGREE_TAIL)})\b")))
+    found = F.transform(named, lambda x: F.struct(x.alias("source"), N.degree(x).alias("canonical")))
+    rule = lambda x: F.when(x["source"] == x["canonical"], "degree_map:passthrough").otherwise(F.concat(F.lit("degree_map:"), F.get(F.split(x["canonical"], " in ", 2), F.lit(0))))
+    return F.transform(F.filter(found, lambda x: F.length(x["canonical"]) > 2), lambda x: record("education", x["source"], x["canonical"], rule(x), F.lit(1.0)))
+
+
+def coded_experience(items: Column) -> Column:
+    """array<record> of phrases about years; the rule tells the least and greatest months, '-' for none."""
+    months = lambda v: F.coalesce(v.cast("string"), F.lit("-"))
+    rule = lambda v: F.concat(F.lit(f"{PARSED}:months(min="), months(v["minimum_months"]), F.lit(",max="), months(v["maximum_months"]), F.lit(")"))
+    return F.transform(_items(items), lambda x: record("experience", x, x, rule(D.experience_phrase(x)), F.lit(1.0)))
+
+
+def normalised_jobs(rows: DataFrame, skills: dict[str, str] = N.SKILLS, out: str = "audit") -> DataFrame:
+    """Extracted jobs (title, skills, education, experience, certifications, keywords) in canonical form, with ``out`` as ``normalised`` gives it.
+
+    Titles in capitals become title case.  Of degrees only the most specific stay, in order of the alphabet; jobs without any phrase about
+    years get a warning.  Null lists are empty.
+    """
+    c = F.col
+    plain = lambda field: F.transform(_items(c(field)), lambda x: record(field, x, x, F.lit("preserved_unknown"), F.lit(1.0)))
+    fields = {"skills": coded_skills(c("skills"), skills), "education": coded_degrees(c("education")), "experience": coded_experience(c("experience")), "certifications": coded(c("certifications"), CERTIFICATES, "certifications"), "keywords": plain("keywords")}
+    done = normalised(rows, fields, out)
+    warned = F.when(F.size("experience") == 0, F.array_append(F.col(f"{out}.warnings"), F.lit(NO_EXPERIENCE))).otherwise(F.col(f"{out}.warnings"))
+    return done.withColumns({"title": X.title_if_upper(F.trim("title")), "education": F.sort_array(A.drop_subsumed(c("education"))), out: c(out).withField("warnings", warned)})
+
+
 def audit_rows(audited: DataFrame, keys: Iterable[str], column: str = "audit") -> DataFrame:
     """The audit table: one row for each change."""
     return audited.select(*keys, F.inline(f"{column}.changes"))

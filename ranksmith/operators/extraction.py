@@ -55,12 +55,40 @@ def name_line(c: Column) -> Column:
     return A.first_where(lines, lambda x: F.regexp_like(x, F.lit(r"^[A-Z][a-z'.-]+( [A-Z][a-z'.-]+){1,3}$")))
 
 
+#: How well a skill is known, and headings that are no skills of their own.
+LEVELS = "proficient intermediate beginner expert basic basics advanced familiar hands-on"
+HEADINGS = (
+    "skill", "skills", "technologies", "tool", "tools", "language", "languages", "programming language", "programming languages", "framework", "frameworks", "libraries", "core",
+    "database", "databases", "query language", "query languages", "platform", "platforms", "cloud", "methodologies", "web technologies", "other",
+)
+SKILL_WORDS, SKILL_LENGTH = 7, 60
+
+
+def skill_items(block: Column) -> Column:
+    """Skills of a section: items of its lines after a label of up to 35 signs, between commas, semicolons, bars, bullets, tabs, wide gaps and
+    slashes with blanks.  Levels in parentheses go, as do headings, items of over seven words or 60 signs, and sentences."""
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[•●○▪*–—-]+|[0-9]+[.)])\s*", ""))), lambda x: x != "")
+    label = r"^[A-Za-z0-9\s/&+-]{1,35}?\s*[:：]\s*"
+    listed = lambda x: F.regexp_like(x, F.lit(label)) | F.regexp_like(x, F.lit(r"[,;|•\t]| - "))
+    n_words = lambda x: F.size(F.split(x, r"\s+"))
+    told = F.filter(lines, lambda x: listed(x) | (n_words(x) <= 6) | ((n_words(x) <= 20) & ~F.regexp_like(x, F.lit(r"[.!?]$"))))
+    items = F.flatten(F.transform(told, lambda x: F.split(F.regexp_replace(x, label, ""), r"[,;|•●○▪*\t]|\s{2,}|\s+/\s+")))
+    clean = F.transform(items, lambda x: F.trim(F.regexp_replace(F.regexp_replace(X.clean_unicode(x), r"^[\s•●○▪*–—.),:;|/-]+|[\s,:;|/-]+$", ""), rf"(?i)\s*\({X.one_of(LEVELS)}\)$", "")))
+    kept = F.filter(clean, lambda x: (x != "") & (n_words(x) <= SKILL_WORDS) & (F.length(x) <= SKILL_LENGTH) & ~F.regexp_replace(F.lower(x), r"^technical\s+", "").isin(*HEADINGS))
+    return A.ordered_distinct(kept)
+
+
 def skills(c: Column, vocabulary: list[str]) -> Column:
     """Items of 'Skills:' lines, then vocabulary terms of the whole text, each once."""
     listed = F.split(F.regexp_extract(c, r"(?im)^\s*(?:technical )?skills\s*:\s*(.+)$", 1), r"\s*[,;|]\s*")
     return A.ordered_distinct(F.concat(F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != ""), X.match_terms(c, vocabulary)))
 
 
+def section_skills(block: Column, text: Column, vocabulary: list[str]) -> Column:
+    """Items of the skills section, then vocabulary terms of the whole text, each once."""
+    return A.ordered_distinct(F.concat(F.coalesce(skill_items(block), F.array().cast("array<string>")), X.match_terms(text, vocabulary)))
+
+
 def education_lines(c: Column) -> Column:
     return F.filter(X.content_lines(c), lambda x: F.regexp_like(F.lower(x), F.lit(r"(^|[^a-z])(bachelors?|masters?|ph\.?d|mba|b\.?tech|m\.?tech|diploma)([^a-z]|$)")))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ranksmith.functions import arrays as A
 from ranksmith.functions import concepts as C
 from ranksmith.functions import text as X
 
+from . import normalise as N
 from . import requirements as Q
 from .ranking import diversify
 
@@ -160,6 +162,45 @@ def skill_match(term: Column, skills: Column, evidence: Column, known: C.Diction
     )
 
 
+#: Parts of 'A and B' that say nothing of their own, and so need not be shown beside others.
+GENERIC_PARTS = (
+    "database concepts", "database", "debugging", "concepts", "fundamentals", "basics", "principles", "json", "problem-solving ability", "teamwork", "soft skills",
+    "other columnar data formats", "other data formats", "columnar data formats", "columnar formats", "other tools", "other frameworks", "other technologies",
+    "other databases", "similar tools", "similar technologies", "other related technologies",
+)
+#: Texts that a verdict on a group cites, at most.
+CITED = 2
+
+
+def group_verdict(requirement: Column, skills: Column, evidence: Column, known: C.Dictionaries) -> Column:
+    """struct<status, method, skills, evidence_ids> of a skill requirement, which may be a group.
+
+    A text is tried with and without the phrase that asks.  Shown as a whole, a requirement is MATCHED by that way.  Else 'A and B' needs its
+    first part and each further one that is not generic (EXACT, at most two texts cited), and any other form needs one of its options.  All else, null
+    included, is NO_MATCH.  ``skills`` and ``evidence`` are those of ``skill_match``.
+    """
+    every, parts, options = C.group_parts(X.strip_filler(requirement))
+    forms = F.concat(F.array(requirement), F.when(every, parts).otherwise(options))
+    variants = F.transform(forms, lambda x: F.array(x, X.strip_filler(x)))
+    hit = lambda v: A.first_where(F.transform(v, lambda x: skill_match(x, skills, evidence, known)), lambda h: h.isNotNull())
+    tried = F.transform(variants, lambda v: F.struct(hit(v).alias("hit"), F.exists(v, lambda x: F.lower(x).isin(*GENERIC_PARTS)).alias("generic")))
+    none = F.array().cast("array<string>")
+
+    def judged(t: Column) -> Column:
+        hits = lambda a: F.filter(F.transform(a, lambda x: x["hit"]), lambda h: h.isNotNull())
+        rest = F.slice(t["tried"], 2, F.greatest(F.size(t["tried"]) - 1, F.lit(0)))
+        complete = F.get(rest, F.lit(0))["hit"].isNotNull() & F.forall(rest, lambda x: x["hit"].isNotNull() | x["generic"])
+        whole, others = hits(F.slice(t["tried"], 1, 1)), F.when(t["every"], F.when(complete, hits(rest))).otherwise(F.slice(hits(rest), 1, 1))
+        found = F.coalesce(F.when(F.size(whole) > 0, whole), others, whole)
+        method = F.when((F.size(whole) == 0) & t["every"], "EXACT").otherwise(F.get(found, F.lit(0))["method"])
+        ids = F.array_distinct(F.filter(F.transform(found, lambda h: h["evidence_id"]), lambda i: i.isNotNull()))
+        return F.struct(F.when(F.size(found) > 0, "MATCHED").otherwise("NO_MATCH").alias("status"), F.when(F.size(found) > 0, method).alias("method"), F.transform(found, lambda h: h["skill"]).alias("skills"), F.slice(ids, 1, CITED).alias("evidence_ids"))
+
+    # the forms are tried once, however much is told from them
+    told = N.once(F.struct(every.alias("every"), tried.alias("tried")), judged)
+    return F.when(requirement.isNull(), F.struct(F.lit("NO_MATCH").alias("status"), F.lit(None).cast("string").alias("method"), none.alias("skills"), none.alias("evidence_ids"))).otherwise(told)
+
+
 def project_relevance(requirement: Column, projects: Column) -> Column:
     """MATCHED if a project's name and description hold the requirement, word for word or as words near each other; else UNRESOLVED.
 
@@ -211,3 +252,39 @@ def route(verdicts: DataFrame, selected: DataFrame, on: list[str]) -> DataFrame:
     done = F.col("status") == "MATCHED"
     status = F.when(~done & (F.col("n_evidence") == 0), "NO_MATCH").otherwise(F.col("status"))
     return joined.select(*on, status.alias("status"), (~done & (F.col("n_evidence") > 0)).alias("submit"), F.when(done, 0).otherwise(F.col("n_evidence")).alias("n_evidence"))
+
+
+#: Kinds of requirement whose verdict falls with its evidence.
+NEEDS_PROOF = ("degree", "experience", "contextual_experience", "certification", "language")
+
+
+def revalidate(verdicts: DataFrame, requirements: DataFrame, evidence: DataFrame, on: list[str], req_id: str = "requirement_id") -> DataFrame:
+    """Fused verdicts (on, req_id, status, evidence_ids) with text and kind of their requirement and the cited ids that hold.
+
+    requirements: on, req_id, kind, text (one row each); evidence: on, evidence_id, kind.  An id holds if it is there with a kind that may
+    answer the requirement's.  A match of a kind in ``NEEDS_PROOF`` without such an id is UNRESOLVED.  Verdicts on no known requirement stay as
+    they are, with null text and kind; null lists of ids are empty.
+    """
+    asked = requirements.select(*on, req_id, F.col("kind").alias("_kind"), F.col("text").alias("_text"))
+    held = evidence.groupBy(*on).agg(F.collect_set(F.struct(F.col("evidence_id").alias("id"), F.col("kind").alias("kind"))).alias("_held"))
+    joined = verdicts.join(asked, [*on, req_id], "left").join(held, on, "left")
+    cited = F.coalesce("evidence_ids", F.array().cast("array<string>"))
+    holds = lambda i: F.coalesce(F.exists("_held", lambda h: (h["id"] == i) & F.array_contains(allowed_kinds(F.col("_kind")), h["kind"])), F.lit(False))
+    joined = joined.withColumn("evidence_ids", F.when(F.col("_kind").isNull(), cited).otherwise(F.filter(cited, holds)))
+    fallen = F.col("status").isin("MATCHED", "PARTIALLY_MATCHED") & (F.size("evidence_ids") == 0) & F.col("_kind").isin(*NEEDS_PROOF)
+    return joined.withColumn("status", F.when(fallen, "UNRESOLVED").otherwise(F.col("status"))).withColumnsRenamed({"_kind": "kind", "_text": "text"}).drop("_held")
+
+
+def proven_technologies(projects: DataFrame, verdicts: DataFrame, on: list[str], req_id: str = "requirement_id") -> DataFrame:
+    """``projects`` (on, evidence_id, technologies) with the texts of the project requirements that they prove.
+
+    verdicts as ``revalidate`` returns them.  A matched requirement of kind project_relevance adds its text to each project that it cites,
+    unless one of its technologies has that name, case and blanks aside; texts come in order of req_id.  Null lists are empty.
+    """
+    matched = verdicts.where((F.col("status") == "MATCHED") & (F.col("kind") == "project_relevance") & X.present(F.col("text")))
+    cited = matched.select(*on, req_id, "text", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id")).where(F.startswith("evidence_id", F.lit("project:")))
+    proven = cited.groupBy(*on, "evidence_id").agg(F.array_sort(F.collect_set(F.struct(req_id, "text"))).alias("_proven"))
+    none = F.array().cast("array<string>")
+    joined = projects.join(proven, [*on, "evidence_id"], "left").withColumn("technologies", F.coalesce("technologies", none))
+    fresh = F.filter(F.transform(F.coalesce("_proven", F.array().cast(proven.schema["_proven"].dataType)), lambda p: p["text"]), lambda t: ~F.exists("technologies", lambda x: X.comparison_key(x) == X.comparison_key(t)))
+    return joined.withColumn("technologies", F.concat("technologies", A.ordered_distinct(fresh))).drop("_proven")

@@ -138,3 +138,28 @@ def value_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = A.without_keys(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type")), "brand", "none")
     kept = F.array_join(F.transform(F.map_entries(left), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return table(spark, sf_dir, "part").select("p_partkey", X.title_if_upper(name).alias("title"), kept.alias("kept"), F.coalesce(F.unix_timestamp(D.parse_timestamp(time)), F.lit(-1)).cast("long").alias("seconds"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS m, string_split(p_name, ' ') AS w, p_type, p_brand, p_size % 9 + 1 AS n FROM part)
+SELECT k, p_type[1] || lower(p_type[2:]) AS title, CASE WHEN w[1] = 'red' THEN 'Crimson' WHEN w[1] = 'blue' THEN 'Azure' ELSE w[1] END || ',' || w[2] AS skills,
+CASE m WHEN 0 THEN 'Bachelor of Science in ' || w[2] || ',Master of Engineering' WHEN 1 THEN 'Bachelor of Commerce' ELSE 'Some ' || p_brand END AS education,
+CASE m WHEN 0 THEN 'experience_parse:months(min=' || n * 12 || ',max=' || (n + 2) * 12 || ')' WHEN 1 THEN 'experience_parse:months(min=' || n * 12 || ',max=-)' ELSE '' END AS bounds,
+CAST(CASE WHEN w[1] IN ('red', 'blue') THEN 1 ELSE 0 END + CASE m WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END + CASE WHEN m < 2 THEN 1 ELSE 0 END AS BIGINT) AS n_changes, m = 2 AS warned, w[2] || ',' || p_brand AS keywords FROM p"""
+)
+def job_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs in capitals, with degrees apart by 'or' and phrases about years, in two of three."""
+    m, w, n = F.col("p_partkey") % 3, F.split("p_name", " "), F.col("p_size") % 9 + 1
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("k"),
+        F.col("p_type").alias("title"),
+        F.array(w[0], w[1], F.upper(w[1]), F.lit(" ")).alias("skills"),
+        F.when(m == 0, F.array(F.concat(F.lit("B.Sc in "), w[1], F.lit(" or M.E. or related field")), F.lit("bachelor of science"))).when(m == 1, F.array(F.lit("a B.Com or equivalent"))).otherwise(F.array(F.concat(F.lit("Some "), "p_brand"))).alias("education"),
+        F.when(m == 0, F.array(F.concat(n.cast("string"), F.lit("-"), (n + 2).cast("string"), F.lit(" years")))).when(m == 1, F.array(F.concat(n.cast("string"), F.lit("+ years")))).alias("experience"),
+        F.array().cast("array<string>").alias("certifications"),
+        F.array(w[1], F.col("p_brand"), F.upper(w[1])).alias("keywords"),
+    )
+    out = U.normalised_jobs(rows, _RED)
+    bounds = F.filter("audit.changes", lambda c: c["field"] == "experience")
+    join = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("k", "title", join("skills"), join("education"), F.array_join(F.transform(bounds, lambda c: c["rule"]), ",").alias("bounds"), F.size("audit.changes").cast("long").alias("n_changes"), F.array_contains("audit.warnings", U.NO_EXPERIENCE).alias("warned"), join("keywords"))

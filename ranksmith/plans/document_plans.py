@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ranksmith.functions import arrays as A
 from ranksmith.functions import dates as D
 from ranksmith.functions import text as X
+from ranksmith.operators import extraction as E
 from ranksmith.operators import jobs as J
 from ranksmith.operators import mutations as U
 from ranksmith.operators import normalise as N
@@ -121,15 +122,42 @@ def experience_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT p_partkey, p_partkey % 6 AS k FROM part)
-SELECT p_partkey, CASE k WHEN 0 THEN 'docker' WHEN 1 THEN 'red / blue' WHEN 2 THEN 'C++' WHEN 3 THEN 'Go|Rust' WHEN 4 THEN 'SQL' ELSE '' END AS skills, k = 5 AS action FROM p"""
+    """WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_brand, p_type, string_split(p_name, ' ') AS w FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN w[1] WHEN 1 THEN w[1] || ' / ' || w[2] WHEN 2 THEN p_brand WHEN 3 THEN w[1] || '|' || w[2] || '|' || p_type WHEN 4 THEN p_type ELSE w[2] || '|' || w[1] END AS skills, k = 5 AS action FROM p"""
 )
 def skill_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = _pick(F.col("p_partkey") % 6, "Tools: experience with docker.", "red, blue or another colour", "hands-on experience with C++ is required", "Go; Rust", "Database: SQL or similar", "a, b c d e f g")
-    sentence = F.when(F.col("p_partkey") % 6 == 5, "Designing large stores").otherwise(text)
+    """Words of parts as skills: after a label and a phrase that asks, as alternatives, before closing words, as lists, and as clauses."""
+    k, w = F.col("p_partkey") % 6, F.split("p_name", " ")
+    text = (
+        F.when(k == 0, F.concat(F.lit("Tools: experience with "), w[0], F.lit(".")))
+        .when(k == 1, F.concat(w[0], F.lit(", "), w[1], F.lit(" or another colour")))
+        .when(k == 2, F.concat(F.lit("hands-on experience with "), "p_brand", F.lit(" is required")))
+        .when(k == 3, F.concat(w[0], F.lit("; "), w[1], F.lit(", "), "p_type"))
+        .when(k == 4, F.concat(F.lit("Database: "), "p_type", F.lit(" or similar")))
+        .otherwise(F.concat(w[1], F.lit(". Knowledge of "), w[0], F.lit(" and")))
+    )
+    sentence = F.when(k == 5, F.concat(F.lit("Designing "), "p_name", F.lit(" stores"))).otherwise(text)
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(J.split_skills(text), "|").alias("skills"), J.is_action(sentence).alias("action"))
 
 
+@query(
+    """WITH p AS (SELECT *, string_split(p_name, ' ') AS w FROM part)
+SELECT p_partkey, array_to_string([w[1], w[2]] || CASE WHEN list_contains(w, lower(p_type)) THEN [] ELSE [p_type] END || [p_brand] || CASE WHEN p_partkey % 2 = 0 THEN ['shade of ' || w[1], 'CI/' || w[2]] ELSE [] END, ',') AS skills FROM p"""
+)
+def skill_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skills section with labels, bullets, levels, headings and a sentence."""
+    w, even = F.split("p_name", " "), F.col("p_partkey") % 2 == 0
+    block = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Colours: "), w[0], F.lit(", "), w[1], F.lit("; "), F.upper(w[0])),
+        F.lit("Technical skills"),
+        F.concat(F.lit("• "), "p_type", F.lit(" (Advanced) | "), "p_brand", F.lit(", tools")),
+        F.concat(F.lit("Made many a "), "p_name", F.lit(" in a store that sells them.")),
+        F.when(even, F.concat(F.lit("2. shade of "), w[0], F.lit(" / CI/"), w[1])),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(E.skill_items(block), ",").alias("skills"))
+
+
 @query(
     """WITH p AS (SELECT *, string_split(p_name, ' ') AS w FROM part)
 SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Docker|' || p_brand || '|PostgreSQL' WHEN 1 THEN 'Rust|Python' ELSE 'React' END AS technologies FROM p"""

@@ -166,7 +166,17 @@ def match_method_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("source", method.alias("method")).groupBy("source").agg(*[F.count_if(F.col("method") == k).alias(k) for k in kinds], F.count("*").alias("total"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 0 END AS level FROM part")
+_DEGREES = ["PhD", "Doctorate", "Master", "MBA", "Bachelor", "Diploma", "Certificate", "Course"]
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, {_DEGREES} AS d, {[5, 5, 4, 4, 3, 2, 1, 0]} AS v, p_size % 8 + 1 AS i, (p_size // 8 + p_partkey) % 8 + 1 AS j, p_partkey % 3 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN greatest(v[i], v[j]) WHEN 1 THEN v[j] ELSE 0 END AS level FROM p"""
+)
 def degree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in ("PhD in Physics", "Master of Arts", "Bachelor of Commerce", "Bachelors, then a diploma", "High school")])
-    return table(spark, sf_dir, "part").select("p_partkey", S.degree_rank(F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int"))).alias("level"))
+    """Two degrees beside names of parts, of which the higher counts; words that only begin like a degree do not."""
+    names, k = F.array(*map(F.lit, _DEGREES)), F.col("p_partkey") % 3
+    name = lambda n: F.get(names, (n % 8).cast("int"))
+    tail = F.when(k == 0, "s of ").when(k == 1, "ful, ").otherwise("like and ")
+    text = F.concat(name(F.col("p_size")), tail, "p_name", F.lit("; "), name(F.floor(F.col("p_size") / 8) + F.col("p_partkey")), F.when(k == 2, "ly ").otherwise(" - "), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", S.degree_rank(text).alias("level"))

@@ -93,10 +93,12 @@ def recovery_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'red' ELSE '' END AS technologies, 2 AS n_distinct FROM part"""
+    """WITH l AS (SELECT l_orderkey, list([l_returnflag, l_linestatus, l_linenumber::VARCHAR]) AS t, count(DISTINCT (l_returnflag, l_linestatus)) AS n_distinct FROM lineitem GROUP BY 1)
+SELECT l_orderkey, array_to_string(list_sort(list_distinct(flatten(t))), ',') AS technologies, n_distinct FROM l"""
 )
 def nested_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = F.when(F.col("p_partkey") % 2 == 0, F.array(F.struct(F.array(F.lit("red")).alias("t")), F.struct(F.array(F.lit("red")).alias("t")))).otherwise(F.array().cast("array<struct<t:array<string>>>"))
-    flat = F.array_distinct(F.flatten(F.transform(rows, lambda x: x["t"])))
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 2), (1, 2), (1, 3))])
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(flat, ",").alias("technologies"), F.size(A.distinct_by(pairs, "a", "b")).alias("n_distinct"))
+    """Lines of an order: the distinct values of their lists, and the distinct pairs of two of their fields."""
+    row = F.struct(F.array("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("t"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(row).alias("rows"))
+    flat = A.sorted_unique(F.flatten(F.transform("rows", lambda x: x["t"])))
+    return rows.select("l_orderkey", F.array_join(flat, ",").alias("technologies"), F.size(A.distinct_by(F.col("rows"), "a", "b")).cast("long").alias("n_distinct"))

@@ -55,11 +55,98 @@ def fallback_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", Q.fallback_similarity(F.col("p_name"), text, PART_SYNONYMS).alias("similarity"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'experience:1' WHEN 1 THEN 'experience:2' WHEN 2 THEN 'experience:2' WHEN 4 THEN 'Project:1' WHEN 5 THEN 'skills:3' ELSE '-' END AS evidence_id FROM part")
+_KIND = "CASE l_returnflag WHEN 'N' THEN 'project' WHEN 'R' THEN 'experience' ELSE 'education' END"
+
+
+def line_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as evidence: o_orderkey, evidence_id, kind, n and, as they are, some columns of the line."""
+    kind = F.when(F.col("l_returnflag") == "N", "project").when(F.col("l_returnflag") == "R", "experience").otherwise("education")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), kind.alias("kind"), F.col("l_linenumber").cast("string").alias("n"), "l_linestatus", "l_quantity")
+    return lines.withColumn("evidence_id", F.concat_ws(":", "kind", "n"))
+
+
+@query(
+    f"""WITH l AS (SELECT l_orderkey, {_KIND} AS kind, l_linenumber AS n, CAST(l_quantity AS INTEGER) % 4 AS k FROM lineitem), h AS (SELECT l_orderkey, list(DISTINCT kind || ':' || n) AS ids FROM l GROUP BY 1)
+SELECT l_orderkey AS o_orderkey, kind, n, k, coalesce(CASE WHEN k < 2 THEN kind || ':' || n WHEN k = 2 AND len(list_filter(ids, lambda i: ends_with(i, ':' || n))) = 1 THEN kind || ':' || n
+  WHEN k = 3 AND list_contains(ids, kind || ':' || (n + 1)) THEN kind || ':' || (n + 1) END, '-') AS evidence_id FROM l JOIN h USING (l_orderkey)"""
+)
 def supplied_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array(*[F.lit(i) for i in ("experience:1", "experience:2", "Project:1", "skills:3")])
-    raw = _pick(F.col("p_partkey") % 7, "Experience #1", "experience_2", "2", "1", "PROJECT - 1", "3", "education:1")
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(Q.supplied_reference(raw, ids), F.lit("-")).alias("evidence_id"))
+    """Each line refers to itself in two spellings, by its number alone, or to the next line of its kind, among the ids of its order."""
+    lines = line_evidence(spark, sf_dir).withColumn("k", F.col("l_quantity").cast("int") % 4)
+    ids = lines.groupBy("o_orderkey").agg(F.collect_set("evidence_id").alias("ids"))
+    k, n = F.col("k"), F.col("n")
+    raw = F.when(k == 0, F.concat(F.initcap("kind"), F.lit(" #"), n)).when(k == 1, F.concat(F.upper("kind"), F.lit("_"), n)).when(k == 2, n).otherwise(F.concat_ws(" - ", "kind", (n.cast("int") + 1).cast("string")))
+    found = F.coalesce(Q.supplied_reference(raw, F.col("ids")), F.lit("-"))
+    # apart from the cast of n: inside lambdas a name of the same select would stand for it
+    told = lines.join(ids, "o_orderkey").withColumn("evidence_id", found)
+    return told.select("o_orderkey", "kind", n.cast("int").alias("n"), "k", "evidence_id")
+
+
+_NEXT = "SELECT p.*, string_split(p.p_name, ' ') AS w, string_split(o.p_name, ' ') AS ow, o.p_name AS o_name FROM part p LEFT JOIN part o ON o.p_partkey = p.p_partkey + 1"
+
+
+def with_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the name of the next one, null for the last."""
+    part = table(spark, sf_dir, "part")
+    return part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("o_name")), "p_partkey", "left")
+
+
+@query(
+    f"""WITH p AS ({_NEXT}), h AS (SELECT p_partkey, p_partkey % 6 AS k, w, ow, coalesce(w[1] IN (ow[1], ow[2]), false) AS a, coalesce(w[2] IN (ow[1], ow[2]), false) AS b FROM p),
+m AS (SELECT p_partkey, k, ow, CASE k WHEN 0 THEN CASE WHEN a AND b THEN [w[1], w[2]] END WHEN 1 THEN CASE WHEN a THEN [w[1]] END WHEN 2 THEN NULL WHEN 5 THEN CASE WHEN a THEN [w[1]] END ELSE CASE WHEN a THEN [w[1]] WHEN b THEN [w[2]] END END AS skills FROM h)
+SELECT p_partkey, CASE WHEN skills IS NULL THEN 'NO_MATCH' ELSE 'MATCHED' END AS status, CASE WHEN skills IS NULL THEN '-' ELSE 'EXACT' END AS method, coalesce(array_to_string(skills, ','), '') AS skills,
+CASE WHEN list_contains(skills, ow[1]) THEN 'experience:1' ELSE '' END AS evidence_ids FROM m"""
+)
+def group_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a part, asked for in six forms, against those of the next part; its job tells of the first of them only."""
+    k, w, o = F.col("p_partkey") % 6, F.split("p_name", " "), F.split("o_name", " ")
+    ask = (
+        F.when(k == 0, F.concat(w[0], F.lit(" and "), w[1]))
+        .when(k == 1, F.concat(w[0], F.lit(" and JSON")))
+        .when(k == 2, F.concat(F.lit("debugging & "), w[1]))
+        .when(k == 3, F.concat(w[0], F.lit(" or "), w[1]))
+        .when(k == 4, F.concat(F.lit("parts such as "), w[0], F.lit(", "), w[1]))
+        .otherwise(F.concat(F.lit("Strong knowledge of "), w[0]))
+    )
+    job = F.array(F.struct(F.lit("experience:1").alias("evidence_id"), F.lit("experience").alias("kind"), F.concat(F.lit("Made the "), o[0], F.lit(" line")).alias("text")))
+    v = M.group_verdict(ask, o, job, C.dictionaries())
+    told = with_next(spark, sf_dir).select("p_partkey", v.alias("v"))
+    return told.select("p_partkey", "v.status", F.coalesce("v.method", F.lit("-")).alias("method"), F.array_join("v.skills", ",").alias("skills"), F.array_join("v.evidence_ids", ",").alias("evidence_ids"))
+
+
+_FINAL = f"""l AS (SELECT l_orderkey AS k, {_KIND} AS kind, l_linenumber AS n, l_linestatus AS s FROM lineitem), e AS (SELECT DISTINCT k, kind || ':' || n AS id, kind FROM l),
+c AS (SELECT DISTINCT k, CASE WHEN s = 'O' THEN kind ELSE 'project' END || ':' || n AS id FROM l),
+r AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'degree' WHEN 'O' THEN 'project_relevance' ELSE 'skill' END AS ask, lower(o_orderpriority) AS text FROM orders),
+v AS (SELECT r.k, ask, text, list_sort(list(e.id) FILTER (e.id IS NOT NULL AND CASE ask WHEN 'degree' THEN e.kind = 'education' ELSE e.kind IN ('project', 'experience') END)) AS ids FROM r LEFT JOIN c USING (k) LEFT JOIN e ON e.k = c.k AND e.id = c.id GROUP BY 1, 2, 3)"""
+
+
+def final_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matched verdict for each order, which cites its lines, some by a wrong kind, as re-validation leaves it."""
+    evidence = line_evidence(spark, sf_dir)
+    cited = evidence.groupBy("o_orderkey").agg(F.sort_array(F.collect_set(F.when(F.col("l_linestatus") == "O", F.col("evidence_id")).otherwise(F.concat(F.lit("project:"), "n")))).alias("evidence_ids"))
+    orders = table(spark, sf_dir, "orders").withColumn("requirement_id", F.lit("r:1"))
+    kind = F.when(F.col("o_orderstatus") == "F", "degree").when(F.col("o_orderstatus") == "O", "project_relevance").otherwise("skill")
+    asked = orders.select("o_orderkey", "requirement_id", kind.alias("kind"), F.lower("o_orderpriority").alias("text"))
+    verdicts = orders.select("o_orderkey", "requirement_id", F.lit("MATCHED").alias("status")).join(cited, "o_orderkey", "left")
+    return M.revalidate(verdicts, asked, evidence, ["o_orderkey"])
+
+
+@query(f"WITH {_FINAL} SELECT k AS o_orderkey, ask AS kind, CASE WHEN ask = 'degree' AND coalesce(len(ids), 0) = 0 THEN 'UNRESOLVED' ELSE 'MATCHED' END AS status, coalesce(array_to_string(ids, ','), '') AS evidence_ids FROM v")
+def final_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return final_lines(spark, sf_dir).select("o_orderkey", "kind", "status", F.array_join(F.sort_array("evidence_ids"), ",").alias("evidence_ids"))
+
+
+@query(
+    f"""WITH {_FINAL}, p AS (SELECT DISTINCT k, id, CASE WHEN k % 2 = 0 THEN [o_orderpriority] ELSE ['line'] END AS had FROM e JOIN orders ON o_orderkey = k WHERE kind = 'project')
+SELECT p.k AS o_orderkey, p.id AS evidence_id, array_to_string(had || CASE WHEN p.k % 2 = 1 AND ask = 'project_relevance' AND list_contains(ids, p.id) THEN [text] ELSE [] END, ',') AS technologies FROM p JOIN v USING (k)"""
+)
+def proven_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project lines, which name the order's priority already where its key is even."""
+    lines = line_evidence(spark, sf_dir).where("kind = 'project'").select("o_orderkey", "evidence_id").distinct()
+    had = F.when(F.col("o_orderkey") % 2 == 0, F.array("o_orderpriority")).otherwise(F.array(F.lit("line")))
+    projects = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey").select("o_orderkey", "evidence_id", had.alias("technologies"))
+    out = M.proven_technologies(projects, final_lines(spark, sf_dir), ["o_orderkey"])
+    return out.select("o_orderkey", "evidence_id", F.array_join("technologies", ",").alias("technologies"))
 
 
 @query(
@@ -117,12 +204,17 @@ def soft_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", v["status"].alias("status"), v["confidence"].alias("confidence"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN 'NO_MATCH' ELSE 'MATCHED' END AS status, CASE p_partkey % 4 WHEN 0 THEN 'EXACT' WHEN 3 THEN '-' ELSE 'ALIAS' END AS method FROM part")
+@query(
+    f"""WITH p AS ({_NEXT}), m AS (SELECT p_partkey, p_partkey % 4 AS k, coalesce(p_name = o_name, false) AS same FROM p)
+SELECT p_partkey, CASE WHEN k < 3 OR same THEN 'MATCHED' ELSE 'NO_MATCH' END AS status, CASE WHEN k = 0 OR k = 3 AND same THEN 'EXACT' WHEN k < 3 THEN 'ALIAS' ELSE '-' END AS method FROM m"""
+)
 def certificate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = F.create_map(F.lit("aws saa"), F.lit("aws solutions architect"), F.lit("pmp"), F.lit("project management professional"))
-    k = F.col("p_partkey") % 4
-    v = M.canonical_verdict(_pick(k, "Scrum  Master", "PMP", "AWS Solutions Architect", "PMP"), F.array(_pick(k, "scrum master", "Project Management Professional", "AWS SAA", "CISSP")), aliases)
-    return table(spark, sf_dir, "part").select("p_partkey", v["status"].alias("status"), F.coalesce(v["method"], F.lit("-")).alias("method"))
+    """Names of parts as certificates, their brands as other spellings: the same name, either side by brand, and the name of the next part."""
+    k, key = F.col("p_partkey") % 4, lambda c: F.lower(F.col(c))
+    ask = F.when(k == 0, F.replace(F.upper("p_name"), F.lit(" "), F.lit("  "))).when(k == 1, F.col("p_brand")).otherwise(F.col("p_name"))
+    held = F.when(k == 2, F.upper("p_brand")).when(k == 3, F.col("o_name")).otherwise(F.col("p_name"))
+    v = M.canonical_verdict(ask, F.array(F.lit("other"), held), F.create_map(key("p_brand"), key("p_name")))
+    return with_next(spark, sf_dir).select("p_partkey", v["status"].alias("status"), F.coalesce(v["method"], F.lit("-")).alias("method"))
 
 
 @query(
