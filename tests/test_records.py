@@ -48,6 +48,14 @@ def test_education(text, want):
     assert [tuple(r.values()) for r in R.education(text)] == want
 
 
+def test_fields_that_no_table_knows_stay():
+    of = lambda text: [(r["degree"], r["field_of_study"], r["institution"]) for r in R.education(text)]
+    assert of("B.Tech in ANODIZED") == [("Bachelor of Technology", "ANODIZED", None)]
+    assert of("Diploma in Arts and Crafts, Town School 2010\nMBA in 2012") == [("Diploma", "Arts and Crafts", "Town School"), ("Master of Business Administration", None, None)]
+    assert of("B.Sc in Computer Science") == [("Bachelor of Science", "Computer Science and Engineering", None)]
+    assert of("M.Tech in State University") == [("Master of Technology", None, "State University")]
+
+
 PROJECTS = [
     ("Project Alpha | Python, FastAPI • Developed REST endpoints with async tasks. • Reduced latency by 45% using Redis. Project Beta | React, TypeScript • Built dashboards. • Implemented a UI. Project Gamma | Docker, Kubernetes, AWS • Deployed services.", [("Project Alpha", ["Python", "FastAPI"]), ("Project Beta", ["React", "TypeScript"]), ("Project Gamma", ["Docker", "Kubernetes", "AWS"])]),
     ("Article Scraper Tool 2026 Built a tool using Selenium. Validated search. Shopping Collaboration App 2025 Developed a web platform.", [("Article Scraper Tool", []), ("Shopping Collaboration App", [])]),
