@@ -6,10 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(c: Column, f) -> Column:
+    """``f`` of a column that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def ordered_distinct(a: Column) -> Column:
-    """First spelling of each value, compared without case, in order."""
-    empty = F.array().cast("array<string>")
-    return F.aggregate(a, empty, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
+    """First spelling of each value, compared without case, in order; nulls stay."""
+    first = lambda v, k: F.filter(v, lambda x, i: x.isNull() | (F.array_position(k, F.get(k, i)) == i + 1))
+    # the list, and each value's lower case, are made once
+    return once(a.cast("array<string>"), lambda v: once(F.transform(v, F.lower), lambda k: first(v, k)))
 
 
 def distinct_by_canonical(a: Column, canonical: Column) -> Column:

@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranksmith.session import table
+from ranksmith.session import dealt, table
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts for work that takes long on each: a table of some megabytes would be read by one task."""
+    return dealt(table(spark, sf_dir, "part"), "p_partkey")
 
 
 def candidate_scores(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from ranksmith.operators import audit as U
 from ranksmith.operators import normalise as N
 from ranksmith.session import table
 
+from .bindings import parts
 from .catalogue import query
 
 
@@ -94,7 +95,7 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, words = F.col("p_partkey"), F.split("p_name", " ")
     size = F.col("p_size") % 4
     year = F.when(size == 0, "present").when(size == 1, F.concat(F.lit("2010 - "), (2011 + k % 9).cast("string"))).when(size == 2, (2000 + k % 20).cast("string")).otherwise("long  ago")
-    rows = table(spark, sf_dir, "part").select(
+    rows = parts(spark, sf_dir).select(
         k.alias("k"),
         F.transform(words, lambda x: F.concat(F.lit(" Tools: "), x)).alias("skills"),
         F.array(F.lit("sde"), F.col("p_brand"), F.lit(" ")).alias("titles"),
@@ -137,7 +138,7 @@ def value_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     time = F.when(k % 3 == 0, F.lit("yesterday")).when(k % 3 == 1, F.concat(F.lit("2020-01-01T"), hour, F.lit(":00:00Z"))).otherwise(F.concat(F.lit(" 2020-01-01T"), hour, F.lit(":00:00+02:00")))
     left = A.without_keys(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type")), "brand", "none")
     kept = F.array_join(F.transform(F.map_entries(left), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
-    return table(spark, sf_dir, "part").select("p_partkey", X.title_if_upper(name).alias("title"), kept.alias("kept"), F.coalesce(F.unix_timestamp(D.parse_timestamp(time)), F.lit(-1)).cast("long").alias("seconds"))
+    return parts(spark, sf_dir).select("p_partkey", X.title_if_upper(name).alias("title"), kept.alias("kept"), F.coalesce(F.unix_timestamp(D.parse_timestamp(time)), F.lit(-1)).cast("long").alias("seconds"))
 
 
 @query(
@@ -150,7 +151,7 @@ CAST(CASE WHEN w[1] IN ('red', 'blue') THEN 1 ELSE 0 END + CASE m WHEN 0 THEN 3
 def job_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs in capitals, with degrees apart by 'or' and phrases about years, in two of three."""
     m, w, n = F.col("p_partkey") % 3, F.split("p_name", " "), F.col("p_size") % 9 + 1
-    rows = table(spark, sf_dir, "part").select(
+    rows = parts(spark, sf_dir).select(
         F.col("p_partkey").alias("k"),
         F.col("p_type").alias("title"),
         F.array(w[0], w[1], F.upper(w[1]), F.lit(" ")).alias("skills"),

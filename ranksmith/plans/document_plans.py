@@ -16,7 +16,7 @@ from ranksmith.operators import reports as R
 from ranksmith.operators import resumes as P
 from ranksmith.session import table
 
-from .bindings import candidate_scores, scores_sql
+from .bindings import candidate_scores, parts, scores_sql
 from .catalogue import query
 
 
@@ -39,7 +39,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Education\nB.Tech in "), "p_type"),
         F.when(k3 == 2, F.concat(F.lit("Projects\n"), "p_brand", F.lit(" line:\nTools: Docker, "), F.split("p_name", " ")[0])),
     )
-    return table(spark, sf_dir, "part").select(key.alias("doc_id"), text.alias("text"))
+    return parts(spark, sf_dir).select(key.alias("doc_id"), text.alias("text"))
 
 
 _P = "p AS (SELECT *, p_partkey % 2 AS k2, p_partkey % 3 AS k3, string_split(p_name, ' ') AS w FROM part)"
@@ -83,7 +83,7 @@ def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("- minimum of "), (F.col("p_size") % 9 + 1).cast("string"), F.lit(" years")),
         F.lit("- PMP and CISSP wanted"),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    return parts(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
 
 @query(
@@ -106,7 +106,7 @@ def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, m = F.col("p_partkey") % 6, F.col("p_partkey") % 5
     company = F.when(k == 0, "Acme  corp.").when(k == 1, F.concat("p_brand", F.lit(" Pvt. Ltd."))).when(k == 2, "till date").when(k == 3, "March 2020").when(k == 4, "Work Experience").otherwise(F.col("p_brand"))
     degree = F.when(m == 0, "must have a MBA or equivalent").when(m == 1, "B.Sc in Data or related field").when(m == 2, "a Ph.D. degree in arts").when(m == 3, F.concat(F.lit("- Some "), "p_type", F.lit("."))).otherwise("bachelor's of commerce")
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(N.company(company), F.lit("-")).alias("company"), N.degree(degree).alias("degree"))
+    return parts(spark, sf_dir).select("p_partkey", F.coalesce(N.company(company), F.lit("-")).alias("company"), N.degree(degree).alias("degree"))
 
 
 @query(
@@ -118,7 +118,7 @@ def experience_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = n.cast("string")
     text = F.when(k == 0, F.concat(s, F.lit(" - "), (n + 2).cast("string"), F.lit(" years"))).when(k == 1, F.concat(s, F.lit("+ years"))).when(k == 2, F.concat(F.lit("at least "), s, F.lit(" years"))).when(k == 3, F.concat(s, F.lit(" year"))).otherwise("some years")
     v = D.experience_phrase(text)
-    return table(spark, sf_dir, "part").select("p_partkey", *[F.coalesce(v[c], F.lit(-1)).cast("long").alias(c) for c in ("minimum_months", "maximum_months")])
+    return parts(spark, sf_dir).select("p_partkey", *[F.coalesce(v[c], F.lit(-1)).cast("long").alias(c) for c in ("minimum_months", "maximum_months")])
 
 
 @query(
@@ -137,7 +137,7 @@ def skill_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(w[1], F.lit(". Knowledge of "), w[0], F.lit(" and")))
     )
     sentence = F.when(k == 5, F.concat(F.lit("Designing "), "p_name", F.lit(" stores"))).otherwise(text)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(J.split_skills(text), "|").alias("skills"), J.is_action(sentence).alias("action"))
+    return parts(spark, sf_dir).select("p_partkey", F.array_join(J.split_skills(text), "|").alias("skills"), J.is_action(sentence).alias("action"))
 
 
 @query(
@@ -155,7 +155,7 @@ def skill_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Made many a "), "p_name", F.lit(" in a store that sells them.")),
         F.when(even, F.concat(F.lit("2. shade of "), w[0], F.lit(" / CI/"), w[1])),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(E.skill_items(block), ",").alias("skills"))
+    return parts(spark, sf_dir).select("p_partkey", F.array_join(E.skill_items(block), ",").alias("skills"))
 
 
 @query(
@@ -165,7 +165,7 @@ SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Docker|' || p_brand || '|Postg
 def project_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     text = F.when(k == 0, F.concat(F.lit("A store. Tools used: Docker, "), "p_brand", F.lit("; postgres, docker"))).when(k == 1, "Shop | Rust, py\nmore").otherwise("made with React only")
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(P.technologies(text), "|").alias("technologies"))
+    return parts(spark, sf_dir).select("p_partkey", F.array_join(P.technologies(text), "|").alias("technologies"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' - Udemy Academy' ELSE '' END AS certifications, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS n_education FROM part")
@@ -173,7 +173,7 @@ def courses_as_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda d, i: F.struct(d.alias("degree"), i.alias("institution"))
     rows = F.array(row(F.col("p_brand"), F.when(F.col("p_partkey") % 3 == 0, "Udemy Academy")), row(F.lit("MBA"), F.lit("State University")))
     v = P.courses_as_certificates(rows)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(v["certifications"], ",").alias("certifications"), F.size(v["education"]).alias("n_education"))
+    return parts(spark, sf_dir).select("p_partkey", F.array_join(v["certifications"], ",").alias("certifications"), F.size(v["education"]).alias("n_education"))
 
 
 @query(
@@ -240,7 +240,7 @@ def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = A.merged_map(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(9), F.lit("c"), F.lit(3)))
     structs = lambda *pairs: F.array(*[F.struct(a.alias("k"), b.alias("v")) for a, b in pairs])
     pair = A.merge_records(structs((F.lit("X"), F.lit(None).cast("string"))), structs((F.lit("x"), F.col("p_brand")), (F.lit("y"), F.col("p_type"))), "k", ["k", "v"])
-    return table(spark, sf_dir, "part").select(
+    return parts(spark, sf_dir).select(
         "p_partkey",
         F.array_join(A.sorted_unique(words), ",").alias("sorted"),
         A.longest_first(words)[0].alias("longest"),

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranksmith.operators import vendor as V
-from ranksmith.session import table
 
+from .bindings import parts
 from .catalogue import query
 
 
@@ -24,7 +24,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     school = lambda d, o: F.struct(d.alias("educationAccreditation"), o.alias("educationOrganization"), F.array(F.col("p_type")).alias("educationMajor"))
     schools = F.array(school(F.lit("B.Tech, MBA"), F.concat("p_brand", F.lit(" College"))), school(F.concat("p_brand", F.lit(" course")), F.lit("Udemy Academy")))
     payload = F.to_json(F.struct(name.alias("candidateName"), F.array(F.lit(" "), F.concat(F.lit("P"), k.cast("string"), F.lit("@X.com"))).alias("email"), F.transform(words, lambda w: F.struct(w.alias("name"))).alias("skill"), F.when(k % 4 > 0, F.array(job)).alias("workExperience"), schools.alias("education")))
-    return table(spark, sf_dir, "part").select(k.alias("doc_id"), F.when(k % 11 == 0, "no json").otherwise(payload).alias("payload"))
+    return parts(spark, sf_dir).select(k.alias("doc_id"), F.when(k % 11 == 0, "no json").otherwise(payload).alias("payload"))
 
 
 @query(
@@ -39,7 +39,7 @@ array_to_string(list_filter([CASE WHEN bad OR p.k % 3 = 0 THEN 'name' END, CASE
 def vendor_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ranksmith.operators import records as R
 
-    part, words = table(spark, sf_dir, "part"), F.split("p_name", " ")
+    part, words = parts(spark, sf_dir), F.split("p_name", " ")
     local = part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("local "), words[0]).alias("name"), F.array(F.lit("local")).alias("skills"), R.experience_records(F.lit("Local Inc\nEngineer\n- kept")).alias("experience"))
     out = V.filled(V.map_resume(payloads(spark, sf_dir), today=F.lit("2020-06-01").cast("date")), local, "doc_id")
     told = lambda c: F.coalesce(c, F.lit("-"))

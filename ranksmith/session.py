@@ -34,5 +34,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys to all cores, two tasks to each: for plans that work long on each row of a table that has few files."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+#: Rows of whole documents that cross to a Python worker at a time, where the session leaves Spark's default.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows for each Arrow batch than Spark's 10,000: whole documents are long, and a worker holds several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
