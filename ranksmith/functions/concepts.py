@@ -55,7 +55,7 @@ def pool_of(texts: Column) -> Column:
 def near(stems: Column, concept: Column) -> Column:
     """All stems of a concept occur, their first places within its length and ``SLACK``."""
     at = F.transform(concept, lambda s: F.array_position(stems, s))
-    return (F.array_min(at) > 0) & (F.array_max(at) - F.array_min(at) <= F.size(concept) + SLACK)
+    return A.once(at, lambda p: (F.array_min(p) > 0) & (F.array_max(p) - F.array_min(p) <= F.size(p) + SLACK))
 
 
 def concept_stems(c: Column) -> Column:
@@ -64,8 +64,8 @@ def concept_stems(c: Column) -> Column:
 
 def multiword_match(concept: Column, stems: Column) -> Column:
     """A concept of two words or more whose stems lie near each other in one of the texts (array of arrays of stems)."""
-    s = concept_stems(concept)
-    return (F.size(s) >= 2) & F.exists(stems, lambda t: near(t, s))
+    # the concept's stems are made once, not for each text
+    return A.once(concept_stems(concept), lambda s: (F.size(s) >= 2) & F.exists(stems, lambda t: near(t, s)))
 
 
 class Dictionaries(NamedTuple):
@@ -87,13 +87,16 @@ def concept_match(concept: Column, pool: Column, known: Dictionaries) -> Column:
     keys = pool["keys"]
 
     def test(a: Column) -> Column:
+        def of(target: Column, others: Column) -> Column:
+            members = F.coalesce(F.try_element_at(known.categories, a), _none())
+            inside = F.exists(others, lambda o: (F.length(o) >= 3) & F.exists(pool["padded"], lambda t: F.contains(t, F.concat(F.lit(" "), o, F.lit(" ")))))
+            return (a != "") & (F.coalesce(F.arrays_overlap(keys, F.concat(F.array(a, target), others, members)), F.lit(False)) | inside | multiword_match(a, pool["stems"]))
+
         target = F.coalesce(F.try_element_at(known.aliases, a), a)
-        others = F.coalesce(F.try_element_at(known.names, target), _none())
-        members = F.coalesce(F.try_element_at(known.categories, a), _none())
-        inside = F.exists(others, lambda o: (F.length(o) >= 3) & F.exists(pool["padded"], lambda t: F.contains(t, F.concat(F.lit(" "), o, F.lit(" ")))))
-        return (a != "") & (F.coalesce(F.arrays_overlap(keys, F.concat(F.array(a, target), others, members)), F.lit(False)) | inside | multiword_match(a, pool["stems"]))
+        return A.once(target, lambda t: A.once(F.coalesce(F.try_element_at(known.names, t), _none()), lambda o: of(t, o)))
 
-    return F.exists(F.array(F.lower(F.trim(concept)), F.lower(X.strip_filler(concept))), test)
+    # where no phrase asks, both forms are one
+    return F.exists(F.array_distinct(F.array(F.lower(F.trim(concept)), F.lower(X.strip_filler(concept)))), test)
 
 
 def group_parts(item: Column) -> tuple[Column, Column, Column]:
@@ -109,8 +112,9 @@ def group_parts(item: Column) -> tuple[Column, Column, Column]:
 def group_match(item: Column, pool: Column, known: Dictionaries) -> Column:
     """'A and B' needs every part; 'A or B', 'A / B' and 'X such as A, B' need any part, or the whole."""
     every, parts, options = group_parts(item)
-    shown = F.transform(F.when(every, parts).otherwise(options), lambda x: concept_match(x, pool, known))
-    return F.when(every, F.forall(shown, lambda x: x)).otherwise(F.exists(shown, lambda x: x))
+    shown = lambda x: concept_match(x, pool, known)
+    # the first that decides ends the search
+    return A.once(F.struct(every.alias("every"), F.when(every, parts).otherwise(F.array_distinct(options)).alias("forms")), lambda g: F.when(g["every"], F.forall(g["forms"], shown)).otherwise(F.exists(g["forms"], shown)))
 
 
 def _pieces(c: Column, pattern: str) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranksmith.operators import components as K
-from ranksmith.session import table
 
+from .bindings import parts
 from .catalogue import query
 
 _LISTS = ("required_skills", "preferred_skills", "responsibilities", "project_requirements", "keywords", "degree_requirements", "required_certifications", "required_languages", "mandatory_skills", "experience_requirements")
@@ -38,7 +38,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     project = F.struct(F.col("p_type").alias("name"), F.lit(None).cast("string").alias("description"), F.array(words[0]).alias("technologies"), nothing.alias("deliverables"))
     degrees = F.array(F.array(F.lit("Bachelor of Science in Computer Science")), F.array(F.lit("Master of Arts")), F.array(F.lit("Diploma in Information Technology")), nothing)
-    return table(spark, sf_dir, "part").select(
+    return parts(spark, sf_dir).select(
         key.alias("document_id"),
         (key % 3).alias("job_id"),
         F.concat(words, extra(5, "js"), extra(7, "Python")).alias("skills"),
@@ -71,7 +71,7 @@ e AS (SELECT *, CASE job WHEN 0 THEN round(least(100.0, months * 100 / 36), 2) W
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.component_scores(candidates(spark, sf_dir).join(jobs(spark), "job_id"))
+    return K.component_scores(candidates(spark, sf_dir).join(F.broadcast(jobs(spark)), "job_id"))
 
 
 @query(f"WITH {_COMPONENTS} SELECT document_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in K.COMPONENTS)} FROM e")
