@@ -46,8 +46,8 @@ def coded(items: Column, aliases: dict[str, str], field: str) -> Column:
     """array<record> of a list's values that are neither null nor empty, looked up without the label before a colon."""
     bare = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: X.clean_spaces(F.regexp_replace(X.clean_spaces(x), r"^[A-Za-z ]+:\s*", ""))), X.present)
     known = lambda x: F.try_element_at(N.as_map(aliases), F.lower(x))
-    rule = lambda x: F.when(known(x).isNull(), "preserved_unknown").when(known(x) == x, "exact_canonical").otherwise(f"{field}_alias")
-    return F.transform(bare, lambda x: record(field, x, F.coalesce(known(x), x), rule(x), F.lit(1.0)))
+    rule = lambda x, k: F.when(k.isNull(), "preserved_unknown").when(k == x, "exact_canonical").otherwise(f"{field}_alias")
+    return F.transform(bare, lambda x: N.once(known(x), lambda k: record(field, x, F.coalesce(k, x), rule(x, k), F.lit(1.0))))
 
 
 def coded_company(items: Column) -> Column:
@@ -60,10 +60,10 @@ def coded_company(items: Column) -> Column:
 def coded_date(items: Column, field: str) -> Column:
     """array<record> of dates: open ends have no date and 0.95, known forms 1 or, if rewritten, 0.9, other texts 0.5."""
     bare = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: X.clean_spaces(x)), X.present)
-    iso = lambda x: F.regexp_like(D.normalise_date(x)["date"], F.lit(r"^[0-9]{4}(-[0-9]{2}){0,2}$"))
-    rule = lambda x: F.when(D.normalise_date(x)["is_current"], "current_date").when(iso(x), "date_format").otherwise("preserved_unknown")
-    trust = lambda x: F.when(D.normalise_date(x)["is_current"], 0.95).when(iso(x) & (D.normalise_date(x)["date"] == x), 1.0).when(iso(x), 0.9).otherwise(0.5)
-    return F.transform(bare, lambda x: record(field, x, D.normalise_date(x)["date"], rule(x), trust(x)))
+    iso = lambda d: F.regexp_like(d["date"], F.lit(r"^[0-9]{4}(-[0-9]{2}){0,2}$"))
+    rule = lambda d: F.when(d["is_current"], "current_date").when(iso(d), "date_format").otherwise("preserved_unknown")
+    trust = lambda x, d: F.when(d["is_current"], 0.95).when(iso(d) & (d["date"] == x), 1.0).when(iso(d), 0.9).otherwise(0.5)
+    return F.transform(bare, lambda x: N.once(D.normalise_date(x), lambda d: record(field, x, d["date"], rule(d), trust(x, d))))
 
 
 def coded_value(field: str, source: Column, canonical: Column, rule: str) -> Column:
@@ -152,10 +152,11 @@ def normalised_jobs(rows: DataFrame, skills: dict[str, str] = N.SKILLS, out: str
 
 def audit_rows(audited: DataFrame, keys: Iterable[str], column: str = "audit") -> DataFrame:
     """The audit table: one row for each change."""
-    return audited.select(*keys, F.inline(f"{column}.changes"))
+    return audited.select(*keys, F.inline_outer(f"{column}.changes")).where("field IS NOT NULL")
 
 
 def field_confidence(audited: DataFrame, column: str = "audit") -> DataFrame:
     """(field, n, mean_confidence) over all rows that have the field."""
-    each = audited.select(F.inline(f"{column}.field_confidence"))
+    # a plain inline makes Spark test the list for its size first, which works the whole audit out a second time where the rows are read
+    each = audited.select(F.inline_outer(f"{column}.field_confidence")).where("field IS NOT NULL")
     return each.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
