@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranksmith.operators import resumes as P
-from ranksmith.session import table
+from ranksmith.session import dealt, table
 
 from .catalogue import query
 
@@ -17,7 +17,10 @@ PLACES = ("Pune", "Berlin", "Paris")
 def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): a resume for each customer with a job for each order, six layouts of jobs, three of degrees and of projects."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderstatus", "o_orderpriority").alias("o"))
-    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.initcap("n_name").alias("home"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.initcap("n_name").alias("home"))
+    homes = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "home")
+    # little data, much reading: the keys are dealt to all cores before the texts are made, so that no text is shuffled
+    customers = dealt(homes, "c_custkey")
     rows = customers.join(orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o")).alias("jobs")), F.col("c_custkey") == F.col("o_custkey"), "left")
     home, key = F.col("home"), F.col("c_custkey")
     letter = lambda i: F.char(65 + i % 26)
@@ -44,8 +47,7 @@ def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     projects = F.when(key % 3 == 0, F.concat(F.lit("Project: "), home, F.lit(" Store\n- Built it for all.\nProject: Second Shop\n- Wrote more."))).when(key % 3 == 1, F.concat(home, F.lit(" Store | Go, Rust • Built it for all. Second Shop | SQL • Wrote more."))).otherwise(F.concat(home, F.lit(" Store 2021 Built it for all. Second Shop 2022 Wrote more.")))
     certificates = F.concat(F.lit("AWS Cloud-\nFoundations "), mark, F.lit("\n12 badges\nScrum Master("), home, F.lit(")"))
     text = F.concat_ws("\n", F.lit("Ann Example"), F.lit("Work Experiance:"), jobs, F.lit("EDUCATION"), degrees, F.lit("Projects"), projects, F.lit("Certificates"), certificates)
-    # little data, much reading: the rows are dealt to all cores before the texts are read
-    return rows.select(key.alias("doc_id"), text.alias("text")).repartition(spark.sparkContext.defaultParallelism)
+    return rows.select(key.alias("doc_id"), text.alias("text"))
 
 
 @query(

@@ -51,3 +51,33 @@ def test_a_concept_is_stemmed_once(spark):
 def test_rows_without_audit_entries_leave(spark):
     rows = spark.sql("SELECT 1 AS k, named_struct('changes', array(named_struct('field', 'f', 'source', 's', 'canonical', cast(null AS string), 'rule', 'r', 'confidence', 1.0D))) AS audit UNION ALL SELECT 2, named_struct('changes', cast(array() AS array<struct<field:string,source:string,canonical:string,rule:string,confidence:double>>))")
     assert [tuple(r) for r in U.audit_rows(rows, ["k"]).collect()] == [(1, "f", "s", None, "r", 1.0)]
+
+
+def test_lines_of_a_batch_are_not_held_at_once(spark, monkeypatch):
+    """Columns are made of a few lines at a time; the result is that of the whole."""
+    from ranksmith.operators import extraction as E
+    from ranksmith.operators import headings as H
+
+    monkeypatch.setattr(H, "LINES_AT_ONCE", 3)
+    texts = ["Ann\nSkills\nGo\nRust", None, "", "a\n" * 7 + "Education\nMBA"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select(E.section_lines(F.col("t")).alias("l")).collect()
+    assert [[tuple(x) for x in r["l"]] for r in got] == [H.Lexicon().lines(t or "") for t in texts]
+
+
+@needs_tables
+def test_whole_documents_cross_in_small_batches(spark):
+    catalogue.QUERIES["section_segmentation"](spark, SF)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_a_line_of_a_batch_is_read_once():
+    from ranksmith.operators import records as R
+
+    seen = []
+    text = "Data Engineer, Acme Ltd, 2019 - 2020\n- Tested all\nQA Tester, Other Ltd, 2020 - 2021\n- Tested all"
+    assert R.experience(text, lambda raw: (seen.append(raw), R.read_line(raw))[1]) == R.remembering()(text) and len(seen) == 4
+
+
+@needs_tables
+def test_texts_of_resumes_are_not_shuffled(spark):
+    assert "RoundRobinPartitioning" not in plan(catalogue.QUERIES["resume_records"](spark, SF))
