@@ -8,21 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ranksmith.session import small_batches
+
 #: Words are runs of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of text that cross to a Python worker at a time, where the session leaves Spark's default.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Fewer rows for each Arrow batch than Spark's 10,000: whole documents are long, and a worker holds several copies of a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

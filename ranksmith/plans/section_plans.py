@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ranksmith.operators import extraction as E
 from ranksmith.operators import headings as H
-from ranksmith.session import table
+from ranksmith.session import small_batches, table
 
+from .bindings import parts
 from .catalogue import query
 
 _NAMES = ", ".join(f"('{name}', '{section}')" for section, names in H.HEADINGS.items() for name in names)
@@ -43,6 +44,7 @@ c AS (SELECT doc_id, pos, 0 AS part, section, line FROM plain WHERE doc_id NOT I
 SELECT doc_id, section, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM c GROUP BY 1, 2"""
 )
 def section_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     marked = F.replace(F.replace(F.col("text"), F.lit(". The"), F.lit("\nSkills:\nThe")), F.lit(". An"), F.lit("\nexperience\nAn"))
     lines = E.sections(table(spark, sf_dir, "documents").select("doc_id", marked.alias("text")))
     return lines.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
@@ -67,4 +69,4 @@ def heading_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(key % 4 == 0, F.concat(left(at - 1), right(at + 1))).when(key % 4 == 1, F.concat(left(at), right(at))).when(key % 4 == 2, F.concat(left(at), F.lit("#"), right(at + 2))).otherwise(F.concat(F.lit("my "), name, F.lit(" so far")))
     running = F.concat(F.upper("p_name"), F.lit(" EDUCATION "), "p_type", F.lit(" and more" * 120), F.lit(" Work  Experience: "), "p_name")
     text = F.when(key % 7 == 0, running).otherwise(F.concat_ws("\n", "p_name", F.concat(F.lit("** "), head, F.lit(" --")), "p_type"))
-    return E.sections(table(spark, sf_dir, "part").select(key.alias("doc_id"), text.alias("text")))
+    return E.sections(parts(spark, sf_dir).select(key.alias("doc_id"), text.alias("text")))
