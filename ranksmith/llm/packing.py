@@ -118,30 +118,19 @@ class WordEncoder:
 
 
 _SPACES = {c: " " for c in b"\t\n\x0b\x0c\r"}
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process, kept between tasks."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 PIECE = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n == "piece" else T.LongType()) for n in ("piece", "start", "length", "ids_crc32")]))
 
 
 def pieces(text, path: str, tokens: int):
     """Array of a text column's pieces; null counts as empty, and an empty text still has its end id."""
+    # imported here, as that module builds on this one
+    from .token_files import chunk_encoder
 
     @F.pandas_udf(PIECE)
     def run(texts):
         import pandas as pd
 
-        enc, out = word_encoder(path), []
+        enc, out = chunk_encoder(path), []
         end = END_ID.to_bytes(4, "little")
         texts = [t or "" for t in texts]
         for i in range(0, len(texts), 256):

@@ -251,3 +251,10 @@ def test_long_chain_of_terms():
     trie = D.Trie()
     trie.merge((0, b"x" * n, 1, {"s": 1}) for n in range(1, 4000))
     assert sum(1 for _ in trie.walk()) == 3999
+
+
+def test_pieces_are_encoded_by_chunks():
+    """Packing looks a chunk of white-space-free text up once, as the token files do."""
+    from ranksmith.llm import packing
+
+    assert "chunk_encoder" in packing.pieces.__code__.co_varnames + packing.pieces.__code__.co_cellvars and not hasattr(packing, "word_encoder")
