@@ -159,4 +159,4 @@ def field_confidence(audited: DataFrame, column: str = "audit") -> DataFrame:
     """(field, n, mean_confidence) over all rows that have the field."""
     # a plain inline makes Spark test the list for its size first, which works the whole audit out a second time where the rows are read
     each = audited.select(F.inline_outer(f"{column}.field_confidence")).where("field IS NOT NULL")
-    return each.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    return each.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg(F.col("confidence").cast("decimal(18,2)")), 4).cast("double").alias("mean_confidence"))
