@@ -1,10 +1,11 @@
 """How far the sources of a language differ in their words, by mergeable radix tries.
 
-Each partition counts its terms and keeps them in byte tries, one for each language, whose leaves count the documents that hold the
+Each partition counts its terms and writes them as byte tries, one for each language, whose leaves count the documents that hold the
 term and its occurrences by source.  A trie is written as a walk in byte order, which is the order of UTF-8: every leaf tells how many
-bytes it shares with the leaf before it, and the bytes that follow.  Walks are cut into runs, runs are dealt to prefix ranges of about
-equal size, and each range merges its runs into one trie and keeps the terms of enough documents.  A second walk over the merged tries
-adds up, for each pair of sources, what the terms differ by, and streams the candidates of each source in tie order.
+bytes it shares with the leaf before it, and the bytes that follow.  A partition's terms are put in that order and give their walk without
+nodes, which only merging needs.  Walks are cut into runs, runs are dealt to prefix ranges of about equal size, and each range merges its
+runs into one trie and keeps the terms of enough documents.  A second walk over the merged tries adds up, for each pair of sources, what
+the terms differ by, and streams the candidates of each source in tie order.
 
 Shares are exact: with n occurrences of all kept terms and V kept terms, a term of count c has 1 + floor(10^9 (c + 1) / (n + V)).
 """
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import pickle
 from bisect import bisect_right
+from collections import defaultdict
+from itertools import chain, count, pairwise
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, table
 
 UNIT = 10**9
-#: Leaves of a run, and counted entries after which a partition writes its tries and begins anew.
+#: Leaves of a run, and counted entries (of a term and a source) after which a partition writes its tries and begins anew.
 RUN_LEAVES, ENTRIES = 1024, 1 << 20
+#: Bytes of texts that stand in terms together; a longer text stands alone.
+TEXT_BYTES = 4 << 20
 #: Bytes of runs that one range merges, on average.
 RANGE_BYTES = 8 << 20
 #: Entries of the table of shares that is held at a time.
@@ -120,45 +125,106 @@ def unpacked(body: bytes):
     return zip(*pickle.loads(body), strict=True)
 
 
+def shared_bytes(rising: list[bytes]) -> list[int]:
+    """How many bytes each term shares with the term before it."""
+    out, before = [], b""
+    for term in rising:
+        k, most = 0, min(len(before), len(term))
+        while k < most and before[k] == term[k]:
+            k += 1
+        out.append(k)
+        before = term
+    return out
+
+
+class Counts:
+    """Documents and occurrences by source of the terms of a language.
+
+    A term has a number; an entry is (number << 32 | place of the source, occurrences).  Entries of the same key stand side by side
+    until ``compact`` adds them up.
+    """
+
+    def __init__(self):
+        import numpy as np
+
+        self.terms, self.sources = defaultdict(count().__next__), defaultdict(count().__next__)
+        self.docs, self.entries = np.zeros(0, np.int64), []
+
+    def add(self, sources, texts) -> int:
+        """Counts documents; the number of entries that this takes."""
+        import numpy as np
+
+        found = [terms(text) for text in texts]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        place = np.fromiter(map(self.sources.__getitem__, sources), np.int64, len(found))
+        term = np.fromiter(map(self.terms.__getitem__, chain.from_iterable(found)), np.int64, size.sum())
+        del found
+        once = np.unique(np.repeat(np.arange(len(size)) << 32, size) | term) & 0xFFFFFFFF
+        docs = np.bincount(once, minlength=len(self.terms))
+        docs[: len(self.docs)] += self.docs
+        self.docs = docs
+        self.entries.append(np.unique(term << 32 | np.repeat(place, size), return_counts=True))
+        return len(self.entries[-1][0])
+
+    def compact(self):
+        """The entries with rising keys, every key once."""
+        import numpy as np
+
+        keys, n = map(np.concatenate, zip(*self.entries, strict=True))
+        at = np.argsort(keys, kind="stable")
+        keys, n = keys[at], n[at]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.entries = [(keys[first], np.add.reduceat(n, first) if len(first) else n)]
+        return self.entries[0]
+
+    def runs(self, most: int):
+        """(first term, last term, run of at most ``most`` leaves) of the walk of the terms' trie."""
+        import numpy as np
+
+        rising, names = sorted(self.terms), list(self.sources)
+        number = np.fromiter(map(self.terms.__getitem__, rising), np.int64, len(rising))
+        rank = np.empty_like(number)
+        rank[number] = np.arange(len(rising))
+        keys, n = self.compact()
+        at = np.argsort(rank[keys >> 32], kind="stable")
+        sources, n = [names[k] for k in (keys[at] & 0xFFFFFFFF).tolist()], n[at].tolist()
+        ends = [0, *np.cumsum(np.bincount(keys >> 32, minlength=len(rising))[number]).tolist()]
+        docs = self.docs[number].tolist()
+        for i in range(0, len(rising), most):
+            part = rising[i : i + most]
+            shared, places = shared_bytes(part), pairwise(ends[i : i + most + 1])
+            leaves = ((k, t[k:], d, dict(zip(sources[a:b], n[a:b], strict=True))) for k, t, d, (a, b) in zip(shared, part, docs[i : i + most], places, strict=True))
+            yield part[0], part[-1], packed(leaves)
+
+
 RUN = "lang string, first binary, last binary, size long, body binary"
 
 
 def partial_tries(docs: DataFrame) -> DataFrame:
     """Runs of the tries of each partition of (lang, source, text in UTF-8)."""
 
-    def written(counts, held):
+    def written(counted):
         import pandas as pd
 
-        leaves: dict[str, dict[bytes, list]] = {}
-        for (lang, source), found in counts.items():
-            of_lang = leaves.setdefault(lang, {})
-            for term, n in found.items():
-                of_lang.setdefault(term, [0, {}])[1][source] = n
-        for lang, found in held.items():
-            for term, n in found.items():
-                leaves[lang][term][0] = n
-        for lang, found in leaves.items():
-            trie = Trie()
-            trie.merge((0, term, docs, by_source) for term, (docs, by_source) in found.items())
-            out = [(lang, first, last, packed(part)) for first, last, part in runs(trie.walk(), lambda _, n: n == RUN_LEAVES)]
+        for lang, found in counted.items():
+            out = [(lang, first, last, len(run), run) for first, last, run in found.runs(RUN_LEAVES)]
             if out:
-                pdf = pd.DataFrame(out, columns=["lang", "first", "last", "body"])
-                pdf.insert(3, "size", [len(b) for b in pdf["body"]])
-                yield pdf
+                yield pd.DataFrame(out, columns=["lang", "first", "last", "size", "body"])
 
     def run(batches):
-        from collections import Counter
-
-        counts, held = {}, {}
+        counted: dict[str, Counts] = {}
+        held = 0
         for pdf in batches:
-            for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"], strict=True):
-                found = terms(text)
-                counts.setdefault((lang, source), Counter()).update(found)
-                held.setdefault(lang, Counter()).update(set(found))
-            if sum(map(len, counts.values())) > ENTRIES:
-                yield from written(counts, held)
-                counts, held = {}, {}
-        yield from written(counts, held)
+            piece = pdf["text"].map(len).cumsum() // TEXT_BYTES
+            for (_, lang), part in pdf.groupby([piece, "lang"], sort=False):
+                held += counted.setdefault(lang, Counts()).add(part["source"], part["text"])
+                # twice the bound is let stand before equal keys are added up, which therefore stays rare
+                if held > 2 * ENTRIES:
+                    held = sum(len(found.compact()[0]) for found in counted.values())
+                    if held > ENTRIES:
+                        yield from written(counted)
+                        counted, held = {}, 0
+        yield from written(counted)
 
     return docs.mapInPandas(run, RUN)
 

@@ -258,3 +258,51 @@ def test_pieces_are_encoded_by_chunks():
     from ranksmith.llm import packing
 
     assert "chunk_encoder" in packing.pieces.__code__.co_varnames + packing.pieces.__code__.co_cellvars and not hasattr(packing, "word_encoder")
+
+
+def test_partitions_write_tries_without_nodes(monkeypatch):
+    """A partition's walk comes from its sorted terms, equal to that of a trie; entries are added up before they count as too many."""
+    import pandas as pd
+
+    class Docs:
+        def mapInPandas(self, run, schema):
+            return run
+
+    pick = random.Random(8)
+    words = ["a", "ab", "abc", "b", "é", "É", "中文", "中", "x" * 300, "x" * 299 + "y", *("w" + "abc"[k % 3] * k for k in range(1, 40))]
+    rows = [(pick.choice(["en", "de", ""]), pick.choice(["s", "t", ""]), " ".join(pick.choices(words, k=pick.randint(0, 20))).encode()) for _ in range(300)]
+    rows += [("none", "s", b""), ("en", "u", b"1 2 3"), ("en", "t", b"long " * 500)]
+    leaves = {}
+    for lang, source, text in rows:
+        for term in D.terms(text):
+            leaves.setdefault((lang, term), [0, Counter()])[1][source] += 1
+        for term in set(D.terms(text)):
+            leaves[lang, term][0] += 1
+    want = {}
+    for lang in {lang for lang, _ in leaves}:
+        trie = D.Trie()
+        trie.merge((0, term, docs, dict(n)) for (of, term), (docs, n) in leaves.items() if of == lang)
+        want[lang] = list(trie.walk())
+
+    def fails(*_):
+        raise AssertionError("a partition makes no nodes")
+
+    batches = [pd.DataFrame(rows[i : i + 50], columns=["lang", "source", "text"]) for i in range(0, len(rows), 50)]
+    different = sum(len(n) for _, n in leaves.values())
+    for entries, text_bytes in ((1 << 20, 4 << 20), (different, 200), (20, 200)):
+        monkeypatch.setattr(D, "ENTRIES", entries)
+        monkeypatch.setattr(D, "TEXT_BYTES", text_bytes, raising=False)
+        monkeypatch.setattr(D, "RUN_LEAVES", 7)
+        with monkeypatch.context() as m:
+            m.setattr(D.Trie, "merge", fails)
+            out = pd.concat(list(D.partial_tries(Docs())(iter(batches))))
+        assert out["size"].tolist() == [len(b) for b in out["body"]]
+        tries, written = {}, Counter(zip(out["lang"], out["first"], strict=True))
+        for lang, first, last, body in zip(out["lang"], out["first"], out["last"], out["body"], strict=True):
+            run, term = list(D.unpacked(body)), b""
+            for shared, suffix, *_ in run:
+                term = term[:shared] + suffix
+            assert run[0][:2] == (0, first) and term == last and len(run) <= 7
+            tries.setdefault(lang, D.Trie()).merge(run)
+        assert {lang: list(t.walk()) for lang, t in tries.items()} == want
+        assert (max(written.values()) > 1) == (entries == 20)
