@@ -5,11 +5,12 @@ interval, found by binary search, are one overlap; an end that both share closes
 counterparts.  How often an id pair is linked is counted over the whole corpus, and each document is told what its links count for.
 
 Neither tokenizer joins what stands before a blank or a line break with what follows, unless white space stands before it.  So a text
-is a sequence of chunks, each chunk is aligned once for a shard of some thousand documents, and a document is a list of chunk numbers.
+is a sequence of chunks, and each chunk is aligned once for a shard of some hundred documents.
 Where that does not hold for a text or a tokenizer, the whole text is one chunk.
 
-A shard is one row: chunk numbers of its documents, links of its chunks, and its distinct id pairs with their counts.  Pairs are
-summed over all shards, and what a shard needs of the sums is joined back to it, so nothing of corpus size is ever broadcast.
+A shard numbers its distinct id pairs, and each of its documents is a row with the numbers of its pairs and how often it links them, so
+no row is longer than its document.  Pairs are summed over all shards, and what a shard needs of the sums is joined back to its
+documents, so nothing of corpus size is ever broadcast.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, table
 
 #: Characters of text after which a shard is closed.
-SHARD_CHARS = 1 << 23
+SHARD_CHARS = 1 << 21
+#: Different chunks after which it is closed too: each costs a worker about 1 KB while they are aligned.
+SHARD_CHUNKS = 1 << 17
 #: Characters that one call of a tokenizer receives, but for longer chunks.
 CALL_CHARS = 1 << 14
 MODES = ("end", "overlap", "group")
@@ -245,42 +248,43 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return _ALIGNERS[byte_path, piece_path]
 
 
-#: A shard's columns of one entry for each document; ``end`` is where the document's chunk numbers end.  Numbers of chunks and links are
-#: signed 32-bit little-endian, which only Python reads.
-DOC = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "end")
-SHARDS = "shard string, doc_id array<string>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, end array<long>, chunk binary, link_end binary, link binary, a array<int>, b array<int>, n array<long>"
+#: Columns of a document's result; ``link`` holds the numbers of its id pairs, signed 32-bit little-endian, and ``times`` how often it
+#: links each, 64-bit, which only Python reads.  The first document of a shard also has the shard's pairs and their counts there.
+DOC = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+SHARDS = "shard string, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, link binary, times binary, a array<int>, b array<int>, n array<long>"
 
 
 def shard_rows(docs: DataFrame, byte_path: str, piece_path: str, mode: str, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """One row for each shard of about ``shard_chars`` characters."""
+    """One row for each document, in shards of about ``shard_chars`` characters or ``SHARD_CHUNKS`` chunks."""
 
     def close(name, found, places, aligned):
-        """A shard's row from its documents' (id, chunk numbers) and its chunks."""
+        """A shard's rows from its documents' (id, chunk numbers) and its chunks."""
         import numpy as np
         import pandas as pd
 
         counts, texts, link_chunk, a, b, kept = aligned.align(list(places), mode)
         by_chunk = np.argsort(link_chunk, kind="stable")
         pair, link = np.unique((a[by_chunk].astype(np.int64) << 32) | b[by_chunk], return_inverse=True)
-        link_end = np.cumsum(np.bincount(link_chunk, minlength=len(places)))
-        docs, used, end = [], [], 0
-        for doc, numbers in found:
-            if len(numbers) and kept[numbers].all():
-                end += len(numbers)
-                used.append(numbers)
-                n_a, n_b, n_groups, n_links = counts[:, numbers].sum(axis=1).tolist()
-                sha = hashlib.sha256("".join([texts[k] for k in numbers.tolist()])[:-1].encode()).hexdigest()
-                docs.append((doc, n_a, n_b, n_groups, n_links, sha, end))
-            else:
-                docs.append((doc, 0, 0, 0, 0, "", end))
-        chunk = np.concatenate([np.empty(0, np.int32), *used])
-        times = np.bincount(chunk, minlength=len(places)).astype(np.int64)
-        weights = np.repeat(times, np.diff(link_end, prepend=0))
+        size = np.bincount(link_chunk, minlength=len(places))
+        start = np.cumsum(size) - size
         n = np.zeros(len(pair), np.int64)
-        np.add.at(n, link, weights)
-        row = {"shard": name} | {c: list(v) for c, v in zip(DOC, zip(*docs, strict=True), strict=True)}
-        row |= {c: v.astype("<i4").tobytes() for c, v in (("chunk", chunk), ("link_end", link_end), ("link", link))} | {"a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": n}
-        return pd.DataFrame({k: [v] for k, v in row.items()})
+        docs = []
+        for doc, numbers in found:
+            if not len(numbers) or not kept[numbers].all():
+                docs.append((doc, 0, 0, 0, 0, "", b"", b""))
+                continue
+            sha = hashlib.sha256("".join([texts[k] for k in numbers.tolist()])[:-1].encode()).hexdigest()
+            used, uses = np.unique(numbers, return_counts=True)
+            held = size[used]
+            places_of = np.repeat(start[used] - np.cumsum(held) + held, held) + np.arange(held.sum())
+            times = np.bincount(link[places_of], np.repeat(uses, held), len(pair)).astype(np.int64)
+            n += times
+            own = np.flatnonzero(times)
+            docs.append((doc, *(counts[:, used] @ uses).tolist(), sha, own.astype("<i4").tobytes(), times[own].astype("<i8").tobytes()))
+        row = {c: list(v) for c, v in zip((*DOC, "link", "times"), zip(*docs, strict=True), strict=True)}
+        rest = [None] * (len(docs) - 1)
+        row |= {"a": [pair >> 32, *rest], "b": [pair & 0xFFFFFFFF, *rest], "n": [n, *rest]}
+        return pd.DataFrame({"shard": name} | row)
 
     def run(batches):
         import numpy as np
@@ -293,9 +297,10 @@ def shard_rows(docs: DataFrame, byte_path: str, piece_path: str, mode: str, shar
                 keys = aligned.keys(text) if text else []
                 found.append((doc, np.fromiter(map(places.__getitem__, keys), np.int32, len(keys))))
                 held += len(text or "") + 64
-                if held >= shard_chars:
-                    yield close(f"{task}-{shards}", found, places, aligned)
+                if held >= shard_chars or len(places) >= SHARD_CHUNKS:
+                    rows = close(f"{task}-{shards}", found, places, aligned)
                     found, places, held, shards = [], Places(), 0, shards + 1
+                    yield rows
         if found:
             yield close(f"{task}-{shards}", found, places, aligned)
 
@@ -326,25 +331,19 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, mode: str
         import numpy as np
         import pandas as pd
 
-        out = []
-        for row in rows.itertuples():
-            count, is_best = np.zeros(len(row.a), np.int64), np.zeros(len(row.a), np.int64)
-            count[found["at"].to_numpy()] = found["count"].to_numpy()
-            is_best[found["at"].to_numpy()] = found["is_best"].to_numpy()
-            chunk, link_end, link = (np.frombuffer(x, "<i4") for x in (row.chunk, row.link_end, row.link))
-            edges = np.concatenate([[0], link_end])
-            totals = [np.concatenate([[0], np.cumsum(v[link])]) for v in (is_best, count)]
-            of_chunk = [t[edges[1:]] - t[edges[:-1]] for t in totals]
-            summed = [np.concatenate([[0], np.cumsum(v[chunk])]) for v in of_chunk]
-            docs = pd.DataFrame({c: list(getattr(row, c)) for c in DOC[:-1]})
-            ends = np.asarray(row.end, np.int64)
-            starts = np.concatenate([[0], ends[:-1]])
-            docs["n_best"], docs["count_sum"] = (s[ends] - s[starts] for s in summed)
-            docs["doc_id"] = pd.array([int(d) if d is not None else None for d in docs["doc_id"]], "Int64")
-            out.append(docs)
-        return pd.concat(out)[NAMES] if out else pd.DataFrame(columns=NAMES)
-
-    return shards.groupBy("shard").cogroup(needed.groupBy("of")).applyInPandas(finish, SCHEMA)
+        link, times = np.frombuffer(b"".join(rows["link"]), "<i4"), np.frombuffer(b"".join(rows["times"]), "<i8")
+        ends = np.cumsum([len(x) // 4 for x in rows["link"]])
+        starts = np.concatenate([[0], ends[:-1]])
+        docs = rows[list(DOC)].copy()
+        for name, column in (("n_best", "is_best"), ("count_sum", "count")):
+            value = np.zeros(link.max(initial=-1) + 1, np.int64)
+            value[found["at"].to_numpy()] = found[column].to_numpy()
+            summed = np.concatenate([[0], np.cumsum(value[link] * times)])
+            docs[name] = summed[ends] - summed[starts]
+        docs["doc_id"] = pd.array([int(d) if d is not None else None for d in docs["doc_id"]], "Int64")
+        return docs[NAMES]
+
+    return shards.select("shard", *DOC, "link", "times").groupBy("shard").cogroup(needed.groupBy("of")).applyInPandas(finish, SCHEMA)
 
 
 NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]

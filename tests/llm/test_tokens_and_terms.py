@@ -128,6 +128,47 @@ def test_alignment_of_no_rows(spark):
         L.align_documents(spark.createDataFrame([], SCHEMA), BYTE, PIECE, "near")
 
 
+def test_rows_of_a_shard_are_documents(spark):
+    """What passes through Spark at once is a document, whatever a shard holds; a document names each of its pairs once."""
+    pick = random.Random(9)
+    texts = [" ".join(pick.choices(["one", "two", "three", "fourteen", "unhappily"], k=200)) for _ in range(100)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = L.shard_rows(docs, BYTE, PIECE, "end").collect()
+    assert sorted(int(r.doc_id) for r in rows) == list(range(len(texts))) and len({r.shard for r in rows}) == 1
+    (pairs,) = [r for r in rows if r.a is not None]
+    assert max(len(r.link) for r in rows) <= 4 * len(pairs.a) < 4 * 200
+    assert sum(pairs.n) == sum(r.n_links for r in rows) == sum(int(np.frombuffer(r.times, "<i8").sum()) for r in rows)
+
+
+def test_worker_memory_of_a_shard(spark, monkeypatch):
+    """Where nearly all words differ a shard is closed by its chunks, not its characters."""
+    import tracemalloc
+
+    import pandas as pd
+    import pyspark
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    class Task:
+        get = classmethod(lambda task: task)
+        partitionId = classmethod(lambda task: 0)
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    pick = random.Random(10)
+    batches = (pd.DataFrame({"doc_id": "1", "text": [" ".join(f"{pick.getrandbits(20):05x}" for _ in range(1000)) for _ in range(100)]}) for _ in range(4))
+    L.aligner(BYTE, PIECE)
+    tracemalloc.start()
+    assert sum(len(rows) for rows in L.shard_rows(Docs(), BYTE, PIECE, "end")(batches)) == 400
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 170 << 20
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 13, 16, 17, 24, 31, 32])
 def test_bits_round_trip(bits):
     for n in (0, 1, 31, 32, 33, 1000):
